@@ -7,19 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from .jaccard_join import jaccard_components
+from . import bpe, decontaminate, jaccard_join, sharding, token_counts
 
-#: Where the public tokenizer's files are, unless a call says otherwise.
-TOKENIZER = "byte_bpe_50k.json"
+
+def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"), words=3, threshold=(90, 100))
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, threshold=(90, 100))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.limits(token_counts.length_histogram(table(spark, sf_dir, "documents")))
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"), shards=16)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_ngram_jaccard_join,)
+    for f in (op1_bpe_round_trip, op3_ngram_jaccard_join, op4_token_counts, op8_benchmark_decontamination, op10_sharding)
 }
 
 ORACLE_SQL: dict[str, str] = {}
