@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import bpe, decontaminate, jaccard_join, sharding, token_counts
+from . import bpe, decontaminate, jaccard_join, sharding, suffix_dedup, token_counts
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,13 +26,17 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.report(decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"), length=100))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"), shards=16)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe_round_trip, op3_ngram_jaccard_join, op4_token_counts, op8_benchmark_decontamination, op10_sharding)
+    for f in (op1_bpe_round_trip, op3_ngram_jaccard_join, op4_token_counts, op8_benchmark_decontamination, op9_suffix_array_dedup, op10_sharding)
 }
 
 ORACLE_SQL: dict[str, str] = {}
