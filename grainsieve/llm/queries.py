@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, decontaminate, jaccard_join, sharding, suffix_dedup, token_counts
+from . import bpe, decontaminate, jaccard_join, langid, sharding, spotsigs, suffix_dedup, token_counts
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits(token_counts.length_histogram(table(spark, sf_dir, "documents")))
 
 
+def op6_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = langid.held_out(F.col("doc_id"))
+    model = langid.learned(docs.where(~held))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "lang_pred", "score")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10))
 
@@ -36,7 +49,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe_round_trip, op3_ngram_jaccard_join, op4_token_counts, op8_benchmark_decontamination, op9_suffix_array_dedup, op10_sharding)
+    for f in (op1_bpe_round_trip, op3_ngram_jaccard_join, op4_token_counts, op6_spotsigs_fingerprints, op7_language_id, op8_benchmark_decontamination, op9_suffix_array_dedup, op10_sharding)
 }
 
 ORACLE_SQL: dict[str, str] = {}
