@@ -24,6 +24,8 @@ from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -320,92 +322,77 @@ def repeated_spans(docs: DataFrame, length: int = 100, keep: bool = False, hot_f
         gram, of, hot = gram[order], of[order], hot[order]
         spot = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.zeros(0, np.int64)
         cut = list(zip(spot.tolist(), np.append(spot[1:], len(of)).tolist(), strict=True))
-        return pa.table({"block": pa.array(of[spot].astype(np.int64)), "gram": pa.array([gram[a:z].tobytes() for a, z in cut], pa.binary()), "hot": pa.array([hot[a:z].tobytes() for a, z in cut], pa.binary())})
+        return pa.table({"block": pa.array(of[spot].astype(np.int64)), "kind": pa.array(["anchor"] * len(cut), pa.string()), "a": pa.array([gram[a:z].tobytes() for a, z in cut], pa.binary()), "b": pa.array([hot[a:z].tobytes() for a, z in cut], pa.binary()), "c": pa.array([None] * len(cut), pa.binary())})
 
-    answers = text.mapInArrow(anchors, "deal long, gram binary, of binary, n binary").groupBy("deal").applyInArrow(repeats, "block long, gram binary, hot binary")
+    answers = text.mapInArrow(anchors, "deal long, gram binary, of binary, n binary").groupBy("deal").applyInArrow(repeats, "block long, kind string, a binary, b binary, c binary")
     answers = materialize(answers, "anchors")
 
-    def gather(left: pa.Table, right: pa.Table) -> pa.Table:
-        """A block's texts without repeated anchors are done; of the others, the passages are dealt out and the rest waits."""
-        gram = np.frombuffer(b"".join(right["gram"].to_pylist()), _U)
-        hot = np.frombuffer(b"".join(right["hot"].to_pylist()), bool)
+    def passages(left: pa.Table, right: pa.Table) -> tuple[list[int | None], np.ndarray, np.ndarray, Passages]:
+        """A block's texts in a fixed order, so that its passages have the same numbers whenever they are worked out."""
+        gram = np.frombuffer(b"".join(right["a"].to_pylist()), _U)
+        hot = np.frombuffer(b"".join(right["b"].to_pylist()), bool)
         order = np.argsort(gram, kind="stable")
         gram, hot = gram[order], hot[order]
         one = np.ones(len(gram), bool)
         one[1:] = gram[1:] != gram[:-1]  # several batches may have told of it
-        gram, hot = gram[one], hot[one]
-        buf, off = tc.column_bytes(left["text"])
-        ids = left["doc_id"].fill_null(NEVER).to_numpy()
-        p = Passages(buf, off, ids, gram, hot, length)
-        doc = np.searchsorted(off, p.start, "right") - 1
-        waits = np.zeros(len(ids), bool)
-        waits[doc] = True
-        out = {c: [] for c in ("kind", "block", "deal", "a", "b", "c", "d", "e", "row")}
-
-        def put(kind, deal=None, a=None, b=None, c=None, d=None, e=None, row=None):
-            for k, v in zip(out, (kind, block, deal, a, b, c, d, e, row), strict=True):
-                out[k].append(v)
-
-        block = left["block"][0].as_py() if len(ids) else None
-        null_ids = left["doc_id"].to_pylist()
-        done = np.flatnonzero(~waits)
-        for k in done.tolist():
-            put("done", row=_rows([null_ids[k]], buf[off[k] : off[k + 1]], np.array([0, off[k + 1] - off[k]]), None, keep)[0])
-        if waits.any():
-            rest = np.flatnonzero(waits)
-            new_off = np.concatenate(([0], np.cumsum(np.diff(off)[rest])))
-            moved = p.start - off[doc] + new_off[np.searchsorted(rest, doc)]
-            runs_ = np.stack([moved, p.count, p.which * 2 + p.leads]).astype(np.int32)
-            put("wait", a=b"".join(buf[off[k] : off[k + 1]].tobytes() for k in rest.tolist()), b=new_off.astype(np.int64).tobytes(), c=ids[rest].tobytes(), d=runs_.tobytes())
+        ids = left["doc_id"].to_pylist()
+        texts = left["text"].to_pylist()
+        rows = sorted(zip([NEVER if i is None else i for i in ids], texts, strict=True))
+        buf, off = tc.column_bytes(pa.array([t for _, t in rows], pa.string()))
+        keys = np.array([i for i, _ in rows], np.int64)
+        return [None if i == NEVER else i for i in keys.tolist()], buf, off, Passages(buf, off, keys, gram[one], hot[one], length)
+
+    def gather(left: pa.Table, right: pa.Table) -> pa.Table:
+        """A block's distinct passages, dealt out by anchor."""
+        out = {c: [] for c in ("block", "deal", "a", "b", "c", "d")}
+        if left.num_rows and right.num_rows:
+            p = passages(left, right)[3]
+            pack = zstandard.ZstdCompressor(1)
             order, cut = _blobs(p.key, deals)
             for d, x, z in cut:
                 mine = order[x:z]
                 text_ = [p.bytes[i] for i in mine.tolist()]
-                put("deal", deal=d, a=b"".join(text_), b=np.array([len(t) for t in text_], np.int32).tobytes(), c=np.stack([p.key[mine].view(np.int64), p.doc_id[mine], p.at[mine]]).tobytes(), d=mine.astype(np.int32).tobytes())
-        kinds = {"kind": pa.string(), "block": pa.int64(), "deal": pa.int64(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary(), "d": pa.binary(), "e": pa.binary(), "row": pa.struct(list(_RESULT))}
-        return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
-
-    shape = f"kind string, block long, deal long, a binary, b binary, c binary, d binary, e binary, row struct<{RESULT.replace(' long', ':long').replace('spans ', 'spans:').replace(' string', ':string').replace(' binary', ':binary')}>"
-    gathered = materialize(text.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(gather, shape), "passages")
+                row = (left["block"][0].as_py(), d, pack.compress(b"".join(text_)), np.array([len(t) for t in text_], np.int32).tobytes(), np.stack([p.key[mine].view(np.int64), p.doc_id[mine], p.at[mine]]).tobytes(), mine.astype(np.int32).tobytes())
+                for k, v in zip(out, row, strict=True):
+                    out[k].append(v)
+        return pa.table({k: pa.array(v, pa.int64() if k in {"block", "deal"} else pa.binary()) for k, v in out.items()})
 
     def resolve(t: pa.Table) -> pa.Table:
-        parts_ = []
+        parts_, unpack = [], zstandard.ZstdDecompressor()
         for a, b, c in zip(t["a"].to_pylist(), t["b"].to_pylist(), t["c"].to_pylist(), strict=True):
-            n = np.frombuffer(b, np.int32).astype(np.int64)
+            n, a = np.frombuffer(b, np.int32).astype(np.int64), unpack.decompress(a)
             end = np.cumsum(n)
             key, own, at = np.frombuffer(c, np.int64).reshape(3, -1)
             parts_.append({"bytes": [a[x:z] for x, z in zip((end - n).tolist(), end.tolist(), strict=True)], "key": key.view(_U), "doc_id": own, "at": at, "n": n - length + 1})
         masks = _resolve(parts_, length)
-        return pa.table({"block": t["block"], "which": t["d"], "starts": pa.array([p["n"].astype(np.int32).tobytes() for p in parts_], pa.binary()), "mask": pa.array([np.packbits(m).tobytes() for m in masks], pa.binary())})
-
-    dealt = gathered.where("kind = 'deal'").select("block", "deal", "a", "b", "c", "d")
-    told = dealt.groupBy("deal").applyInArrow(resolve, "block long, which binary, starts binary, mask binary")
+        return pa.table({"block": t["block"], "kind": pa.array(["mask"] * len(parts_), pa.string()), "a": t["d"], "b": pa.array([p["n"].astype(np.int32).tobytes() for p in parts_], pa.binary()), "c": pa.array([np.packbits(m).tobytes() for m in masks], pa.binary())})
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
+        if not left.num_rows:
+            return pa.Table.from_pylist([], _RESULT)
+        kind = right["kind"]
+        ids, buf, off, p = passages(left, right.filter(pc.equal(kind, "anchor")))
+        told_ = right.filter(pc.equal(kind, "mask"))
         mask_of: dict[int, np.ndarray] = {}
-        for w, n, m in zip(right["which"].to_pylist(), right["starts"].to_pylist(), right["mask"].to_pylist(), strict=True):
+        for w, n, m in zip(told_["a"].to_pylist(), told_["b"].to_pylist(), told_["c"].to_pylist(), strict=True):
             w, n = np.frombuffer(w, np.int32), np.frombuffer(n, np.int32).astype(np.int64)
             bits = np.unpackbits(np.frombuffer(m, np.uint8), count=int(n.sum())).view(bool)
             for i, x in zip(w.tolist(), np.split(bits, np.cumsum(n)[:-1]), strict=True):
                 mask_of[i] = x
-        for a, b, c, d in zip(left["a"].to_pylist(), left["b"].to_pylist(), left["c"].to_pylist(), left["d"].to_pylist(), strict=True):
-            buf, off, ids = np.frombuffer(a, np.uint8), np.frombuffer(b, np.int64), np.frombuffer(c, np.int64)
-            start, count, which = np.frombuffer(d, np.int32).reshape(3, -1).astype(np.int64)
-            repeated = np.zeros(len(buf) + length + 1, bool)
-            for p, n, w in zip(start.tolist(), count.tolist(), which.tolist(), strict=True):
-                repeated[p : p + n] = mask_of[w >> 1] if w & 1 else True
-            depth = np.zeros(len(repeated) + 1, np.int32)
-            at = np.flatnonzero(repeated)
-            depth[at] += 1
-            depth[at + length] -= 1
-            covered = np.cumsum(depth)[: len(buf)] > 0
-            rows += _rows([None if i == NEVER else int(i) for i in ids], buf, off, covered, keep)
-        return pa.Table.from_pylist(rows, _RESULT)
-
-    waiting = gathered.where("kind = 'wait'").select("block", "a", "b", "c", "d")
-    rest = waiting.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(cut, RESULT)
-    return gathered.where("kind = 'done'").select("row.*").union(rest)
+        repeated = np.zeros(len(buf) + length + 1, bool)
+        for x, n, w, leads in zip(p.start.tolist(), p.count.tolist(), p.which.tolist(), p.leads.tolist(), strict=True):
+            repeated[x : x + n] = mask_of[w] if leads else True
+        depth = np.zeros(len(repeated) + 1, np.int32)
+        at = np.flatnonzero(repeated)
+        depth[at] += 1
+        depth[at + length] -= 1
+        return pa.Table.from_pylist(_rows(ids, buf, off, np.cumsum(depth)[: len(buf)] > 0, keep), _RESULT)
+
+    # The texts are dealt into blocks once; both uses below read the same exchange.
+    blocks_ = text.groupBy("block")
+    dealt = blocks_.cogroup(answers.groupBy("block")).applyInArrow(gather, "block long, deal long, a binary, b binary, c binary, d binary")
+    told = dealt.groupBy("deal").applyInArrow(resolve, "block long, kind string, a binary, b binary, c binary")
+    return text.groupBy("block").cogroup(answers.union(told).groupBy("block")).applyInArrow(cut, RESULT)
 
 
 def report(found: DataFrame) -> DataFrame:
