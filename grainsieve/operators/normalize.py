@@ -107,7 +107,7 @@ def fuzzy(kb: KnowledgeBase):
     def match(terms: pd.Series) -> pd.Series:
         return terms.map(lambda ts: [one(t) for t in ts] if ts is not None else None)
 
-    return match
+    return match.asNondeterministic()  # so that it stays a step of its own
 
 
 def known(parts: Column, kb: KnowledgeBase) -> Column:

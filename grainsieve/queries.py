@@ -42,7 +42,7 @@ def q(x) -> str:
     if isinstance(x, int | float):
         return repr(x)
     if isinstance(x, list | tuple):
-        return "[" + ", ".join(map(q, x)) + "]::VARCHAR[]"
+        return "([" + ", ".join(map(q, x)) + "]::VARCHAR[])"
     return "'" + x.replace("'", "''") + "'"
 
 
