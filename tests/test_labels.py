@@ -174,3 +174,19 @@ def test_lookups(spark):
     assert lookups.newest(rows, "u", "at", "id").count() == 20
     assert lookups.latest_requests(rows, "u", "id").first().at == 29
     assert parsed(labels.samples(spark)).where(F.size("claims") == 1).count() == 4
+
+
+def test_forms(spark):
+    from grainsieve.operators import forms
+
+    p = forms.profiles(spark.createDataFrame([(1, [" milk", "EGG", ""], "x", "花生、 芝麻")], "user_id int, allergens array<string>, population string, avoid string")).first()
+    assert (p.allergens, p.population, p.avoid) == (["MILK", "EGG"], "成人", ["花生", "芝麻"])
+    rows = spark.createDataFrame([("a", 1, "糖", "1"), ("a", 2, "", "1"), ("a", 3, "钠", "x"), ("b", 1, "糖", "2")], "k string, place int, name string, value string")
+    assert [tuple(r) for r in forms.checked_rows(rows, "k").collect()] == [("a", 2, "missing_name")]
+
+
+def test_product_records_keep_their_failures(spark):
+    from grainsieve.sources.records import product_records
+
+    got = product_records(spark, "http://127.0.0.1:9/{code}", ["1", "2"], 1).collect()
+    assert {(r.code, r.state) for r in got} == {("1", "network"), ("2", "network")}
