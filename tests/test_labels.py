@@ -134,7 +134,7 @@ def test_confidence_and_rejection(spark):
 
 
 def test_unknown_ingredient_never_agrees(spark):
-    df = spark.createDataFrame([("a", "水、白开水、净水、生活饮用水、饮用水、龙舌兰糖浆", "糖 0g", "无糖")], "label_id string, ingredients_text string, nutrition_text string, claims_text string")
+    df = spark.createDataFrame([("a", "水、柠檬酸、食用盐、大豆油、龙舌兰糖浆", "糖 0g", "无糖")], "label_id string, ingredients_text string, nutrition_text string, claims_text string")
     assert [v.label for v in verify(df).first().claim_verdicts] == ["无法判定"]
 
 
