@@ -64,4 +64,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_bpe_round_trip, op2_secret_scans, op3_ngram_jaccard_join, op4_token_counts, op5_toxicity, op6_spotsigs_fingerprints, op7_language_id, op8_benchmark_decontamination, op9_suffix_array_dedup, op10_sharding)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+#: The other operators are tested against brute force, the public library or held-out rows: SQL cannot express them.
+ORACLE_SQL: dict[str, str] = {
+    "op8_benchmark_decontamination": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k : k + n - 1], ' '))) AS s FROM (SELECT *, least(10, len(w)) AS n FROM b WHERE len(w) > 0)),
+own AS (SELECT doc_id, n, u.k, u.s FROM (SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: {{'k': k, 's': array_to_string(w[k : k + n - 1], ' ')}})) AS u FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+h AS (SELECT doc_id, k, own.n, item_id FROM own JOIN win ON win.n = own.n AND win.s = own.s),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM h) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
+}
