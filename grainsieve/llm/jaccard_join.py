@@ -14,6 +14,7 @@ different components.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import cache
@@ -141,35 +142,58 @@ def _sketch(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bridge(ids: list[int], comps: list[int], blobs: list[bytes], sides: list[int], bs: Bands) -> list[tuple[int, int]]:
-    """Links that join different components: all pairs (of different sides, if there are two) but those that are joined already."""
-    sets = [np.frombuffer(x, _U) for x in blobs]
-    sketches = np.array([_sketch(s) for s in sets])
-    size = np.array([len(s) for s in sets])
-    most = np.array([bs.differs(x) for x in range(int(size.max()) * 2 + 1)])
-    root = {c: c for c in comps}
-
-    def find(c: int) -> int:
-        while root[c] != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
-
-    found, side = [], np.array(sides)
-    two = len(set(sides)) > 1
-    for k in range(len(ids) - 1):
-        near = np.bitwise_count(sketches[k + 1 :] ^ sketches[k]).sum(axis=1) <= most[size[k + 1 :] + size[k]]
-        if two:
-            near &= side[k + 1 :] != side[k]
-        for x in np.flatnonzero(near) + k + 1:
-            a, b = find(comps[k]), find(comps[x])
-            if a != b and _linked(sets[k], sets[x], bs.t):
-                root[max(a, b)] = min(a, b)
-                found.append((ids[k], ids[x]))
-    return found
-
-
-TILE = 1000
+def _pairs(tile: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one tile (rows are sorted by it), of different sides if it has two; about PAIRS_AT_ONCE at a time."""
+    cut = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1], [True])))
+    left, right, n = [], [], 0
+    for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        two = len(np.unique(side[a:z])) > 1 if z - a > 2 else False
+        for k in range(a, z - 1):
+            other = np.arange(k + 1, z)
+            if two:
+                other = other[side[k + 1 : z] != side[k]]
+            left.append(np.full(len(other), k))
+            right.append(other)
+            n += len(other)
+            if n > PAIRS_AT_ONCE:
+                yield np.concatenate(left), np.concatenate(right)
+                left, right, n = [], [], 0
+    if n:
+        yield np.concatenate(left), np.concatenate(right)
+
+
+def _near(tile: np.ndarray, ids: np.ndarray, comp: np.ndarray, sketches: np.ndarray, size: np.ndarray, side: np.ndarray, bs: Bands, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of different components within a tile that the sketches do not rule out.
+
+    With `most`, a pair is left out if both its components have so many; the flags say whether any was.
+    """
+    order = np.argsort(tile, kind="stable")
+    tile, ids, comp, sketches, size, side = (x[order] for x in (tile, ids, comp, sketches, size, side))
+    limit = np.array([bs.differs(x) for x in range(int(size.max()) * 2 + 1)])
+    found: dict[tuple[int, int], None] = {}
+    taken: dict[int, int] = {}
+    over = False
+    for x, y in _pairs(tile, side):
+        apart = comp[x] != comp[y]
+        x, y = x[apart], y[apart]
+        near = np.bitwise_count(sketches[x] ^ sketches[y]).sum(axis=1) <= limit[size[x] + size[y]]
+        x, y = x[near], y[near]
+        a, b = np.minimum(ids[x], ids[y]).tolist(), np.maximum(ids[x], ids[y]).tolist()
+        c, d = np.minimum(comp[x], comp[y]).tolist(), np.maximum(comp[x], comp[y]).tolist()
+        for p, q in zip(zip(a, b, strict=True), zip(c, d, strict=True), strict=True):
+            if p not in found:
+                c, d = q
+                if most is None or taken.get(c, 0) < most or taken.get(d, 0) < most:
+                    found[p] = None
+                    taken[c], taken[d] = taken.get(c, 0) + 1, taken.get(d, 0) + 1
+                else:
+                    over = True
+    both = np.array(list(found), np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1], np.full(len(both), over)
+
+
+PAIRS_AT_ONCE = 20_000
+TILE, PAIRS = 1000, 4
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (8, 10)) -> DataFrame:
@@ -244,14 +268,21 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, in
 
     # The sets of all candidates, once each, from the texts of one document that has them.
     members = groups.mapInArrow(members_of, "g long, id long")
-    owners = each.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    named = each.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+    owners = named.groupBy("doc_id").agg(F.collect_set("id").alias("ids"))  # a doc_id has as many sets as its rows have texts
 
     def rebuilt(batches):
         for b in batches:
-            found = [s for s in shingle_sets(b["text"], words) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["id", "grams"])
+            got = [(_key(s), s) if len(s) else (None, s) for s in shingle_sets(b["text"], words)]
+            own = [(k, s) for (k, s), ids in zip(got, b["ids"].to_pylist(), strict=True) if k in ids]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int64()), pa.array([len(s) for _, s in own], pa.int32()), pa.array([_sketch(s).tobytes() for _, s in own], pa.binary()), pa.array([s.tobytes() for _, s in own], pa.binary())], ["id", "size", "sketch", "grams"])
 
-    grams = materialize(doc.join(owners, "doc_id", "left_semi").select("text").mapInArrow(rebuilt, "id long, grams binary").dropDuplicates(["id"]), "grams")
+    # A merge join at every size, so that small inputs behave as large ones do; it also leaves equal rows together.
+    owned = doc.join(owners.hint("merge"), "doc_id").groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.first("ids").alias("ids")).select("text", "ids")
+    # Bucketed by id, as every round of verifying joins it twice: only the pairs are shuffled then. It goes again at the end.
+    bucketed = f"grams_{uuid.uuid4().hex}"
+    owned.mapInArrow(rebuilt, "id long, size int, sketch binary, grams binary").repartition(parts, "id").write.bucketBy(parts, "id").sortBy("id").saveAsTable(bucketed)
+    grams = spark.table(bucketed)
 
     def verify(batches):
         t = bands(num, den).t
@@ -259,25 +290,53 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, in
             ok = [_linked(np.frombuffer(x, _U), np.frombuffer(y, _U), t) for x, y in zip(b["ga"].to_pylist(), b["gb"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
-    first = groups.mapInArrow(stars, "a long, b long").groupBy("b").agg(F.min("a").alias("a"))
-    pairs = first.join(grams.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b").join(grams.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
-    links = materialize(pairs.select("a", "b", "ga", "gb").mapInArrow(verify, "a long, b long, ok boolean").where("ok").select("a", "b"), "links")
-    comp = materialize(connected_components(links), "components")
-
-    # Groups whose sets are still in several components: every pair across components, in tiles of bounded size.
-    labelled = members.join(comp, "id", "left").select("g", "id", F.coalesce("component", "id").alias("c"))
-    split = labelled.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("g", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    open_ = labelled.join(split, "g").withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    tiled = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("g", "id", "c", "own", F.least("own", "other").alias("t0"), F.greatest("own", "other").alias("t1"))
-
-    def bridge(t: pa.Table) -> pa.Table:
-        own = t["own"].to_pylist()
-        found = _bridge(t["id"].to_pylist(), t["c"].to_pylist(), t["grams"].to_pylist(), own, bands(num, den))
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
-
-    more = materialize(tiled.join(grams, "id").groupBy("g", "t0", "t1").applyInArrow(bridge, "a long, b long"), "bridges")
-    comp = connected_components(links.union(more))
-
+    def verified(pairs: DataFrame) -> DataFrame:
+        left = pairs.join(grams.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
+        both = left.join(grams.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").select("a", "b", "ga", "gb")
+        return materialize(both.mapInArrow(verify, "a long, b long, ok boolean"), "verified")
+
+    def bridge(most: int | None):
+        def near(t: pa.Table) -> pa.Table:
+            sketches = np.frombuffer(b"".join(t["sketch"].to_pylist()), _U).reshape(t.num_rows, -1)
+            a, b, more = _near(*(t[x].to_numpy() for x in ("tile", "id", "c")), sketches, *(t[x].to_numpy() for x in ("size", "own")), bands(num, den), most)
+            return pa.table({"a": a, "b": b, "more": more})
+
+        return near
+
+    def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+        """comp with the components that links join made one: components of the components, so settled links are not gone through again."""
+        of = lambda c: comp.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+        ends = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        roots = connected_components(ends).select(F.col("id").alias("component"), F.col("component").alias("root"))
+        return materialize(comp.join(roots, "component", "left").select("id", F.coalesce("root", "component").alias("component")), "components")
+
+    tried = verified(groups.mapInArrow(stars, "a long, b long").groupBy("b").agg(F.min("a").alias("a")))
+    alone = materialize(members.select("id").distinct().select("id", F.col("id").alias("component")), "components")
+    comp = merged(alone, tried.where("ok").select("a", "b"))
+
+    # Groups whose sets are still in several components: pairs across components, in tiles of bounded size. While that
+    # joins components, a few pairs are enough for each of them; the last round leaves none out.
+    most = PAIRS
+    while True:
+        labelled = members.join(comp, "id").select("g", "id", F.col("component").alias("c"))
+        split = labelled.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("g", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+        open_ = labelled.join(split, "g").withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+        tiled = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("g", "id", "c", "own", F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("tile"))
+        dealt = tiled.join(grams.select("id", "size", "sketch"), "id").groupBy(F.pmod("tile", F.lit(deals)))
+        near = dealt.applyInArrow(bridge(most), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+        near = materialize(near.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "near")
+        new = verified(near.select("a", "b"))
+        tried = tried.union(new)
+        links = new.where("ok").select("a", "b")
+        found, more = bool(links.head(1)), bool(near.where("more").head(1))
+        if found:
+            comp = merged(comp, links)
+        if most is None or not more:
+            break
+        if not found:
+            most = None
+
+    spark.sql(f"DROP TABLE {bucketed}")
     owner = each.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("least"))
     named = owner.join(comp, "id", "left").select("id", "least", F.coalesce("component", "id").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
