@@ -315,7 +315,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, in
     comp = merged(alone, tried.where("ok").select("a", "b"))
 
     # Groups whose sets are still in several components: pairs across components, in tiles of bounded size. While that
-    # joins components, a few pairs are enough for each of them; the last round leaves none out.
+    # joins components, a few pairs are enough for each of them; the last round leaves none out. Whether a tile left any
+    # out is read before tried pairs go, as these count among the few.
     most = PAIRS
     while True:
         labelled = members.join(comp, "id").select("g", "id", F.col("component").alias("c"))
@@ -323,9 +324,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, in
         open_ = labelled.join(split, "g").withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
         tiled = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("g", "id", "c", "own", F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("tile"))
         dealt = tiled.join(grams.select("id", "size", "sketch"), "id").groupBy(F.pmod("tile", F.lit(deals)))
-        near = dealt.applyInArrow(bridge(most), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
-        near = materialize(near.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "near")
-        new = verified(near.select("a", "b"))
+        near = materialize(dealt.applyInArrow(bridge(most), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")), "near")
+        new = verified(near.select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti"))
         tried = tried.union(new)
         links = new.where("ok").select("a", "b")
         found, more = bool(links.head(1)), bool(near.where("more").head(1))

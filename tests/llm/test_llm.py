@@ -115,6 +115,19 @@ def test_jaccard_chain_without_hub(spark):
     assert {r.component_id for r in got} == {89}
 
 
+def test_jaccard_link_behind_failing_pairs(spark, monkeypatch):
+    """Two components with one link among 121 pairs that the sketches let through, while chains link in other groups."""
+    monkeypatch.setattr(jaccard_join, "PAIRS", 1)
+    rows = []
+    for c in range(4):  # texts of 3,000 shingles, shifted along a line: they link up to a shift of 157 words
+        line = [f"c{c}w{k}" for k in range(3400)]
+        rows += [(1000 * c + k, " ".join(line[x : x + 3002])) for k, x in enumerate([*range(11), *range(167, 178)])]
+    line = [f"w{k}" for k in range(400)]
+    rows += [(9000 + s, " ".join(line[s * 6 : s * 6 + 150])) for s in range(30)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, (90, 100)).collect()
+    assert {r.component_id for r in got} == {0, 1000, 2000, 3000, 9000}
+
+
 def test_jaccard_empty(empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
