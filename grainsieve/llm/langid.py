@@ -1,6 +1,6 @@
 """Language identification by a linear-chain conditional random field over words.
 
-A word's features are its affixes, its letter n-grams and, if it is in the learned lexicon, the word itself; the
+A word is a run of letters; longer runs are cut into consecutive words of 40 letters. A word's features are its affixes, its letter n-grams and, if it is in the learned lexicon, the word itself; the
 transitions between labels are learned from sequences that switch between languages. Forward-backward gives each word
 a distribution over languages; a text's language is the one with the largest mean share, and that share its score.
 """
@@ -21,11 +21,11 @@ from .bpe import runs
 
 WORDS_KEPT = 600_000
 CHUNK = 64
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]{1,40}")  # of a script without spaces, a whole clause is one run: its pieces are the words
 
 
 def features(word: str) -> list[str]:
-    w = f"^{word[:40]}$"  # of a script without spaces, a whole clause is one word
+    w = f"^{word}$"
     out = [f"<{w[:k]}" for k in (2, 3, 4)] + [f">{w[-k:]}" for k in (2, 3, 4, 5)]
     out += [w[k : k + 3] for k in range(len(w) - 2)] + [w[k : k + 1] for k in range(1, len(w) - 1)]
     out.append(f"={word}")

@@ -280,6 +280,17 @@ def test_language_id(spark, empty):
     assert {r.lang_pred for r in langid.identify(spark.createDataFrame(texts, "doc_id long, text string, lang string"), None).collect()} == {"und"}
 
 
+def test_language_of_long_runs(spark):
+    """All letters of a run without spaces count."""
+    rng = random.Random(12)
+    stems = {"aa": "かきくけこ", "bb": "ㅏㅑㅓㅕㅗ"}
+    make = lambda lang, n: "".join(rng.choice(stems[lang]) for _ in range(n))
+    model = langid.fit([(lang, " ".join(make(lang, 6) for _ in range(60))) for lang in stems for _ in range(10)], rounds=15)
+    texts = [(0, make("aa", 40) + make("bb", 400)), (1, make("bb", 45) + make("aa", 400)), (2, make("aa", 80) + make("bb", 80))]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(texts, "doc_id long, text string"), model, spans=True).collect()}
+    assert got[0].lang_pred == "bb" and got[1].lang_pred == "aa" and {s.lang for s in got[2].lang_spans} == {"aa", "bb"}
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(9)
     bad = ["blarg", "snozz", "grumph"]
