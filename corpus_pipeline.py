@@ -10,8 +10,13 @@ from grainsieve.runtime import materialize, table
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose language can't be told: null texts and texts without a letter. lang becomes the prediction."""
+    """Documents go whose language can't be told: null texts and texts without a letter. lang becomes the prediction.
+
+    If there is nothing to learn from, as without any lang, the same documents go and lang stays as it is.
+    """
     model = langid.learned(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = langid.identify(docs, model).where(F.col("lang_pred") != langid.UNKNOWN)
     return found.withColumn("lang", F.col("lang_pred")).select(docs.columns)
 

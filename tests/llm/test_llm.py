@@ -291,6 +291,15 @@ def test_language_of_long_runs(spark):
     assert got[0].lang_pred == "bb" and got[1].lang_pred == "aa" and {s.lang for s in got[2].lang_spans} == {"aa", "bb"}
 
 
+def test_pipeline_keeps_documents_of_null_lang(spark):
+    import corpus_pipeline
+
+    rows = [(1, "some words", None), (2, "жук", None), (3, "12 ²! _", None), (4, "", None), (5, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = corpus_pipeline.keep_known_languages(spark, docs, "")
+    assert got.columns == docs.columns and {(r.doc_id, r.lang) for r in got.collect()} == {(1, None), (2, None)}
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(9)
     bad = ["blarg", "snozz", "grumph"]
