@@ -222,10 +222,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, in
                 ids.append(key)
                 sigs.append(signatures(s, bands(num, den)).tobytes() if key and key not in seen else None)
                 seen.add(key)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "id", "sigs"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["row"], pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "row", "n_shingles", "id", "sigs"])
 
-    doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    each = materialize(doc.mapInArrow(sets, "doc_id long, n_shingles long, id long, sigs binary"), "sets")
+    # row names a text's rows: the doc_id or, as that may be null, the text's hash.
+    doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.coalesce("doc_id", F.xxhash64("text")))
+    each = materialize(doc.mapInArrow(sets, "doc_id long, row long, n_shingles long, id long, sigs binary"), "sets")
     deals = int(max(parts, (each.agg(F.sum(F.octet_length("sigs"))).first()[0] or 0) // 3_000_000 + 1))
 
     def deal(batches):
@@ -266,10 +267,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, in
             g = [int.from_bytes(blake2b(x, digest_size=8).digest(), "little", signed=True) for x in blobs]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(g, np.int64), [len(x) for x in sets_])), pa.array(np.concatenate([np.zeros(0, np.int64), *sets_]))], ["g", "id"])
 
-    # The sets of all candidates, once each, from the texts of one document that has them.
+    # The sets of all candidates, once each, from the texts of one document that has them, of null doc_id or not.
     members = groups.mapInArrow(members_of, "g long, id long")
-    named = each.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-    owners = named.groupBy("doc_id").agg(F.collect_set("id").alias("ids"))  # a doc_id has as many sets as its rows have texts
+    named = each.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("row").alias("row"))
+    owners = named.groupBy("row").agg(F.collect_set("id").alias("ids"))  # a doc_id has as many sets as its rows have texts
 
     def rebuilt(batches):
         for b in batches:
@@ -278,7 +279,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, in
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int64()), pa.array([len(s) for _, s in own], pa.int32()), pa.array([_sketch(s).tobytes() for _, s in own], pa.binary()), pa.array([s.tobytes() for _, s in own], pa.binary())], ["id", "size", "sketch", "grams"])
 
     # A merge join at every size, so that small inputs behave as large ones do; it also leaves equal rows together.
-    owned = doc.join(owners.hint("merge"), "doc_id").groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.first("ids").alias("ids")).select("text", "ids")
+    owned = doc.join(owners.hint("merge"), "row").groupBy("row", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.first("ids").alias("ids")).select("text", "ids")
     # Bucketed by id, as every round of verifying joins it twice: only the pairs are shuffled then. It goes again at the end.
     bucketed = f"grams_{uuid.uuid4().hex}"
     owned.mapInArrow(rebuilt, "id long, size int, sketch binary, grams binary").repartition(parts, "id").write.bucketBy(parts, "id").sortBy("id").saveAsTable(bucketed)

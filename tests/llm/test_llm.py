@@ -128,6 +128,14 @@ def test_jaccard_link_behind_failing_pairs(spark, monkeypatch):
     assert {r.component_id for r in got} == {0, 1000, 2000, 3000, 9000}
 
 
+def test_jaccard_links_through_rows_of_null_doc_id(spark):
+    line = [f"w{k}" for k in range(400)]
+    texts = [" ".join(line[x : x + 150]) for x in (0, 6, 12, 250)]
+    rows = [(7, texts[0]), (None, texts[1]), (9, texts[2]), (None, texts[3])]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, (90, 100)).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 7), (7, 7), (9, 7)]
+
+
 def test_jaccard_empty(empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
