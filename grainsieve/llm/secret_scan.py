@@ -244,10 +244,8 @@ def sample_texts(docs: DataFrame, per_kind: int = 800, longest: int = 20_000) ->
 
 
 def find(text: str, model: Field | None) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of all secrets: the patterns' and, where they do not overlap these, the field's."""
-    base = base_spans(text)
-    own = [(a, 3, z) for a, z in model.tag(text)] if model else []
-    return sorted(base + [s for s in own if not any(b[0] < s[2] and s[0] < b[2] for b in base)])
+    """(start, kind, end) of all secrets: the patterns' and the field's, which may overlap."""
+    return sorted(base_spans(text) + ([(a, 3, z) for a, z in model.tag(text)] if model else []))
 
 
 SPANS = "array<struct<kind:string,start:long,stop:long>>"

@@ -243,6 +243,17 @@ def test_secret_field(spark, docs, empty):
     assert secret_scan.scan(empty, None).count() == 0
 
 
+def test_secret_spans_may_overlap(spark):
+    rng = random.Random(5)
+    secret = lambda: "".join(rng.choice("abcdef0123456789") for _ in range(8)) + "!Xy9#Zk"
+    model = secret_scan.fit([words(rng, 8) + f" password={secret()} " + words(rng, 5) for _ in range(80)] + [words(rng, 15) for _ in range(40)])
+    text = words(rng, 6) + " password=ab12cd34!Xy9#Zk " + words(rng, 6)
+    at = text.index("password")
+    assert secret_scan.find(text, model) == [(at, 0, at + 17), (at, 3, at + 24)]
+    masked = secret_scan.mask(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first().text
+    assert masked == text.replace("password=ab12cd34!Xy9#Zk", "<SECRET>")
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(6)
     for _ in range(40):
