@@ -4,9 +4,9 @@ Tokens are runs of anything but white space, tagged begin, inside or outside of
 of the neighbouring tokens and features of the file, and decoded by Viterbi. The patterns' spans are always kept; the
 field adds spans of its own.
 
-Most tokens are plain words: no digit, none of =_+/@: and no eight capitals in a row. The field holds them outside by a
-constraint, in learning and in decoding, so the chain falls apart at them: decoding the stretches of other tokens
-between them gives what decoding the whole text would.
+Most tokens are plain words: nothing in their shape is odd (_ODD), they hold no keyword and are not among the AFTER
+tokens behind a keyword or an opener. The field holds them outside by a constraint, in learning and in decoding, so the
+chain falls apart at them: decoding the stretches of other tokens between them gives what decoding the whole text would.
 """
 
 from __future__ import annotations
@@ -28,7 +28,11 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 _KEYWORD = re.compile(r"password|passwd|secret|token|api_?key", re.ASCII | re.IGNORECASE)
-_ODD = re.compile(r"[0-9=_+/@:]|[A-Z]{8}")
+_OPENER = re.compile(r"pass(?:word|wd|phrase|code|key)|pwd|secret|token|api_?key|bearer|credential|\bkey\b", re.ASCII | re.IGNORECASE)
+# Signs of codes, capitals within a word, long runs of letters, symbols between letters.
+_ODD = re.compile(r"[0-9=_+/@:]|[A-Z]{8}|[a-z][A-Z]|[A-Z]{2}[a-z]|[A-Za-z.-]{20}|[^\W\d_][#$%^&*!~?|\\][^\W\d_]", re.ASCII)
+_ENTERS = re.compile(f"{_ODD.pattern}|(?i:{_OPENER.pattern})", re.ASCII)
+AFTER = 4  # tokens behind a keyword or an opener that enter the chain whatever their shape
 _SPACE, _TOKEN = re.compile(r"\s"), re.compile(r"\S+")
 KINDS = ("assign", "access", "hex", "crf")
 O, B, I = 0, 1, 2
@@ -49,13 +53,17 @@ def plain(token: str) -> bool:
     return not _ODD.search(token)
 
 
+def opens(token: str) -> bool:
+    return token.rstrip("\"'")[-1:] in (":", "=")
+
+
 def kind_of(token: str) -> str:
     """What a token is to its neighbours."""
     if plain(token):
-        return "keyword" if _KEYWORD.search(token) else "word"
-    if token[-1] in ":=":
+        return "keyword" if _OPENER.search(token) else "word"
+    if opens(token):
         return "opens"
-    if _KEYWORD.search(token):
+    if _OPENER.search(token):
         return "assigns"
     return "number" if not any(c.isalpha() for c in token) else "odd"
 
@@ -71,7 +79,8 @@ def shape(token: str) -> list[str]:
     for c in core:
         count[c] = count.get(c, 0) + 1
     entropy = -sum(k / n * math.log2(k / n) for k in count.values()) if n else 0.0
-    out = [f"len{min(n // 4, 12)}", f"turns{min(turns, 8)}", f"entropy{round(entropy * 2)}", f"kind_{kind_of(token)}"]
+    cases = sum(a.isupper() != b.isupper() for a, b in zip(core[1:], core[2:], strict=False) if a.isalpha() and b.isalpha())
+    out = [f"len{min(n // 4, 12)}", f"cases{min(cases, 6)}", f"turns{min(turns, 8)}", f"entropy{round(entropy * 2)}", f"kind_{kind_of(token)}"]
     out.append("mixed" if digits and letters else "digits" if digits else "letters")
     if letters and uppers == letters:
         out.append("upper")
@@ -90,10 +99,10 @@ def file_features(text: str, n_odd: int) -> list[str]:
     return [f"size{min(len(text).bit_length(), 18)}", f"odd{min(int(100 * n_odd / max(len(text), 1)), 4)}"]
 
 
-def odd_tokens(text: str) -> list[tuple[int, int]]:
-    """Where the tokens are that are not plain."""
+def chain_tokens(text: str) -> list[tuple[int, int]]:
+    """Where the tokens are that enter the chain: odd ones, keywords, and those soon after a keyword or an opener."""
     out, end = [], 0
-    for m in _ODD.finditer(text):
+    for m in _ENTERS.finditer(text):
         at = m.start()
         if at < end:
             continue
@@ -103,7 +112,17 @@ def odd_tokens(text: str) -> list[tuple[int, int]]:
         stop = _SPACE.search(text, at)
         end = stop.start() if stop else len(text)
         out.append((start, end))
-    return out
+    behind = []
+    for start, end in out:
+        token = text[start:end]
+        if opens(token) or _OPENER.search(token):
+            for _ in range(AFTER):
+                m = _TOKEN.search(text, end)
+                if not m:
+                    break
+                end = m.end()
+                behind.append(m.span())
+    return sorted({*out, *behind}) if behind else out
 
 
 def before(text: str, at: int) -> str | None:
@@ -122,9 +141,9 @@ def after(text: str, at: int) -> str | None:
 
 
 def stretches(text: str) -> list[list[tuple[int, int]]]:
-    """Odd tokens, those with nothing but white space between them together."""
+    """The chain's tokens, those with nothing but white space between them together."""
     out: list[list[tuple[int, int]]] = []
-    for s, e in odd_tokens(text):
+    for s, e in chain_tokens(text):
         if out and text[out[-1][-1][1] : s].isspace():
             out[-1].append((s, e))
         else:

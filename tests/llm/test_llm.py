@@ -254,6 +254,21 @@ def test_secret_spans_may_overlap(spark):
     assert masked == text.replace("password=ab12cd34!Xy9#Zk", "<SECRET>")
 
 
+def test_secrets_of_letters(spark):
+    """Tokens without digits or signs are tagged by shape and by what stands before them; words in prose are not."""
+    rng = random.Random(7)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+    plain = lambda n: " ".join(w[:-1] for w in words(rng, n).split())
+    texts = [plain(8) + f" password: {letters(16)} " + plain(6) for _ in range(100)] + [plain(6) + " note: " + plain(8) + " McCloud " + plain(4) for _ in range(100)]
+    model = secret_scan.fit(texts)
+    for opener in ("passphrase:", "Bearer", "pwd ="):
+        text, secret = plain(6), letters(16)
+        whole = f"{text} {opener} {secret} {plain(5)}"
+        assert not secret_scan.base_spans(whole)
+        assert any(a <= whole.index(secret) and z == whole.index(secret) + 16 for a, _, z in secret_scan.find(whole, model)), opener
+    assert not any(model.tag(plain(20)) for _ in range(50)) and sum(bool(model.tag(x)) for x in texts[100:]) <= 3
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(6)
     for _ in range(40):
