@@ -3,6 +3,9 @@
 A spot is a run of common words (anchors) followed by content words; its signature is the last anchor of the run with
 the chain of the next two content words, anchors between them passed over. A fingerprint is the set of a text's
 signatures. Texts without a spot have one signature, of all their words or, failing words, of the text itself.
+
+near_copies() finds all pairs of like fingerprints: they are partitioned by set length, only meet within a partition or
+the next one, and pairs that lengths or positions rule out are not compared.
 """
 
 from __future__ import annotations
@@ -112,3 +115,47 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy("_bucket").orderBy("_guest", F.asc_nulls_first("doc_id"), "_tie")
     rows = rows.withColumn("_next", F.lead("_own").over(order)).where("_guest = 0")
     return rows.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("_own")).alias("fingerprint"), as_text(F.col("_cut")).alias("edited_fingerprint"), "near_edited", likeness(F.col("_own"), F.col("_next")).alias("near_next"))
+
+
+def _partition(n: Column, num: int, den: int, longest: int) -> Column:
+    """The length partition of a set; a set's partners of at least num/den of its length are in its own or a neighbouring one."""
+    lows = [1]
+    while lows[-1] <= longest:
+        lows.append(max(lows[-1] + 1, -(-lows[-1] * den // num)))
+    return F.size(F.filter(F.array(*map(F.lit, lows)), lambda low: low <= n))
+
+
+def near_copies(docs: DataFrame, threshold: tuple[int, int] = (8, 10)) -> DataFrame:
+    """(doc_id, text) -> (a, b, likeness): all pairs of doc_ids a < b whose fingerprints' Jaccard similarity is at least num/den.
+
+    Equal fingerprints are compared once. A set's first n - ceil(n * num / den) + 1 signatures, rarest first, must hold
+    one of any partner's: only these are join keys, with the length partition. Pairs go before their sets are compared
+    if their lengths, or the places of the signature that they meet at, leave too few in common. Empty fingerprints and
+    rows of null doc_id are in no pair; rows that share a doc_id give the likest pair. Pairs grow with the square of a
+    group of near copies, as they are what is asked for. An empty table gives an empty one.
+    """
+    num, den = threshold
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    rows = with_signatures(rows, {"sigs": "text"}).where(F.size("sigs") > 0).select("doc_id", "sigs", F.sha2(F.array_join(F.col("sigs").cast("array<string>"), ","), 256).alias("id"))
+    rows = materialize(rows.distinct(), "fingerprints")
+    sets = rows.groupBy("id").agg(F.first("sigs").alias("sigs"))
+    each = sets.select("id", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
+    often = each.groupBy("sig").agg(F.count("*").alias("often"))
+    ranked = each.join(often, "sig").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "sig"))).alias("s"))
+    ranked = ranked.select("id", F.size("s").alias("n"), F.transform("s", lambda x: x["sig"]).alias("s"))
+    longest = ranked.agg(F.max("n")).first()[0] or 1
+    own = (F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1).cast("int")
+    keys = ranked.select("id", "n", _partition(F.col("n"), num, den, longest).alias("part"), F.posexplode(F.slice("s", F.lit(1), own)).alias("at", "sig"))
+    keys = materialize(keys, "prefixes")
+    x = keys.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), "sig", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"))
+    y = keys.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), "sig", "part")
+    both = F.lit(num) * (F.col("nx") + F.col("ny"))  # num / (num + den) of it, at least, are in common
+    left = F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) + F.least("ax", "ay")
+    pairs = x.join(y, ["sig", "part"]).where("nx < ny or nx = ny and x < y").where((F.col("nx") * den >= F.col("ny") * num) & (left * (num + den) >= both))
+    pairs = materialize(pairs.select("x", "y").distinct(), "pairs")
+    like = pairs.join(sets.select(F.col("id").alias("x"), F.col("sigs").alias("sx")), "x").join(sets.select(F.col("id").alias("y"), F.col("sigs").alias("sy")), "y")
+    common = F.size(F.array_intersect("sx", "sy"))
+    like = like.where(common * den >= (F.size("sx") + F.size("sy") - common) * num).select("x", "y", likeness(F.col("sx"), F.col("sy")).alias("likeness"))
+    like = like.union(sets.select(F.col("id").alias("x"), F.col("id").alias("y"), F.lit(1.0).alias("likeness")))
+    found = like.join(rows.select(F.col("id").alias("x"), F.col("doc_id").alias("dx")), "x").join(rows.select(F.col("id").alias("y"), F.col("doc_id").alias("dy")), "y").where("dx <> dy")
+    return found.groupBy(F.least("dx", "dy").alias("a"), F.greatest("dx", "dy").alias("b")).agg(F.max("likeness").alias("likeness"))

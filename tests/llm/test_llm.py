@@ -179,6 +179,23 @@ def test_spot_signatures(spark):
     assert [len(s) for s in got] == [2, 1, 0]
 
 
+@pytest.mark.parametrize(("num", "den"), [(8, 10), (1, 2)])
+def test_near_copies_against_brute_force(spark, empty, num, den):
+    rng = random.Random(13)
+    prose = lambda n: [rng.choice(["the", "of", "in", "a", *VOCABULARY]) + ("" if rng.random() < 0.5 else rng.choice("abc")) for _ in range(n)]
+    base, rows = prose(150), [(0, None), (1, ""), (2, "lone"), (3, "lone"), (None, "lone")]
+    for k in range(40):
+        text = list(base) if k % 2 else prose(80)
+        for _ in range(k // 4):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(99)}"
+        rows.append((10 + k, " ".join(text[: len(text) - k % 7 * 3])))
+    df = spark.createDataFrame([*rows, rows[9], rows[11]], "doc_id long, text string").repartition(5)
+    sets = {r.doc_id: set(r.s) for r in spotsigs.with_signatures(df, {"s": "text"}).collect() if r.doc_id is not None and r.s}
+    want = {(a, b, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) * den >= len(sets[a] | sets[b]) * num}
+    assert {(r.a, r.b, r.likeness) for r in spotsigs.near_copies(df, (num, den)).collect()} == want and len(want) > 20
+    assert spotsigs.near_copies(empty).count() == 0
+
+
 def decontaminated(text, items, window):
     w = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     found, hit, own = set(), set(), w(text)
