@@ -207,17 +207,17 @@ def fit(rows: list[tuple[str, str]], words_per_lang: int = 30_000, rounds: int =
 def sample_rows(docs: DataFrame, per_lang: int = 150, longest: int = 20_000) -> list[tuple[str, str]]:
     """At most per_lang labelled texts of each language, of at most `longest` characters: a documented bound on what is learned from.
 
-    Languages are counted over all rows; rows are taken by a hash of doc_id that has nothing to do with the language.
+    A language that only has longer texts is learned from their first `longest` characters. Every language counts, over all rows; rows are taken by a hash of doc_id that has nothing to do with the language.
     """
-    rows = docs.where("lang is not null and text is not null and doc_id is not null").where(F.length("text") <= longest)
+    rows = docs.where("lang is not null and text is not null and doc_id is not null").withColumn("fits", F.length("text") <= longest)
     share = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count")).limit(200).collect()}
+    counted = {(r[0], r[1]): r[2] for r in rows.groupBy("lang", "fits").count().collect()}
+    counts = {lang: (fits, n) for (lang, fits), n in counted.items() if fits or (lang, True) not in counted}
     if not counts:
         return []
-    cut = F.lit(False)
-    for lang, n in counts.items():
-        cut = cut | ((F.col("lang") == lang) & (share < int(min(1.0, 1.1 * per_lang / n) * (1 << 30))))
-    taken = rows.where(cut).select("lang", "text", share.alias("h")).collect()
+    wanted = [(lang, fits, int(min(1.0, 1.1 * per_lang / n) * (1 << 30))) for lang, (fits, n) in counts.items()]
+    cuts = docs.sparkSession.createDataFrame(wanted, "lang string, fits boolean, below long")
+    taken = rows.join(F.broadcast(cuts), ["lang", "fits"]).where(share < F.col("below")).select("lang", F.substring("text", 1, longest).alias("text"), share.alias("h")).collect()
     out, had = [], dict.fromkeys(counts, 0)
     for r in sorted(taken, key=lambda r: (r["lang"], r["h"])):
         if had[r["lang"]] < per_lang:

@@ -331,6 +331,12 @@ def test_language_id(spark, empty):
     assert {r.lang_pred for r in langid.identify(spark.createDataFrame(texts, "doc_id long, text string, lang string"), None).collect()} == {"und"}
 
 
+def test_every_language_is_learned_from(spark):
+    rows = [(k, f"text {k}", f"l{k:03d}") for k in range(250)] + [(900, "word " * 5000, "long")]
+    got = dict(langid.sample_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert set(got) == {r[2] for r in rows} and len(got["long"]) == 20_000 and got["l249"] == "text 249"
+
+
 def test_language_of_long_runs(spark):
     """All letters of a run without spaces count."""
     rng = random.Random(12)
