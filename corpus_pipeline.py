@@ -24,7 +24,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 or more on five-word shingles, the one of smallest doc_id stays.
 
-    Documents of null doc_id or without words link with nothing and stay; rows that repeat a doc_id stay together.
+    Documents without words link with nothing and stay; those of null doc_id stay, but others may link through them; rows that repeat a doc_id stay together.
     """
     found = jaccard_join.jaccard_components(docs, words=5, threshold=(8, 10))
     gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
