@@ -1,20 +1,21 @@
 """N-gram Jaccard self-join of documents by parity sketches.
 
 A document's set is its distinct word shingles. In a band of set sizes, the shingle universe is dealt into blocks by
-hash, and each shingle flips one of 64 bits of its block. Two sets' sketches then differ in no more bits than the sets
-differ in shingles. A pair within the threshold differs in at most D shingles, so of D + 2 blocks at least two are
-alike: equal blocks are join keys (pigeonhole), within each band of sizes and for the larger set's band. Blocks that
-hold no bit are only keyed in pairs, as two empty ones are alike for unlike sets too. Candidates are verified on the
-sets themselves.
-
-Equal sets are merged before anything is paired. Links are only looked for between sets that other links do not
-already join, so a group of n near copies costs about n verifications, while no two sets that are linked can end in
-different components.
+hash, and each shingle flips one of 64 bits of its block: a block's parity bits are a small sketch, and a shingle in
+which two sets differ changes one block. A linked pair differs in at most D shingles, so of m blocks at least m - D are
+alike (pigeonhole). If each set puts its m blocks into one order that all sets share, and a pair has m - D blocks in
+common, then the pair also has one in common among the first D + 1 of each. These are the join keys. The order puts
+blocks of many bits first: blocks without a bit or with one, which unlike sets have in common too, come last and are
+mostly left out. A set is keyed in its own band of sizes and, as the smaller one, in the next.
+
+Sets that meet in a key are candidates. They are compared by larger sketches, whose Hamming distance is a lower bound
+of the sets' difference, and what these let through is verified on the sets themselves. Equal sets are merged before
+anything is paired. Links are only looked for between sets that other links do not already join, so a group of n near
+copies costs about n verifications, while no two sets that are linked can end in different components.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import cache
@@ -26,14 +27,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, ship, shuffle_partitions
+from ..runtime import Scratch, ship, shuffle_partitions
 from . import textcore as tc
-from .components import connected_components
+from .components import connected_components, join_sized
 
 _U = np.uint64
 WORD = np.ones(256, bool)
 WORD[[32, 9, 10, 11, 12, 13]] = False
 
+TILE = 1000  # sets that are compared with one another at once
+PAIRS = 4  # pairs that a tile gives out for two components in the first round; later rounds allow more, until none is left out
+DEAL = 12 << 20  # bytes of keys in one deal
+HOT = 32  # sets of one batch that share a key: they go as a list of their own, and only their first meets other batches
+LIST = 4096  # ids in one row of a group
+FAN = 64  # sets that are first compared with the same one of their group
+PAIRS_AT_ONCE = 20_000
+
 
 class Bands:
     """Size bands for one threshold: a set links only to sets of its own or a neighbouring band."""
@@ -42,7 +51,7 @@ class Bands:
         self.t = threshold
         self.low = [1]
         while self.low[-1] <= biggest:
-            self.low.append(max(self.low[-1] + 1, ceil(self.low[-1] / threshold)))
+            self.low.append(max(self.low[-1] + 1, ceil(self.low[-1] / threshold**2)))
 
     def band(self, n: int) -> int:
         return int(np.searchsorted(self.low, n, "right")) - 1
@@ -52,13 +61,17 @@ class Bands:
         return floor(total * (1 - self.t) / (1 + self.t))
 
     def blocks(self, band: int) -> int:
-        return self.differs(2 * (self.low[band + 1] - 1)) + 2
+        """A quarter more blocks than the keys of the largest set, and some for small sets, so that weak blocks need not be keys."""
+        most = self.differs(2 * (self.low[band + 1] - 1))
+        return most + most // 4 + 8
 
-    def of(self, n: int) -> list[int]:
-        """The bands in which a set of n shingles takes part; none where only equal sets can link."""
+    def of(self, n: int) -> Iterator[tuple[int, int]]:
+        """The bands in which a set of n shingles is keyed, and its number of keys there; none where only equal sets can link."""
         b = self.band(n)
-        both = [b] + ([b + 1] if n >= ceil(self.t * self.low[b + 1]) else [])
-        return [x for x in both if self.blocks(x) > 2]
+        for band in (b, b + 1):
+            largest = min(self.low[band + 1] - 1, floor(n / self.t))
+            if largest >= self.low[band] and (d := self.differs(n + largest)):
+                yield band, d + 1
 
 
 @cache
@@ -91,24 +104,23 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
 
 
 def signatures(s: np.ndarray, bs: Bands) -> np.ndarray:
-    """The join keys of a set of shingle hashes: one for each block that holds a bit, and for each pair of those that do not."""
-    out = []
-    for band in bs.of(len(s)):
+    """The join keys of a set of shingle hashes."""
+    out = [np.zeros(0, _U)]
+    for band, wanted in bs.of(len(s)):
         m = bs.blocks(band)
         block = ((s >> _U(32)) * _U(m)) >> _U(32)
         order = np.argsort(block, kind="stable")
-        bits = _U(1) << (s[order] & _U(63))
-        held, first = np.unique(block[order], return_index=True)
-        parity = np.zeros(m, _U)
-        parity[held.astype(np.int64)] = np.bitwise_xor.reduceat(bits, first)
-        label = np.arange(m, dtype=_U) + _U(band << 40)
-        full = parity != 0
-        out.append(tc.pair(label[full], parity[full]))
-        if (~full).sum() > 1:
-            e = label[~full]
-            x, y = np.triu_indices(len(e), 1)
-            out.append(tc.pair(tc.mix(e[x]), tc.mix(e[y] + _U(1))))
-    return np.concatenate(out) if out else np.zeros(0, _U)
+        block = block[order]
+        first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+        held, parity = block[first], np.bitwise_xor.reduceat(_U(1) << (s[order] & _U(63)), first)
+        if len(held) < wanted:  # blocks without a shingle count as well
+            bare = np.setdiff1d(np.arange(m, dtype=_U), held)
+            held, parity = np.concatenate((held, bare)), np.concatenate((parity, np.zeros(len(bare), _U)))
+        key = tc.pair(held + _U(band << 40), parity)
+        if len(key) > wanted:
+            key = key[np.lexsort((key, -np.bitwise_count(parity).astype(np.int8)))[:wanted]]
+        out.append(key)
+    return np.concatenate(out)
 
 
 def _linked(a: np.ndarray, b: np.ndarray, t: Fraction) -> bool:
@@ -116,38 +128,52 @@ def _linked(a: np.ndarray, b: np.ndarray, t: Fraction) -> bool:
     return t.denominator * both >= t.numerator * (len(a) + len(b) - both)
 
 
-def _key(s: np.ndarray) -> int:
-    """A set's id."""
-    return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _key(s: np.ndarray) -> bytes:
+    """A set's name: 128 bits."""
+    return blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def _short(key: bytes) -> int:
+    """The 64 bits by which candidates are told apart; sets that share them are compared one by one."""
+    return int.from_bytes(key[:8], "little", signed=True)
+
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """A parity bit or two for each member; two sets' sketches, folded to one size, differ in no more bits than the sets differ in members."""
+    bits = 1 << min(max(int(len(s) - 1).bit_length(), 7), 16)
+    out = np.zeros(bits >> 6, _U)
+    at = s & _U(bits - 1)
+    np.bitwise_xor.at(out, (at >> _U(6)).astype(np.int64), _U(1) << (at & _U(63)))
+    return out
+
+
+def _fold(x: np.ndarray, size: int) -> np.ndarray:
+    """Sketches, one a row, in fewer words."""
+    while x.shape[1] > size:
+        half = x.shape[1] // 2
+        x = x[:, :half] ^ x[:, half:]
+    return x
 
-def _groups(parts: list[tuple[bytes, bytes]]) -> list[np.ndarray]:
-    """From blobs of signatures and of their set ids: ids that share a signature, for each signature of two or more."""
-    sig = np.concatenate([np.frombuffer(x, _U) for x, _ in parts])
-    ids = np.concatenate([np.frombuffer(x, np.int64) for _, x in parts])
+
+def _groups(sig: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Ids that share a signature, in order, for each signature of two or more."""
     order = np.lexsort((ids, sig))
     sig, ids = sig[order], ids[order]
     keep = np.ones(len(sig), bool)
     keep[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])
     sig, ids = sig[keep], ids[keep]
-    cut = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+    cut = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
     size = np.diff(np.append(cut, len(sig)))
-    return [ids[c : c + n] for c, n in zip(cut[size > 1], size[size > 1], strict=True)]
-
-
-def _sketch(s: np.ndarray) -> np.ndarray:
-    """2,048 parity bits; two sets' sketches differ in no more bits than the sets differ in members."""
-    out = np.zeros(32, _U)
-    np.bitwise_xor.at(out, ((s >> _U(6)) & _U(31)).astype(np.int64), _U(1) << (s & _U(63)))
-    return out
+    for c, n in zip(cut[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+        yield int(sig[c]), ids[c : c + n]
 
 
 def _pairs(tile: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one tile (rows are sorted by it), of different sides if it has two; about PAIRS_AT_ONCE at a time."""
+    """Pairs of rows of one tile (rows are sorted by it), of different sides if any row has one; about PAIRS_AT_ONCE at a time."""
     cut = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1], [True])))
     left, right, n = [], [], 0
     for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        two = len(np.unique(side[a:z])) > 1 if z - a > 2 else False
+        two = bool((side[a:z] >= 0).any())
         for k in range(a, z - 1):
             other = np.arange(k + 1, z)
             if two:
@@ -162,38 +188,43 @@ def _pairs(tile: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.
         yield np.concatenate(left), np.concatenate(right)
 
 
-def _near(tile: np.ndarray, ids: np.ndarray, comp: np.ndarray, sketches: np.ndarray, size: np.ndarray, side: np.ndarray, bs: Bands, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of different components within a tile that the sketches do not rule out.
-
-    With `most`, a pair is left out if both its components have so many; the flags say whether any was.
-    """
-    order = np.argsort(tile, kind="stable")
-    tile, ids, comp, sketches, size, side = (x[order] for x in (tile, ids, comp, sketches, size, side))
-    limit = np.array([bs.differs(x) for x in range(int(size.max()) * 2 + 1)])
+def _near(tile: np.ndarray, group: np.ndarray, ids: np.ndarray, comp: np.ndarray, sketches: list[bytes], size: np.ndarray, side: np.ndarray, bs: Bands, most: int) -> tuple[list[tuple[int, int]], set[int]]:
+    """Pairs of different components within a tile that sizes and sketches do not rule out, and the groups of which pairs were left out: those both of whose components already had `most`."""
+    order = np.lexsort((group, tile))
+    tile, group, ids, comp, size, side = (x[order] for x in (tile, group, ids, comp, size, side))
+    tile = np.cumsum(np.concatenate(([0], (tile[1:] != tile[:-1]) | (group[1:] != group[:-1]))))
+    words = np.array([len(sketches[i]) // 8 for i in order.tolist()])
+    folded = {w: np.zeros((len(words), w), _U) for w in np.unique(words).tolist()}
+    for n in folded:
+        rows = np.flatnonzero(words == n)
+        mine = np.frombuffer(b"".join(sketches[i] for i in order[rows].tolist()), _U).reshape(-1, n)
+        for w in folded:
+            if w <= n:
+                folded[w][rows] = _fold(mine, w)
+    num, den = bs.t.numerator, bs.t.denominator
     found: dict[tuple[int, int], None] = {}
     taken: dict[int, int] = {}
-    over = False
+    over: set[int] = set()
     for x, y in _pairs(tile, side):
-        apart = comp[x] != comp[y]
-        x, y = x[apart], y[apart]
-        near = np.bitwise_count(sketches[x] ^ sketches[y]).sum(axis=1) <= limit[size[x] + size[y]]
+        ok = (comp[x] != comp[y]) & (den * np.minimum(size[x], size[y]) >= num * np.maximum(size[x], size[y]))
+        x, y = x[ok], y[ok]
+        limit = (size[x] + size[y]) * (den - num) // (den + num)
+        least = np.minimum(words[x], words[y])
+        near = np.zeros(len(x), bool)
+        for w in np.unique(least).tolist():
+            at = np.flatnonzero(least == w)
+            p, q = folded[w][x[at]], folded[w][y[at]]
+            near[at] = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64) <= limit[at]
         x, y = x[near], y[near]
         a, b = np.minimum(ids[x], ids[y]).tolist(), np.maximum(ids[x], ids[y]).tolist()
-        c, d = np.minimum(comp[x], comp[y]).tolist(), np.maximum(comp[x], comp[y]).tolist()
-        for p, q in zip(zip(a, b, strict=True), zip(c, d, strict=True), strict=True):
+        for p, c, d, g in zip(zip(a, b, strict=True), comp[x].tolist(), comp[y].tolist(), group[x].tolist(), strict=True):
             if p not in found:
-                c, d = q
-                if most is None or taken.get(c, 0) < most or taken.get(d, 0) < most:
+                if taken.get(c, 0) < most or taken.get(d, 0) < most:
                     found[p] = None
                     taken[c], taken[d] = taken.get(c, 0) + 1, taken.get(d, 0) + 1
                 else:
-                    over = True
-    both = np.array(list(found), np.int64).reshape(-1, 2)
-    return both[:, 0], both[:, 1], np.full(len(both), over)
-
-
-PAIRS_AT_ONCE = 20_000
-TILE, PAIRS = 1000, 4
+                    over.add(g)
+    return list(found), over
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (8, 10)) -> DataFrame:
@@ -204,142 +235,222 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, in
     smallest doc_id reachable by links, the document's own included.
 
     Null and empty texts and texts of white space have an empty set and link with nothing. Repeated rows and equal
-    texts share one set. Rows of null doc_id keep a null component unless a link gives them one. Other columns are
-    ignored. An empty table gives an empty one.
+    texts share one set. Rows of null doc_id keep a null component unless a link gives them one, and links may run
+    through them. A text of any length is one row's work. Other columns are ignored, whatever their names. An empty
+    table gives an empty one.
     """
     spark = docs.sparkSession
     ship(spark)
     num, den = threshold
     parts = shuffle_partitions(spark)
+    scratch = Scratch(spark)
+    try:
+        return _components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), words, num, den, parts, scratch)
+    finally:
+        scratch.close("each", "component")
+
 
-    def sets(batches):
-        seen: set[bytes] = set()
+def _components(doc: DataFrame, words: int, num: int, den: int, parts: int, scratch: Scratch) -> DataFrame:
+    def names(batches):
         for b in batches:
-            n, ids, sigs = [], [], []
+            n, keys = [], []
             for s in shingle_sets(b["text"], words):
-                key = _key(s) if len(s) else None
                 n.append(len(s))
-                ids.append(key)
-                sigs.append(signatures(s, bands(num, den)).tobytes() if key and key not in seen else None)
-                seen.add(key)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["row"], pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "row", "n_shingles", "id", "sigs"])
+                keys.append(_key(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "n_shingles", "key"])
 
-    # row names a text's rows: the doc_id or, as that may be null, the text's hash.
-    doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.coalesce("doc_id", F.xxhash64("text")))
-    each = materialize(doc.mapInArrow(sets, "doc_id long, row long, n_shingles long, id long, sigs binary"), "sets")
-    deals = int(max(parts, (each.agg(F.sum(F.octet_length("sigs"))).first()[0] or 0) // 3_000_000 + 1))
+    each = scratch.write(doc.mapInArrow(names, "doc_id long, n_shingles long, key binary"), "each")
 
-    def deal(batches):
-        for b in batches:
-            blobs = [np.frombuffer(x, _U) for x in b["sigs"].to_pylist()]
-            if not blobs:
-                continue
-            sig, ids = np.concatenate(blobs), np.repeat(b["id"].to_numpy(zero_copy_only=False), [len(x) for x in blobs])
-            to = ((sig >> _U(33)) % _U(deals)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            held, first = np.unique(to[order], return_index=True)
-            cut, sig, ids = np.append(first, len(to)), sig[order], ids[order]
-            pieces = list(zip(cut, cut[1:], strict=False))
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array([sig[a:z].tobytes() for a, z in pieces], pa.binary()), pa.array([ids[a:z].tobytes() for a, z in pieces], pa.binary())], ["deal", "sig", "ids"])
-
-    def meet(t: pa.Table) -> pa.Table:
-        found = _groups(list(zip(t["sig"].to_pylist(), t["ids"].to_pylist(), strict=True)))
-        same = dict.fromkeys(x.tobytes() for x in found)  # blocks that the same sets share say the same
-        return pa.table({"ids": pa.array(list(same), pa.binary())})
-
-    dealt = each.where(F.octet_length("sigs") > 0).select("id", "sigs").mapInArrow(deal, "deal long, sig binary, ids binary")
-    groups = materialize(dealt.groupBy("deal").applyInArrow(meet, "ids binary").distinct(), "groups")
-
-    def stars(batches):
+    def distinct(batches):
+        seen: set[bytes] = set()  # 16 bytes for each text of a partition
         for b in batches:
-            least: dict[int, int] = {}
-            for blob in b["ids"].to_pylist():
-                x = np.frombuffer(blob, np.int64).tolist()
-                for y in x[1:]:
-                    if x[0] < least.get(y, 1 << 63):
-                        least[y] = x[0]
-            yield pa.RecordBatch.from_arrays([pa.array(list(least.values()), pa.int64()), pa.array(list(least), pa.int64())], ["a", "b"])
-
-    def members_of(batches):
-        for b in batches:
-            blobs = b["ids"].to_pylist()
-            sets_ = [np.frombuffer(x, np.int64) for x in blobs]
-            g = [int.from_bytes(blake2b(x, digest_size=8).digest(), "little", signed=True) for x in blobs]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(g, np.int64), [len(x) for x in sets_])), pa.array(np.concatenate([np.zeros(0, np.int64), *sets_]))], ["g", "id"])
+            rows = {c: [] for c in ("id", "key", "size", "sketch", "row")}
+            for r, s in enumerate(shingle_sets(b["text"], words)):
+                if len(s) and (key := _key(s)) not in seen:
+                    seen.add(key)
+                    for c, x in zip(rows, (_short(key), key, len(s), sketch(s).tobytes(), r), strict=True):
+                        rows[c].append(x)
+            text = b["text"].take(pa.array(rows.pop("row"), pa.int64()))
+            kinds = {"id": pa.int64(), "key": pa.binary(), "size": pa.int64(), "sketch": pa.binary()}
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, kinds[c]) for c, v in rows.items()), text], [*rows, "text"])
+
+    # Each distinct set once, with a text that has it, in buckets: all later joins find it there without a shuffle.
+    dealt = doc.where("text is not null").mapInArrow(distinct, "id long, key binary, size long, sketch binary, text string").repartition(parts, "id")
+    once = dealt.groupBy("id", "key").agg(*(F.first(c).alias(c) for c in ("size", "sketch", "text")))
+    sets = scratch.write_buckets(once, "sets", "id", parts)
+
+    n_keys = (sets.agg(F.sum("size")).first()[0] or 0) * 3 * (den - num) // (den + num)
+    deals = int(max(parts, n_keys * 12 // DEAL + 1))
+    keyed = sets.select("id", "text").mapInArrow(_keys(words, num, den, deals), "deal long, lists boolean, sig binary, ids binary")
+    groups = scratch.write(keyed.groupBy("deal").applyInArrow(_meet, "g long, ids binary"), "groups")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """Of candidate pairs (a, b) of ids: whether the sets are linked, and their keys."""
+        left = pairs.join(sets.select(F.col("id").alias("a"), F.col("key").alias("ka"), F.col("text").alias("ta")), "a")
+        both = left.join(sets.select(F.col("id").alias("b"), F.col("key").alias("kb"), F.col("text").alias("tb")), "b")
+        return scratch.write(both.mapInArrow(_verify(words, num, den), "a long, b long, ka binary, kb binary, ok boolean"), name)
+
+    # Nodes of the graph of links are sets, named by their smallest doc_id (null: last) and then their key: a component's least node has its id.
+    owner = each.where("key is not null").groupBy("key").agg(F.coalesce(F.min("doc_id"), F.lit((1 << 63) - 1)).alias("d")).select("key", F.struct("d", "key").alias("node"))
+
+    def grown(comp: DataFrame | None, tried: DataFrame, k: int) -> DataFrame:
+        """The components (id, component) that new links give, on top of those so far."""
+        ends = tried.where("ok").select("ka", "kb")
+        named = ends.join(owner.select(F.col("key").alias("ka"), F.col("node").alias("a")), "ka").join(owner.select(F.col("key").alias("kb"), F.col("node").alias("b")), "kb").select("a", "b")
+        out = connected_components(named if comp is None else named.union(comp.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+        return scratch.write(out.select("id", "component", F.col("id.key").alias("key")), f"components{k}")
+
+    # First each set with the one set that it shares most keys with, of those before it in a tree of its groups: no set is asked for by more than FAN others of a group.
+    stars = groups.mapInArrow(_stars, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1")
+    tried = verified(stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")), "tried0")
+    comp = grown(None, tried, 0)
+
+    # Then pairs across components in groups whose sets are still in several, in tiles of bounded size. While components
+    # join, a few pairs are enough for two of them; groups of which pairs were left out come up again, with more pairs allowed.
+    members = groups.mapInArrow(_members, "g long, id long")
+    most, k, left = PAIRS, 1, None
+    while True:
+        node = sets.select("id", "key").join(comp.select("key", F.col("component.key").alias("c")), "key", "left").select("id", F.coalesce("c", "key").alias("c"))
+        labelled = (members if left is None else members.join(left, "g", "left_semi")).join(node, "id")
+        labelled = scratch.write(labelled, f"labelled{k}")
+        tiled = scratch.write(_tiles(labelled), f"tiled{k}")
+        scratch.drop(f"labelled{k}", f"near{k - 1}")
+        deals = int(max(parts, tiled.count() * 200 // DEAL + 1))
+        drawn = tiled.join(sets.select("id", "size", "sketch"), "id").groupBy(F.pmod("tile", F.lit(deals)))
+        near = scratch.write(drawn.applyInArrow(_bridge(num, den, most), "a long, b long, g long").distinct(), f"near{k}")
+        scratch.drop(f"tiled{k}")
+        new = verified(near.where("a is not null").select("a", "b").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"), f"tried{k}")
+        tried = tried.union(new)
+        if new.where("ok").head(1):
+            comp = grown(comp, new, k)
+            scratch.drop(f"components{k - 1}")
+        else:
+            scratch.paths[f"components{k}"] = scratch.paths.pop(f"components{k - 1}")
+        left = near.where("a is null").select("g")
+        if not left.head(1):
+            break
+        most, k = most * 16, k + 1
+    scratch.paths["component"] = scratch.paths.pop(f"components{k}")
+    of_set = comp.select("key", F.col("component.d").alias("d"))
+    found = each.join(of_set, "key", "left")
+    return found.select("doc_id", "n_shingles", F.when(F.col("d") < (1 << 63) - 1, F.col("d")).otherwise(F.col("doc_id")).alias("component_id"))
+
 
-    # The sets of all candidates, once each, from the texts of one document that has them, of null doc_id or not.
-    members = groups.mapInArrow(members_of, "g long, id long")
-    named = each.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("row").alias("row"))
-    owners = named.groupBy("row").agg(F.collect_set("id").alias("ids"))  # a doc_id has as many sets as its rows have texts
+def _keys(words: int, num: int, den: int, deals: int):
+    """Keys with the sets' ids, dealt out: 4 bytes of the key and 8 of the id each; sets of a batch that share a key and are many as lists."""
 
-    def rebuilt(batches):
+    def work(batches):
         for b in batches:
-            got = [(_key(s), s) if len(s) else (None, s) for s in shingle_sets(b["text"], words)]
-            own = [(k, s) for (k, s), ids in zip(got, b["ids"].to_pylist(), strict=True) if k in ids]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int64()), pa.array([len(s) for _, s in own], pa.int32()), pa.array([_sketch(s).tobytes() for _, s in own], pa.binary()), pa.array([s.tobytes() for _, s in own], pa.binary())], ["id", "size", "sketch", "grams"])
-
-    # A merge join at every size, so that small inputs behave as large ones do; it also leaves equal rows together.
-    owned = doc.join(owners.hint("merge"), "row").groupBy("row", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.first("ids").alias("ids")).select("text", "ids")
-    # Bucketed by id, as every round of verifying joins it twice: only the pairs are shuffled then. It goes again at the end.
-    bucketed = f"grams_{uuid.uuid4().hex}"
-    owned.mapInArrow(rebuilt, "id long, size int, sketch binary, grams binary").repartition(parts, "id").write.bucketBy(parts, "id").sortBy("id").saveAsTable(bucketed)
-    grams = spark.table(bucketed)
-
-    def verify(batches):
+            ids = b["id"].to_numpy(zero_copy_only=False)
+            made = [signatures(s, bands(num, den)) for s in shingle_sets(b["text"], words)]
+            size = np.array([len(x) for x in made], np.int64)
+            if not size.sum():
+                continue
+            sig, own = np.concatenate(made), np.repeat(ids, size)
+            del made
+            order = np.lexsort((own, sig))
+            sig, own = sig[order], own[order]
+            deal, short = (sig >> _U(33)) % _U(deals), sig.astype(np.uint32)
+            first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+            many = np.diff(np.append(first, len(sig)))
+            rows = []
+            for at, n in zip(first[many >= HOT].tolist(), many[many >= HOT].tolist(), strict=True):
+                g = tc.pair(deal[at : at + 1], short[at : at + 1].astype(_U))
+                for x in range(0, n, LIST):
+                    rows.append((int(own[at + x] % deals), True, g.tobytes(), own[at + x : at + min(n, x + LIST)].tobytes()))
+            kept = np.ones(len(sig), bool)
+            hot = np.repeat(many >= HOT, many)
+            kept[hot] = False
+            kept[first] = True
+            deal, short, own = deal[kept].astype(np.int64), short[kept], own[kept]
+            order = np.argsort(deal, kind="stable")
+            held, first = np.unique(deal[order], return_index=True)
+            short, own, cut = short[order], own[order], np.append(first, len(order)).tolist()
+            rows += [(d, False, short[a:z].tobytes(), own[a:z].tobytes()) for d, a, z in zip(held.tolist(), cut, cut[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], ["deal", "lists", "sig", "ids"])
+
+    return work
+
+
+def _meet(t: pa.Table) -> pa.Table:
+    """Of a deal: the ids that share a key, in lists; lists of one group have its number g in common."""
+    g, ids = [], []
+    flat, sig, own = t["lists"].to_pylist(), t["sig"].to_pylist(), t["ids"].to_pylist()
+    for many, s, x in zip(flat, sig, own, strict=True):
+        if many:
+            g.append(int.from_bytes(s, "little", signed=True))
+            ids.append(x)
+    deal = np.full(1, t["deal"][0].as_py(), _U)
+    short = np.frombuffer(b"".join(s for many, s in zip(flat, sig, strict=True) if not many), np.uint32)
+    same: dict[bytes, int] = {}
+    for s, x in _groups(short, np.frombuffer(b"".join(x for many, x in zip(flat, own, strict=True) if not many), np.int64)):
+        name = tc.pair(deal, np.array([s], _U))
+        for a in range(0, len(x), LIST):
+            blob = x[a : a + LIST].tobytes()
+            if len(x) <= HOT and blob in same:  # blocks that the same few sets share say the same
+                continue
+            same[blob] = 0
+            g.append(int(name.view(np.int64)[0]))
+            ids.append(blob)
+    return pa.table({"g": pa.array(g, pa.int64()), "ids": pa.array(ids, pa.binary())})
+
+
+def _stars(batches):
+    """Each list as a tree: every id but the first with one before it, which FAN ids share."""
+    for b in batches:
+        a, z = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for blob in b["ids"].to_pylist():
+            x = np.frombuffer(blob, np.int64)
+            a.append(x[np.arange(len(x) - 1) // FAN])
+            z.append(x[1:])
+        pairs, n = np.unique(np.stack((np.concatenate(a), np.concatenate(z)), 1), axis=0, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1])), pa.array(n.astype(np.int64))], ["a", "b", "n"])
+
+
+def _members(batches):
+    for b in batches:
+        blobs = b["ids"].to_pylist()
+        size = np.array([len(x) // 8 for x in blobs], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b["g"].to_numpy(zero_copy_only=False), size)), pa.array(np.frombuffer(b"".join(blobs), np.int64))], ["g", "id"])
+
+
+def _tiles(labelled: DataFrame) -> DataFrame:
+    """Members (g, id, c) of groups that hold several components, dealt into tiles that cover all pairs across components.
+
+    The sets of a group's largest component need not be compared with one another: they are dealt into tiles with the
+    group's other sets, which are also dealt into tiles among themselves. So a large group that lacks a few sets makes
+    about as many rows as it has sets.
+    """
+    of_comp = labelled.groupBy("g", "c").agg(F.count("*").alias("n"))
+    of_group = of_comp.groupBy("g").agg(F.sum("n").alias("n"), F.max("n").alias("big"), F.max_by("c", F.struct("n", "c")).alias("main")).where("n > big")
+    cut = of_group.select("g", "n", "main", F.ceil(F.col("big") / TILE).cast("int").alias("p"), F.ceil((F.col("n") - F.col("big")) / TILE).cast("int").alias("q"), (F.col("n") <= TILE).alias("small"))
+    in_ = join_sized(labelled, cut, "g", labelled.count()).withColumn("mine", F.col("c") == F.col("main")).withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("mine"), F.col("p")).otherwise(F.col("q"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    across = lambda p, q: F.struct(F.xxhash64("g", F.lit(1), p, q).alias("tile"), F.col("mine").cast("int").alias("side"))
+    among = lambda j: F.struct(F.xxhash64("g", F.lit(2), F.least("own", j), F.greatest("own", j)).alias("tile"), F.when(F.col("own") == j, F.lit(-1)).otherwise(F.col("own") + 2).alias("side"))
+    other = F.concat(F.transform(upto(F.col("p")), lambda i: across(i, F.col("own"))), F.transform(upto(F.col("q")), among))
+    spots = F.when(F.col("small"), F.array(F.struct(F.xxhash64("g").alias("tile"), F.lit(-1).alias("side")))).when(F.col("mine"), F.transform(upto(F.col("q")), lambda j: across(F.col("own"), j))).otherwise(other)
+    return in_.select("g", "id", "c", F.explode(spots).alias("at")).select("g", "id", "c", "at.tile", "at.side")
+
+
+def _bridge(num: int, den: int, most: int):
+    def near(t: pa.Table) -> pa.Table:
+        comp: dict[bytes, int] = {}
+        c = np.array([comp.setdefault(x, len(comp)) for x in t["c"].to_pylist()])
+        found, over = _near(*(t[x].to_numpy() for x in ("tile", "g", "id")), c, t["sketch"].to_pylist(), *(t[x].to_numpy() for x in ("size", "side")), bands(num, den), most)
+        none = [None] * len(over)
+        return pa.table({"a": pa.array([a for a, _ in found] + none, pa.int64()), "b": pa.array([b for _, b in found] + none, pa.int64()), "g": pa.array([None] * len(found) + sorted(over), pa.int64())})
+
+    return near
+
+
+def _verify(words: int, num: int, den: int):
+    def work(batches):
         t = bands(num, den).t
         for b in batches:
-            ok = [_linked(np.frombuffer(x, _U), np.frombuffer(y, _U), t) for x, y in zip(b["ga"].to_pylist(), b["gb"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(ok, pa.bool_())], ["a", "b", "ok"])
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(grams.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
-        both = left.join(grams.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").select("a", "b", "ga", "gb")
-        return materialize(both.mapInArrow(verify, "a long, b long, ok boolean"), "verified")
-
-    def bridge(most: int | None):
-        def near(t: pa.Table) -> pa.Table:
-            sketches = np.frombuffer(b"".join(t["sketch"].to_pylist()), _U).reshape(t.num_rows, -1)
-            a, b, more = _near(*(t[x].to_numpy() for x in ("tile", "id", "c")), sketches, *(t[x].to_numpy() for x in ("size", "own")), bands(num, den), most)
-            return pa.table({"a": a, "b": b, "more": more})
-
-        return near
-
-    def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
-        """comp with the components that links join made one: components of the components, so settled links are not gone through again."""
-        of = lambda c: comp.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
-        ends = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        roots = connected_components(ends).select(F.col("id").alias("component"), F.col("component").alias("root"))
-        return materialize(comp.join(roots, "component", "left").select("id", F.coalesce("root", "component").alias("component")), "components")
-
-    tried = verified(groups.mapInArrow(stars, "a long, b long").groupBy("b").agg(F.min("a").alias("a")))
-    alone = materialize(members.select("id").distinct().select("id", F.col("id").alias("component")), "components")
-    comp = merged(alone, tried.where("ok").select("a", "b"))
-
-    # Groups whose sets are still in several components: pairs across components, in tiles of bounded size. While that
-    # joins components, a few pairs are enough for each of them; the last round leaves none out. Whether a tile left any
-    # out is read before tried pairs go, as these count among the few.
-    most = PAIRS
-    while True:
-        labelled = members.join(comp, "id").select("g", "id", F.col("component").alias("c"))
-        split = labelled.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("g", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-        open_ = labelled.join(split, "g").withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-        tiled = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("g", "id", "c", "own", F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("tile"))
-        dealt = tiled.join(grams.select("id", "size", "sketch"), "id").groupBy(F.pmod("tile", F.lit(deals)))
-        near = materialize(dealt.applyInArrow(bridge(most), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")), "near")
-        new = verified(near.select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-        tried = tried.union(new)
-        links = new.where("ok").select("a", "b")
-        found, more = bool(links.head(1)), bool(near.where("more").head(1))
-        if found:
-            comp = merged(comp, links)
-        if most is None or not more:
-            break
-        if not found:
-            most = None
-
-    spark.sql(f"DROP TABLE {bucketed}")
-    owner = each.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("least"))
-    named = owner.join(comp, "id", "left").select("id", "least", F.coalesce("component", "id").alias("component"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_set = named.join(least, "component").select("id", "component_id")
-    return each.select("doc_id", "n_shingles", "id").join(of_set, "id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+            left = shingle_sets(b["ta"], words)
+            right = shingle_sets(b["tb"], words)
+            ok = [_linked(x, y, t) for x, y in zip(left, right, strict=True)]
+            yield pa.RecordBatch.from_arrays([b["a"], b["b"], b["ka"], b["kb"], pa.array(ok, pa.bool_())], ["a", "b", "ka", "kb", "ok"])
+
+    return work
