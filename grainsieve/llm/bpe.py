@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
+from .textcore import fields_of, map_batches
 
 WORDS_KEPT = 800_000  # words whose encoding a worker remembers; beyond it starts anew
 
@@ -228,7 +229,7 @@ def _with(df: DataFrame, column: str, out: str, kind: str, make) -> DataFrame:
     """df with a column computed from another, batch by batch; a column of that name is replaced."""
     ship(df.sparkSession)
     rest = [c for c in df.columns if c != out]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != out]
+    fields = fields_of(f for f in df.schema.fields if f.name != out)
     arrow = {"array<int>": pa.list_(pa.int32()), "string": pa.string(), "long": pa.int64()}[kind]
 
     def work(batches):
@@ -236,7 +237,7 @@ def _with(df: DataFrame, column: str, out: str, kind: str, make) -> DataFrame:
             made = pa.array(make(b[column].to_pylist()), arrow)
             yield pa.RecordBatch.from_arrays([*(b[c] for c in rest), made], [*rest, out])
 
-    return df.mapInArrow(work, ", ".join([*fields, f"`{out}` {kind}"]))
+    return map_batches(df, work, [*fields, (out, kind)])
 
 
 def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None = None) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 from .bpe import runs
+from .textcore import fields_of, map_batches, quoted
 
 WORDS_KEPT = 600_000
 CHUNK = 64
@@ -53,15 +54,15 @@ class Model:
         return out
 
 
-def forward_backward(scores: np.ndarray, lengths: np.ndarray, starts: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """Each position's distribution over labels, for sequences laid end to end.
+def forward_backward(scores: np.ndarray, lengths: np.ndarray, starts: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each position's distribution over labels, for sequences laid end to end, and how often each move between labels is expected.
 
     Sequences are cut into chunks that go side by side; each chunk's transfer matrix carries the state from one chunk
     to the next, so long sequences take no longer than short ones, and the result is that of the plain recursion.
     """
     k, total = scores.shape[1], len(scores)
     if not total:
-        return np.zeros((0, k))
+        return np.zeros((0, k)), np.zeros((k, k))
     pieces = -(-lengths // CHUNK)
     first = np.cumsum(pieces) - pieces  # each sequence's first chunk
     n = int(pieces.sum())
@@ -104,16 +105,19 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, starts: np.ndarray
         state = scaled(state * e[:, t], 1)
         alpha[:, t] = state
         state = state @ a
-    beta = np.ones((n, k))
-    out = np.empty((total, k))
+    out, moves = np.empty((total, k)), np.zeros((k, k))
     state = ends.copy()
     for t in range(CHUNK - 1, -1, -1):
         on = live[:, t]
         here = alpha[on, t] * state[on]
         out[begin[on] + t] = here / np.maximum(here.sum(axis=1, keepdims=True), 1e-300)
-        beta = scaled((e[on, t] * state[on]) @ a.T, 1)
-        state[on] = beta
-    return out
+        onward = e[on, t] * state[on]
+        came = alpha[on, t - 1] if t else begins[on] * ~head[on, None]
+        # P(label before, label here) is forward score x move x emission x backward score, over their sum.
+        total_ = np.einsum("ni,ij,nj->n", came, a, onward)
+        moves += a * np.einsum("ni,nj->ij", came / np.maximum(total_, 1e-300)[:, None], onward)
+        state[on] = scaled(onward @ a.T, 1)
+    return out, moves
 
 
 def _head_state(c: np.ndarray, e: np.ndarray, live: np.ndarray, opening: np.ndarray, a: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
@@ -189,14 +193,11 @@ def fit(rows: list[tuple[str, str]], words_per_lang: int = 30_000, rounds: int =
         e = np.zeros((len(vocabulary), k))
         for c in range(k):
             e[:, c] = np.bincount(owner, model.weights[flat, c], len(vocabulary))
-        p = forward_backward(e[ids], lengths, model.starts, model.transitions)
+        p, expected_moves = forward_backward(e[ids], lengths, model.starts, model.transitions)
         expected = np.stack([np.bincount(ids, p[:, c], len(vocabulary)) for c in range(k)], 1)
         diff = (gold - expected) / len(words)
         dw = np.stack([np.bincount(flat, diff[owner, c], len(index)) for c in range(k)], 1) - decay * model.weights
-        # Expected moves from neighbouring distributions under the present transitions.
-        joint = p[onward - 1][:, :, None] * np.exp(model.transitions)[None] * (p[onward] / np.maximum(p[onward - 1] @ np.exp(model.transitions), 1e-300))[:, None, :]
-        joint /= np.maximum(joint.sum(axis=(1, 2), keepdims=True), 1e-300)
-        dt = (true_moves - joint.sum(axis=0)) / len(words)
+        dt = (true_moves - expected_moves) / len(words)
         ds = (np.bincount(labels[first], minlength=k) - p[first].sum(axis=0)) / len(words)
         for x, g, d in ((model.weights, gw, dw), (model.transitions, gt, dt), (model.starts, gs, ds)):
             g += d * d
@@ -254,7 +255,7 @@ class Labeller:
         ids = [i if k.all() else i[k] for i, k in zip(ids, keep, strict=True)]
         lengths = np.array([len(i) for i in ids])
         full = lengths > 0
-        p = forward_backward(self.scores[np.concatenate(ids)] if full.any() else np.zeros((0, len(self.model.langs))), lengths[full], self.model.starts, self.model.transitions)
+        p, _ = forward_backward(self.scores[np.concatenate(ids)] if full.any() else np.zeros((0, len(self.model.langs))), lengths[full], self.model.starts, self.model.transitions)
         end = np.cumsum(lengths)
         return [(p[z - n : z], ws if k.all() else [w for w, ok in zip(ws, k.tolist(), strict=True) if ok]) for z, n, ws, k in zip(end.tolist(), lengths.tolist(), found, keep, strict=True)]
 
@@ -262,8 +263,8 @@ class Labeller:
 UNKNOWN = "und"
 
 
-def identify(docs: DataFrame, model: Model | None, spans: bool = False) -> DataFrame:
-    """docs with lang_pred, score and, with spans, lang_spans: runs of words of one language as (lang, first, last), last exclusive.
+def identify(docs: DataFrame, model: Model | None, spans: bool = False, called: tuple[str, str, str] = ("lang_pred", "score", "lang_spans")) -> DataFrame:
+    """docs with lang_pred, score and, with spans, lang_spans: runs of words of one language as (lang, first, last), last exclusive. `called` gives other names for these.
 
     Null texts and texts without a letter are `und` with score 0, and so is everything without a model. Only the text
     is looked at. Columns named as the new ones are replaced; rows may repeat; an empty table gives an empty one.
@@ -271,10 +272,10 @@ def identify(docs: DataFrame, model: Model | None, spans: bool = False) -> DataF
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # bounded by the sample that it was learned from
-    new = ["lang_pred", "score", *(["lang_spans"] if spans else [])]
-    own = [f for f in docs.schema.fields if f.name not in new]
+    new = list(called[: 3 if spans else 2])
+    own = [f for f in docs.schema.fields if f.name.lower() not in {n.lower() for n in new}]
     kind = "array<struct<lang:string,first:int,last:int>>"
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), "lang_pred string", "score double", *([f"lang_spans {kind}"] if spans else [])])
+    fields = [*fields_of(own), *zip(new, ("string", "double", kind), strict=False)]
     names = [f.name for f in own]
 
     def label(batches):
@@ -302,7 +303,7 @@ def identify(docs: DataFrame, model: Model | None, spans: bool = False) -> DataF
                 made.append(pa.array(runs_, pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("last", pa.int32())]))))
             yield pa.RecordBatch.from_arrays([*(b[c] for c in names), *made], [*names, *new])
 
-    return docs.select(names).mapInArrow(label, fields)
+    return map_batches(docs.select(*map(quoted, names)), label, fields)
 
 
 _made: dict[int, Labeller] = {}

@@ -101,8 +101,33 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(h * down[starts] + (ends - starts).astype(_U))
 
 
-def ascii_lower(buf: np.ndarray) -> np.ndarray:
-    return LOWER[buf]
+def quoted(name: str) -> str:
+    """A column name as it stands in expressions and schemas, whatever signs it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def map_batches(df, work, fields: list[tuple[str, str]]):
+    """df.mapInArrow for columns of any names: Spark gets plain ones, as it cannot take a dot in a name here; `work` sees and makes the real ones."""
+    names, made = df.columns, [n for n, _ in fields]
+
+    def renamed(batches):
+        for b in work(pa.RecordBatch.from_arrays(b.columns, names) for b in batches):
+            yield pa.RecordBatch.from_arrays(b.columns, [f"c{k}" for k in range(len(made))])
+
+    plain = df.toDF(*(f"c{k}" for k in range(len(names))))
+    return plain.mapInArrow(renamed, ", ".join(f"c{k} {kind}" for k, (_, kind) in enumerate(fields))).toDF(*made)
+
+
+def fields_of(fields) -> list[tuple[str, str]]:
+    return [(f.name, f.dataType.simpleString()) for f in fields]
+
+
+def unused(name: str, names) -> str:
+    """The name, or one like it that no column has; names are compared as Spark does, without regard to case."""
+    had = {n.lower() for n in names}
+    while name.lower() in had:
+        name += "_"
+    return name
 
 
 LOWER = np.arange(256, dtype=np.uint8)
