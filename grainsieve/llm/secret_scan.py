@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 from .langid import forward_backward
+from .textcore import fields_of, map_batches, quoted
 
 # Fixed patterns.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
@@ -200,50 +202,118 @@ class Field:
         return out
 
 
-def fit(texts: list[str], rounds: int = 60, rate: float = 0.5, decay: float = 1e-5, most: int = 40_000) -> Field:
-    """Maximum likelihood by Adagrad; the patterns' spans are the labels, up to `most` tokens are learned from."""
-    chains: list[tuple[list[list[str]], list[int]]] = []
-    left = most
+_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+#: How a secret may be written so that no pattern finds it: alphabets, lengths, and what stands before and after.
+_ALPHABETS = ("0123456789ABCDEF", _LETTERS, _LETTERS + "-_", _LETTERS + "+/", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_LENGTHS = (20, 32, 16, 40, 12, 24, 10)
+_AROUND = (("", ""), ("Bearer ", ""), ('"', '"'), ("pwd = ", ""), ("login with ", ""), ("pass: ", ""), ("(", ")"), ("key => ", ""), ("'", "',"), ("id: ", ""), ("pat_", ""))
+DISGUISES = 12  # of each match
+
+
+def _disguised(text: str, span: tuple[int, int, int], nth: int) -> tuple[str, int, int] | None:
+    """The text around a pattern's match with another secret in its place that no pattern finds, and where that is; None if one does."""
+    start, _, end = span
+    left, right = text[max(0, start - 200) : start], text[end : end + 200]
+    digest = blake2b(f"{nth} {text[start:end]}".encode(), digest_size=64).digest()
+    letters, size, (lead, cut) = _ALPHABETS[nth % len(_ALPHABETS)], _LENGTHS[nth % len(_LENGTHS)], _AROUND[nth % len(_AROUND)]
+    text = left + lead + "".join(letters[x % len(letters)] for x in digest[:size]) + cut + right
+    at = len(left) + len(lead)
+    return None if any(a < at + size and at < z for a, _, z in base_spans(text)) else (text, at, at + size)
+
+
+#: Odd tokens that are no secrets, with words of the text around (w, v; u capitalised, W in capitals) and numbers of one, two and four digits (k, d, n).
+_ORDINARY = (
+    "{u}{v}", "{u}{v}{n}", "{w}{k}{u}", "https://{w}.org/{v}/{w}-{n}?q={v}", "20{d}-{d}-{d}T{d}:{d}:{d}Z", "ISBN-978-{k}-{d}-{n}-{k}", "v{k}.{d}.{k}-{w}{k}", "{W}-{d}", "C:\\{u}\\{v}{d}.txt",
+    "{w}.{v}{d}@{w}.com", "/{w}/{v}_{n}.html", "{d}:{d}:{d}", "{W}{n}", "+{d}-{n}-{n}", "{W}_{V}", "{u}-{v}-{w}",
+)
+
+
+def _undisguised(text: str, span: tuple[int, int, int], nth: int) -> str | None:
+    """The text around a pattern's match with an ordinary token in its place."""
+    start, _, end = span
+    left, right = text[max(0, start - 200) : start], text[end : end + 200]
+    words = re.findall(r"[a-z]{3,12}", (left + right).lower()) or ["word"]
+    x = blake2b(f"- {nth} {text[start:end]}".encode(), digest_size=16).digest()
+    w, v = words[x[0] % len(words)], words[x[1] % len(words)]
+    out = re.sub("{(.)}", lambda m: {"w": w, "v": v, "u": w.title(), "W": w.upper(), "V": v.upper(), "k": str(x[2 + m.start() % 8] % 10), "d": f"{x[2 + m.start() % 8] % 60:02}", "n": f"{x[2 + m.start() % 8] * 37 % 9000 + 1000}"}[m[1]], _ORDINARY[nth % len(_ORDINARY)])
+    return left + out + right
+
+
+def _chains(text: str, spans: list[tuple[int, int]], most: int) -> list[tuple[list[list[str]], list[int], int]]:
+    """A text's stretches as features and labels, with the places outside that they lie between; the last is the number of tokens."""
+    found = stretches(text)
+    file = file_features(text, sum(map(len, found)))
+    out = []
+    for s in found:
+        if most <= 0:
+            break
+        labels = []
+        for a, z in s:
+            over = [x for x in spans if x[0] < z and a < x[1]]
+            labels.append(O if not over else B if min(x[0] for x in over) >= a else I)
+        out.append(([["plain"], *chain_features(text, s, file), ["plain"]], [O, *labels, O], len(s)))
+        most -= len(s)
+    return out
+
+
+def gradients(e: np.ndarray, length: np.ndarray, moves: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slope of the log likelihood of the labels `gold`, by the scores e of chains laid end to end and by the moves."""
+    p, expected = forward_backward(e, length, np.zeros(3), moves)
+    onward = np.ones(len(gold), bool)
+    onward[np.cumsum(length) - length] = False
+    at = np.flatnonzero(onward)
+    return np.eye(3)[gold] - p, np.bincount(gold[at - 1] * 3 + gold[at], minlength=9).reshape(3, 3) - expected
+
+
+def fit(texts: list[str], rounds: int = 80, rate: float = 0.5, decay: float = 1e-4, most: int = 40_000) -> Field:
+    """Maximum likelihood by Adagrad on up to `most` tokens of the texts, and as many of disguised ones.
+
+    The labels are the patterns' spans. From these alone the field could only learn to repeat the patterns, so in each
+    match's place other secrets are shown as well that no pattern finds: of other alphabets and lengths, without a
+    keyword or behind other words, quoted otherwise (_disguised); and so are addresses, dates, names and the like,
+    which are no secrets (_undisguised). So the field learns what the patterns miss.
+    """
+    chains: list[tuple[list[list[str]], list[int], int]] = []
+    left, more, nth = most, most, 0
     for text in texts:
         spans = base_spans(text)
-        found = stretches(text)
-        file = file_features(text, sum(map(len, found)))
-        for s in found[: max(left, 0)]:
-            labels = []
-            for a, z in s:
-                over = [x for x in spans if x[0] < z and a < x[2]]
-                labels.append(O if not over else B if min(x[0] for x in over) >= a else I)
-            chains.append(([["plain"], *chain_features(text, s, file), ["plain"]], [O, *labels, O]))
-            left -= len(s)
+        own = _chains(text, [(a, z) for a, _, z in spans], left)
+        chains += own
+        left -= sum(n for *_, n in own)
+        for span in spans:
+            for _ in range(DISGUISES):
+                nth += 1
+                if more > 0 and (seen := _disguised(text, span, nth)):
+                    part, a, z = seen
+                    new = _chains(part, [*((x, y) for x, _, y in base_spans(part)), (a, z)], more)
+                    chains += new
+                    more -= sum(n for *_, n in new)
+                    part = _undisguised(text, span, nth)
+                    new = _chains(part, [(x, y) for x, _, y in base_spans(part)], more)
+                    chains += new
+                    more -= sum(n for *_, n in new)
     index: dict[str, int] = {}
-    for chain, _ in chains:
+    for chain, *_ in chains:
         for fs in chain:
             for f in fs:
                 index.setdefault(f, len(index))
     w, moves = np.zeros((len(index), 3)), np.zeros((3, 3))
     if not chains:
         return Field({"bias": (1.0, 0.0, 0.0)}, moves)
-    length = np.array([len(y) for _, y in chains])
-    size = np.array([len(fs) for chain, _ in chains for fs in chain])
-    flat = np.array([index[f] for chain, _ in chains for fs in chain for f in fs])
+    length = np.array([len(y) for _, y, _ in chains])
+    size = np.array([len(fs) for chain, *_ in chains for fs in chain])
+    flat = np.array([index[f] for chain, *_ in chains for fs in chain for f in fs])
     owner = np.repeat(np.arange(len(size)), size)
-    gold = np.array([y for _, ys in chains for y in ys])
-    outside = np.array([fs == ["plain"] for chain, _ in chains for fs in chain])
-    first = np.cumsum(length) - length
-    inner = np.ones(len(gold), bool)
-    inner[first] = False
-    onward = np.flatnonzero(inner)
-    true_moves = np.bincount(gold[onward - 1] * 3 + gold[onward], minlength=9).reshape(3, 3)
+    gold = np.array([y for _, ys, _ in chains for y in ys])
+    outside = np.array([fs == ["plain"] for chain, *_ in chains for fs in chain])
     gw, gm = np.full_like(w, 1e-8), np.full_like(moves, 1e-8)
     for _ in range(rounds):
         e = np.stack([np.bincount(owner, w[flat, y], len(size)) for y in range(3)], 1)
         e[outside] = (0.0, -60.0, -60.0)  # the constraint
-        p = forward_backward(e, length, np.zeros(3), moves)
-        diff = (np.eye(3)[gold] - p) / len(chains)
-        dw = np.stack([np.bincount(flat, diff[owner, y], len(index)) for y in range(3)], 1) - decay * w
-        joint = p[onward - 1][:, :, None] * np.exp(moves)[None] * (p[onward] / np.maximum(p[onward - 1] @ np.exp(moves), 1e-300))[:, None, :]
-        joint /= np.maximum(joint.sum(axis=(1, 2), keepdims=True), 1e-300)
-        dm = (true_moves - joint.sum(axis=0)) / len(chains)
+        diff, dm = gradients(e, length, moves, gold)
+        diff[outside] = 0.0
+        dw = np.stack([np.bincount(flat, diff[owner, y] / len(chains), len(index)) for y in range(3)], 1) - decay * w
+        dm = dm / len(chains) - decay * moves
         gw += dw * dw
         gm += dm * dm
         w += rate * dw / np.sqrt(gw)
@@ -251,10 +321,17 @@ def fit(texts: list[str], rounds: int = 60, rate: float = 0.5, decay: float = 1e
     return Field({f: tuple(w[i].tolist()) for f, i in index.items()}, moves)
 
 
+_ANY_BASE = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6}|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
+
+
 def sample_texts(docs: DataFrame, per_kind: int = 800, longest: int = 20_000) -> list[str]:
-    """About per_kind texts with a pattern's match, and as many without, by a hash of doc_id: a documented bound on what is learned from."""
-    hit = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6}") | F.col("text").rlike("AKIA[A-Z0-9]{16}") | F.col("text").rlike("[0-9a-f]{24}")
-    rows = docs.where(F.col("text").isNotNull() & (F.length("text") <= longest)).select("doc_id", "text", hit.alias("hit"), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)).alias("h"))
+    """About per_kind texts with a pattern's match, and as many without, by a hash of doc_id: a documented bound on what is learned from.
+
+    Of a text over `longest` characters so many are taken, from around its first match or else from its beginning.
+    """
+    at = F.regexp_instr("text", F.lit(_ANY_BASE))
+    begin = F.when(F.length("text") <= longest, 1).otherwise(F.greatest(F.lit(1), at - longest // 2))
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text", at.alias("at")).select(F.substring("text", begin, F.lit(longest)).alias("text"), (F.col("at") > 0).alias("hit"), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)).alias("h"))
     n = {r[0]: r[1] for r in rows.groupBy("hit").count().collect()}
     cut = F.lit(False)
     for k, c in n.items():
@@ -274,13 +351,13 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("sto
 def scan(docs: DataFrame, model: Field | None) -> DataFrame:
     """docs with secrets: spans of each whole text by start and kind, in code points, stop exclusive.
 
-    Null and empty texts have none. Without a model only the patterns count. A column named secrets is replaced;
-    rows may repeat; an empty table gives an empty one.
+    Null and empty texts have none. Without a model only the patterns count. A column named secrets is replaced; all
+    others stay, whatever their names; rows may repeat; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)
-    own = [f for f in docs.schema.fields if f.name != "secrets"]
+    shared = spark.sparkContext.broadcast(model)  # bounded by the sample that it was learned from
+    own = [f for f in docs.schema.fields if f.name.lower() != "secrets"]
     names = [f.name for f in own]
 
     def work(batches):
@@ -289,28 +366,37 @@ def scan(docs: DataFrame, model: Field | None) -> DataFrame:
             found = [[{"kind": KINDS[k], "start": s, "stop": e} for s, k, e in find(t, m)] if t else [] for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(found, _SPANS)], [*names, "secrets"])
 
-    return docs.select(names).mapInArrow(work, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), f"secrets {SPANS}"]))
+    return map_batches(docs.select(*map(quoted, names)), work, [*fields_of(own), ("secrets", SPANS)])
+
+
+def masked(text: str, spans: list[tuple[int, int, int]], by: str) -> str:
+    """The text with the characters under (start, kind, end) spans, which may overlap, replaced by one `by` for each run."""
+    out, at = [], 0
+    for start, _, end in spans:
+        if start >= at:
+            out += [text[at:start], by]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
 
 
 def mask(docs: DataFrame, model: Field | None, by: str = "<SECRET>") -> DataFrame:
-    """docs with each secret's characters replaced by `by`; overlapping spans are one. The columns are those of docs, n_chars brought up to date."""
+    """docs with each secret's characters replaced by `by`; overlapping spans are one.
+
+    The columns are those of docs, whatever their names, n_chars brought up to date if there is one. Null and empty
+    texts stay; rows may repeat; an empty table gives an empty one.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(model)
     names = docs.columns
 
     def work(batches):
+        m = shared.value
         for b in batches:
-            texts = b["text"].to_pylist()
-            for r, spans in enumerate(b["secrets"].to_pylist()):
-                if spans:
-                    t, out, at = texts[r], [], 0
-                    for s in spans:
-                        if s["start"] >= at:
-                            out += [t[at : s["start"]], by]
-                        at = max(at, s["stop"])
-                    texts[r] = "".join([*out, t[at:]])
+            texts = [masked(t, find(t, m), by) if t else t for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field("text").type) if c == "text" else b[c] for c in names], names)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = scan(docs, model).mapInArrow(work, fields)
+    out = map_batches(docs, work, fields_of(docs.schema.fields))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
