@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize, ship
 from . import textcore as tc
+from .textcore import fields_of, map_batches, quoted, unused
 
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
@@ -178,24 +179,26 @@ def _merged(spans: list[dict]) -> list[dict]:
     return out
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10, automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, automaton_words: int = AUTOMATON_WORDS, called: tuple[str, str, str] = ("n_words", "spans", "items")) -> DataFrame:
     """docs with n_words, spans (hit words first..last, exclusive, and their bytes start..stop) and items found.
 
     A-Z count as a-z; words are runs of ASCII letters and digits and of all other characters beyond ASCII. A window is
     that many consecutive words of an item, or a whole item that is shorter. A word inside any occurrence of a window
     is hit. Null and empty texts have no words; items without words, with null ids or null texts match nothing. Items
-    of the same id count as one in `items`, which holds ids as strings, sorted. Columns named as the new ones are replaced; all
-    other columns stay, and rows may repeat. Empty tables work on either side. The items of an automaton are bounded
+    of the same id count as one in `items`, which holds ids as strings, sorted. Columns named as the new ones, for
+    which `called` gives other names, are replaced; all other columns stay, whatever their names, and rows may repeat. Empty tables work on either side. The items of an automaton are bounded
     by automaton_words; larger benchmarks take one pass over the texts for each part.
     """
     spark = docs.sparkSession
     ship(spark)
-    own = [f for f in docs.schema.fields if f.name not in {"n_words", "spans", "items"}]
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), f"n_words long, spans {SPANS}, items array<string>"])
+    own = [f for f in docs.schema.fields if f.name.lower() not in {c.lower() for c in called}]
+    rest = [f.name for f in own]
+    fields = [*fields_of(own), *zip(called, ("long", SPANS, "array<string>"), strict=True)]
     named = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = named.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = size // (2 * automaton_words) + 1  # a word and its separator are two characters at least
-    df = docs.select([f.name for f in own]).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.expr(f"cast(array() as {SPANS})"), "items": F.expr("cast(array() as array<string>)")})
+    empty = (F.lit(0).cast("long"), F.expr(f"cast(array() as {SPANS})"), F.expr("cast(array() as array<string>)"))
+    df = docs.select(*map(quoted, rest), *(e.alias(c) for e, c in zip(empty, called, strict=True)))
     for k in range(passes):
         part = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
         index = spark.sparkContext.broadcast(pickle.dumps(Index(sorted((r[0], r[1]) for r in part.collect()), window)))
@@ -203,15 +206,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, automaton
         def find(batches, index=index):
             known = pickle.loads(index.value)
             for b in batches:
-                n, spans, names = [], b["spans"].to_pylist(), b["items"].to_pylist()
+                n, spans, names = [], b[called[1]].to_pylist(), b[called[2]].to_pylist()
                 for r, (size, hit, got) in enumerate(_find(known, b["text"])):
                     n.append(size)
                     spans[r] = _merged([*spans[r], *({"first": f, "last": t, "start": s, "stop": e} for f, t, s, e in hit)])
                     names[r] = sorted({*names[r], *(known.names[i] for i in got)})
-                rest = [c for c in b.schema.names if c not in {"n_words", "spans", "items"}]
-                yield pa.RecordBatch.from_arrays([*(b[c] for c in rest), pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(names, pa.list_(pa.string()))], [*rest, "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([*(b[c] for c in rest), pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(names, pa.list_(pa.string()))], [*rest, *called])
 
-        df = df.mapInArrow(find, fields)
+        df = map_batches(df, find, fields)
         if k + 1 < passes:
             df = materialize(df, "hits")
     return df
@@ -220,17 +222,18 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, automaton
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, most_coverage: float = 0.5) -> DataFrame:
     """docs without the words of test items: hit spans are cut out; a text of which more than most_coverage is hit goes.
 
-    The columns are those of docs, n_chars brought up to date if there is one. Texts without a hit stay as they are,
-    null and empty ones too.
+    The columns are those of docs, whatever their names, n_chars brought up to date if there is one. Texts without a
+    hit stay as they are, null and empty ones too.
     """
-    found = contamination(docs, items, window)
     own = docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    n_words, spans_, _ = called = tuple(unused(x, own) for x in ("n_words", "spans", "items"))
+    found = contamination(docs, items, window, called=called)
+    fields = fields_of(docs.schema.fields)
 
     def cut(batches):
         for b in batches:
             texts = b["text"].to_pylist()
-            for r, spans in enumerate(b["spans"].to_pylist()):
+            for r, spans in enumerate(b[spans_].to_pylist()):
                 if spans:
                     raw, at, kept = texts[r].encode(), 0, []
                     for s in spans:
@@ -239,8 +242,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, most_cove
                     texts[r] = b"".join([*kept, raw[at:]]).decode()
             yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field("text").type) if c == "text" else b[c] for c in own], own)
 
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"])
-    out = found.where((F.col("n_words") == 0) | (n_hit <= most_coverage * F.col("n_words"))).mapInArrow(cut, fields)
+    n_hit = F.aggregate(spans_, F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"])
+    out = map_batches(found.where((F.col(n_words) == 0) | (n_hit <= most_coverage * F.col(n_words))), cut, fields)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in own else out
 
 

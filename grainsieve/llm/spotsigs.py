@@ -23,7 +23,8 @@ au aux avec ce dans des du elle est et il je le les ne nous ou par pas pour qui
 als auch auf aus bei das dem den der des die ein eine er es für ich ihr im ist mit nach nicht oder sein sich sie so und von vor war wie wir zu zum zur
 """.split()
 
-PER_BUCKET = 400  # documents in a range of doc_id that is put in order at once, if ids are spread evenly
+PER_BUCKET = 400  # documents in a range of doc_id that is put in order at once
+SEGMENTS, FEW = 128, 1024
 
 
 def _is_anchor(word: Column) -> Column:
@@ -74,27 +75,42 @@ def as_text(signatures: Column) -> Column:
     return F.concat_ws(":", F.size(signatures).cast("string"), F.array_join(signatures.cast("array<string>"), ","))
 
 
+def _place(doc_id: Column, tie: Column, bounds: list[int], inner: int, nulls: int) -> Column:
+    """The range that a row of (doc_id, tie) falls into; ranges are numbered in the rows' order, null ids first.
+
+    bounds cut the ids into segments of about as many rows each, and a segment is cut evenly into `inner` ranges, so
+    neither ids far apart nor crowded ones make a large range. Rows of null doc_id are spread by their tie.
+    """
+    edges = [float(b) for b in bounds]
+    at = doc_id.cast("double")
+    segment = F.size(F.filter(F.array(*map(F.lit, edges)), lambda b: b <= at))
+    low, high = (F.get(F.array(*map(F.lit, [edges[0], *edges] if k == 0 else [*edges, edges[-1]])), segment) for k in (0, 1))
+    within = F.when(high > low, F.least(F.floor((at - low) / (high - low) * inner), F.lit(inner - 1))).otherwise(0)
+    first = F.floor((tie.cast("double") / 2.0**64 + 0.5) * nulls)
+    return F.when(doc_id.isNull(), F.greatest(F.least(first, F.lit(nulls - 1)), F.lit(0)) - nulls).otherwise(segment * inner + F.greatest(within, F.lit(0))).cast("long")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with next_text and _bucket, _order: the text of the next document by doc_id, after the last the first's.
+    """(doc_id, text) with next_text, _bucket and _tie: the text of the next document by doc_id, after the last the first's.
 
-    Ids are cut into even ranges, and each range also gets the next range's first document, so no task holds more than
-    a range. Rows of null doc_id come first; rows that share a doc_id are put in order by their texts' hash.
+    Ids are cut into ranges, and each range also gets the next range's first document, so no task holds more than
+    a range. Rows of null doc_id come first; those and rows that share a doc_id are put in order by their texts' hash.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = (low or 0), (high or 0)
-    width = max(1, (high - low + 1) * PER_BUCKET // max(n, 1))
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("long"), F.lit(-1))
-    docs = docs.withColumn("_bucket", bucket)
-    # One row for each range: which range comes before it, in a ring.
-    firsts = docs.select("doc_id", "_bucket").groupBy("_bucket").agg(F.min("doc_id").alias("_first"))
-    ring = Window.orderBy("_bucket")
-    last = firsts.agg(F.max("_bucket").alias("_last"))
-    firsts = firsts.withColumn("_before", F.lag("_bucket").over(ring)).crossJoin(last).select(F.col("_first").alias("_id"), F.coalesce("_before", "_last").alias("_before"))
-    firsts = materialize(firsts, "firsts")
-    guests = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", F.col("_before").alias("_bucket"), F.lit(1).alias("_guest"))
-    rows = docs.withColumn("_guest", F.lit(0)).select("doc_id", "text", "_bucket", "_guest").union(guests)
-    order = Window.partitionBy("_bucket").orderBy("_guest", F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("_tie", F.xxhash64("text"))
+    shares = [k / SEGMENTS for k in range(SEGMENTS + 1)]
+    n, nulls, bounds = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.percentile_approx("doc_id", shares, 10 * SEGMENTS)).first()
+    bounds = sorted(set(bounds or [0]))
+    docs = docs.withColumn("_bucket", _place(F.col("doc_id"), F.col("_tie"), bounds, n // (PER_BUCKET * SEGMENTS) + 1, nulls // PER_BUCKET + 1))
+    # One row for each range that is not empty: the range before it, in a ring. Only every FEW-th range is put in order in one task.
+    firsts = docs.groupBy("_bucket").agg(F.min(F.struct("doc_id", "_tie")).alias("_first")).withColumn("_few", F.floor(F.col("_bucket") / FEW))
+    groups = firsts.groupBy("_few").agg(F.max("_bucket").alias("_top"))
+    over = Window.orderBy("_few")
+    before = groups.select("_few", F.lag("_top").over(over).alias("_prior"), F.max("_top").over(Window.orderBy(F.desc("_few")).rowsBetween(Window.unboundedPreceding, 0)).alias("_last"))
+    firsts = firsts.withColumn("_near", F.lag("_bucket").over(Window.partitionBy("_few").orderBy("_bucket"))).join(before, "_few")
+    firsts = materialize(firsts.select("_bucket", "_first", F.coalesce("_near", "_prior", "_last").alias("_before")), "firsts")
+    guests = docs.join(firsts.select("_bucket", "_first", "_before"), "_bucket").where(F.struct("doc_id", "_tie") == F.col("_first")).select("doc_id", "text", "_tie", F.col("_before").alias("_bucket"), F.lit(1).alias("_guest"))
+    rows = docs.select("doc_id", "text", "_tie", "_bucket", F.lit(0).alias("_guest")).union(guests)
+    order = Window.partitionBy("_bucket").orderBy("_guest", F.asc_nulls_first("doc_id"), "_tie")
     return rows.withColumn("next_text", F.lead("text").over(order))
 
 
@@ -103,13 +119,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has the last floor(n_chars / 2) characters replaced by the first as many of the next document.
     Null texts count as empty; two empty fingerprints are alike (1.0), an empty one and another are not (0.0). Equal
-    texts have equal fingerprints. Other columns are dropped; rows may repeat. An empty table gives an empty one.
+    texts have equal fingerprints. Other columns are dropped; rows may repeat; doc_ids may be any longs, however far
+    apart. An empty table gives an empty one.
     """
     rows = with_next(docs)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
-    rows = rows.select("doc_id", "_bucket", "_guest", F.xxhash64("text").alias("_tie"), F.col("text"), n.cast("long").alias("n_chars"), edited.alias("_edited"))
+    rows = rows.select("doc_id", "_bucket", "_guest", "_tie", F.col("text"), n.cast("long").alias("n_chars"), edited.alias("_edited"))
     rows = with_signatures(rows, {"_own": "text", "_cut": "_edited"})
     rows = rows.select("doc_id", "_bucket", "_guest", "_tie", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), "_own", "_cut", likeness(F.col("_own"), F.col("_cut")).alias("near_edited"))
     order = Window.partitionBy("_bucket").orderBy("_guest", F.asc_nulls_first("doc_id"), "_tie")

@@ -44,13 +44,10 @@ def limits(histogram: DataFrame) -> DataFrame:
 
 
 def at_limits(table: DataFrame, wanted: list[int]) -> DataFrame:
-    """(context_limit, docs_longer, truncated_total) for any limits, from limits(): the next lower occurring length answers."""
-    spark = table.sparkSession
-    ask = spark.createDataFrame([(int(w),) for w in wanted], "context_limit long")
-    below = ask.join(table, F.col("length") <= F.col("context_limit"), "left").groupBy("context_limit").agg(F.max_by(F.struct("tokens_up_to", "docs_longer"), "length").alias("x"))
-    total = table.agg(F.sum("n_docs").alias("n"))
-    docs = F.coalesce(F.col("x.docs_longer"), F.col("n"), F.lit(0))
-    return below.crossJoin(F.broadcast(total)).select("context_limit", docs.alias("docs_longer"), (F.coalesce(F.col("x.tokens_up_to"), F.lit(0)) + F.col("context_limit") * docs).alias("truncated_total"))
+    """(context_limit, docs_longer, truncated_total) for any limits, from limits(): one aggregate over the lengths that occur. An empty table gives zeros."""
+    n, longer, cut = F.col("n_docs"), "docs_longer", "truncated_total"
+    each = [F.struct(F.lit(int(w)).cast("long").alias("context_limit"), F.coalesce(F.sum(F.when(F.col("length") > w, n)), F.lit(0)).alias(longer), F.coalesce(F.sum(F.least("length", F.lit(int(w))) * n), F.lit(0)).alias(cut)) for w in wanted]
+    return table.agg(F.array(*each).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
 def quantile(table: DataFrame, q: float) -> int | None:
