@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainsieve.llm import bpe, decontaminate, jaccard_join, langid, secret_scan
+from grainsieve.llm.textcore import quoted, unused
 from grainsieve.runtime import materialize, table
 
 
@@ -17,8 +18,9 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     model = langid.learned(docs)
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = langid.identify(docs, model).where(F.col("lang_pred") != langid.UNKNOWN)
-    return found.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    named = tuple(unused(x, docs.columns) for x in ("lang_pred", "score", "lang_spans"))
+    found = langid.identify(docs, model, called=named).where(F.col(named[0]) != langid.UNKNOWN)
+    return found.withColumn("lang", F.col(named[0])).select(*map(quoted, docs.columns))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,21 +30,24 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """
     found = jaccard_join.jaccard_components(docs, words=5, threshold=(8, 10))
     gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of ten benchmark words are cut out; texts that are more than half benchmark words go."""
+    """Windows of ten benchmark words are cut out; texts that are more than half benchmark words go.
+
+    Null texts, empty ones and those without a hit stay as they are, and so do repeated rows; without benchmark items nothing is cut.
+    """
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), window=10, most_coverage=0.5)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; no document goes."""
+    """Secrets are replaced by a mark; no document goes. Null and empty texts have none; in an empty table there is nothing to learn from, and only the patterns count."""
     return secret_scan.mask(docs, secret_scan.fit(secret_scan.sample_texts(docs)))
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept documents with their token ids."""
+    """The kept documents with their token ids; null and empty texts have no token. Other columns are dropped."""
     encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"))
     return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
