@@ -86,9 +86,9 @@ def _rule(k: int, r: dict) -> Column:
 
     if r["type"] == "ingredient_group_warn":
         x = F.col(rules.group_column(r["groups"]))
-        return hit(F.size(x) > 0, S.render(F.lit(r["reason"]), {"items": rules.names(x)}))
+        return hit(F.size(x) > 0, F.concat(F.lit("宜留意配料："), rules.names(x)))
     if r["type"] == "nutrition_min_warn":
         value = S.per_100(F.col(f"_i_{r['nutrient']}"), F.lit(r["unit"]))
-        return S.let(value, lambda v: hit(F.coalesce(v >= float(r["value"]), F.lit(False)), S.render(F.lit(r["reason"]), {"value": S.number_text(S.rounded(v, 2)), "unit": F.lit(r["unit"])})))
+        return S.let(value, lambda v: hit(F.coalesce(v >= float(r["value"]), F.lit(False)), F.concat(F.lit(f"每 100 含{r['nutrient']} "), S.number_text(S.rounded(v, 2)), F.lit(f"{r['unit']}，到了提示线"))))
     x = F.col(rules.additive_column(r.get("functions")))
-    return hit(F.size(x) > 0, S.render(F.lit(r["reason"]), {"items": rules.with_function(x)}))
+    return hit(F.size(x) > 0, F.concat(F.lit("宜留意添加剂："), rules.with_function(x)))

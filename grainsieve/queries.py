@@ -183,13 +183,12 @@ def normalize_fuzzy(spark, sf_dir):
     return terms.withColumn("m", normalize.fuzzy(KB)(F.array("term"))[0]).select("id", "term", F.col("m.standard").alias("standard"), F.col("m.confidence").alias("confidence"))
 
 
-_SEGMENTS = [("能量 180kJ/100mL", "能量", 180.0, "kJ", "100mL"), ("维生素B1 0.5mg", "维生素B1", 0.5, "mg", "100g"), ("糖 0g", "糖", 0.0, "g", "100g"), ("钠：20毫克", "钠", 20.0, "mg", "100g"), ("纳 20mg", None, None, None, None), ("脂肪 3.5g/30g", "脂肪", 3.5, "g", "30g"), ("碳水化合物 100g", None, None, None, None), ("每份 蛋白质 5g", None, None, None, None), ("热量 90千卡", "能量", 90.0, "kcal", "100g")]
+_SEGMENTS = [("能量 180kJ/100mL", "能量", 180.0, "kJ", "100mL"), ("维生素B1 0.5mg", "维生素B1", 0.5, "mg", "100g"), ("糖 0g", "糖", 0.0, "g", "100g"), ("钠：20毫克", "钠", 20.0, "mg", "100g"), ("纳 20mg", None, None, None, None), ("脂肪 3.5g/30g", "脂肪", 3.5, "g", "30g"), ("碳水化合物 100g", None, None, None, None), ("每份 蛋白质 5g", "蛋白质", 5.0, "g", "份"), ("热量 90千卡", "能量", 90.0, "kcal", "100g")]
 
 
-@query(f"SELECT p_partkey AS id, x.segment, x.name, x.value::DOUBLE AS value, x.unit, x.basis FROM part JOIN {values([(i, *s) for i, s in enumerate(_SEGMENTS) if s[0] != '每份 蛋白质 5g'], 'ord, segment, name, value, unit, basis')} x ON p_partkey % {len(_SEGMENTS)} = x.ord")
+@query(f"SELECT p_partkey AS id, x.segment, x.name, x.value::DOUBLE AS value, x.unit, x.basis FROM part JOIN {values([(i, *s) for i, s in enumerate(_SEGMENTS)], 'ord, segment, name, value, unit, basis')} x ON p_partkey % {len(_SEGMENTS)} = x.ord")
 def parse_nutrition_segment(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.get(F.array(*(F.lit(s[0]) for s in _SEGMENTS)), (F.col("p_partkey") % len(_SEGMENTS)).cast("int")).alias("segment"))
-    rows = rows.where(F.col("segment") != "每份 蛋白质 5g")
     return E.with_columns(rows, {"r": parse.nutrition_segment(E.col("segment"), KB)}).select("id", "segment", "r.name", "r.value", "r.unit", "r.basis")
 
 
@@ -363,9 +362,9 @@ def latest_request(spark, sf_dir):
 _CLAUSES = [(i, c["standard"], c["title"], c["section"], c["summary"], c["usage"]) for i, c in KB.clauses.items()]
 
 
-@query(f"SELECT id, standard FROM {values(_CLAUSES, 'id, standard, title, section, summary, usage')} WHERE contains(id || standard || section || summary || usage, '宣称')")
+@query(f"SELECT id, standard FROM {values(_CLAUSES, 'id, standard, title, section, summary, usage')} WHERE contains(id || standard || section || summary || usage, '声称')")
 def kb_clause_search(spark, sf_dir):
-    return lookups.clause_search(dimensions(spark, KB)["clause"], "宣称").select("id", "standard")
+    return lookups.clause_search(dimensions(spark, KB)["clause"], "声称").select("id", "standard")
 
 
 @query(f"SELECT standard, count(*) AS n_clauses FROM {values(_CLAUSES, 'id, standard, title, section, summary, usage')} GROUP BY standard")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 DOCUMENTS = ("claims", "thresholds", "populations", "clauses", "allergens", "additives", "ingredients")
 WORDING = "可能含有"
+UNREGULATED = "这一说法没有法定的定义，以下按一般理解核对。"
 
 
 @dataclass
@@ -29,25 +30,24 @@ class KnowledgeBase:
 
     def __post_init__(self):
         for name, row in self.additives["additives"].items():
-            function, *aliases = row.split(" ")
-            self.additive_function[name] = function
+            self.additive_function[name] = row["function"]
             self.additive_index[name] = name
-            for a in aliases:
+            for a in row["aliases"]:
                 self.additive_index[a] = name
         for name in self.preservatives:
             self.additive_index.setdefault(name, name)
 
     @property
     def functions(self) -> list[str]:
-        return self.additives["functions"].split(" ")
+        return self.additives["functions"]
 
     @property
     def preservatives(self) -> list[str]:
-        return self.additives["preservatives"].split(" ")
+        return self.additives["preservatives"]
 
     @property
     def standards(self) -> dict[str, list[str]]:
-        return {k: v.split() for k, v in self.ingredients["standards"].items()}
+        return self.ingredients["standards"]
 
     @property
     def aliases(self) -> dict[str, str]:
@@ -70,11 +70,11 @@ class KnowledgeBase:
     @property
     def match_words(self) -> list[tuple[str, str]]:
         """(word, claim id), longest first."""
-        return sorted(((w, c["id"]) for c in self.claims for w in c["words"].split(" ")), key=lambda x: len(x[0]), reverse=True)
+        return sorted(((w, c["id"]) for c in self.claims for w in c["words"]), key=lambda x: len(x[0]), reverse=True)
 
     def allergen_aliases(self) -> list[tuple[str, str, int]]:
         """(code, alias, ord)."""
-        rows = [(code, a) for code, c in self.allergens["categories"].items() for a in c["aliases"].split(" ")]
+        rows = [(code, a) for code, c in self.allergens["categories"].items() for a in c["aliases"]]
         return [(c, a, i) for i, (c, a) in enumerate(rows)]
 
     def issues(self) -> list[tuple[str, str]]:
@@ -126,7 +126,7 @@ def dimensions(spark: SparkSession, kb: KnowledgeBase) -> dict[str, DataFrame]:
         "additive": df([(n, f, i) for i, (n, f) in enumerate(kb.additive_function.items())], "name string, function string, ord int"),
         "additive_alias": df([(a, n) for a, n in kb.additive_index.items()], "alias string, name string"),
         "function": df(list(zip(kb.functions, range(99), strict=False)), "function string, ord int"),
-        "claim": df([(c["id"], c["name"], c["regulated"], c.get("note"), c["clauses"], i) for i, c in enumerate(kb.claims)], "id string, name string, regulated boolean, note string, clauses array<string>, ord int"),
+        "claim": df([(c["id"], c["name"], c["regulated"], None if c["regulated"] else UNREGULATED, c["clauses"], i) for i, c in enumerate(kb.claims)], "id string, name string, regulated boolean, note string, clauses array<string>, ord int"),
         "match_word": df([(w, len(w), p, i) for i, (w, p) in enumerate(kb.match_words)], "word string, len int, claim_id string, ord int"),
         "condition": df(conditions, "claim_id string, ord int, kind string, type string, nutrient string, threshold string, groups array<string>, function string, functions array<string>, value int, weight string, clause string"),
         "threshold": df([(r, t["nutrient"], float(t["solid"]), float(t["liquid"]), t["unit"], t["clause"]) for r, t in kb.thresholds["claims"].items()], "ref string, nutrient string, solid double, liquid double, unit string, clause string"),
