@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 import re
-from functools import cache
 from hashlib import sha256
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -21,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .textcore import fields_of, map_batches
+from .textcore import fields_of, held, map_batches, pieces
 
-WORDS_KEPT = 800_000  # words whose encoding a worker remembers; beyond it starts anew
+WORDS_KEPT = 400_000  # words whose encoding a worker remembers; beyond it starts anew
 
 # Letters first: no other alternative can begin with one. Right for the characters below; see _plain.
 _SPLIT = re.compile(r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -201,9 +200,8 @@ class BytePairCoder:
         return b"".join([t for i in ids if (t := self.token.get(i)) is not None]).decode("utf-8", "replace")
 
 
-@cache
 def coder(path: str) -> BytePairCoder:
-    return BytePairCoder(path)
+    return held(path, lambda: BytePairCoder(path))
 
 
 def default_path() -> str:
@@ -233,7 +231,7 @@ def _with(df: DataFrame, column: str, out: str, kind: str, make) -> DataFrame:
     arrow = {"array<int>": pa.list_(pa.int32()), "string": pa.string(), "long": pa.int64()}[kind]
 
     def work(batches):
-        for b in batches:
+        for b in pieces(batches, column):
             made = pa.array(make(b[column].to_pylist()), arrow)
             yield pa.RecordBatch.from_arrays([*(b[c] for c in rest), made], [*rest, out])
 
@@ -247,7 +245,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None
     stay; one named as out is replaced. Rows keep their number and may repeat; an empty table gives an empty one.
     """
     path = path or default_path()
-    return _with(df, text, out, "array<int>", lambda col: [ids for run in runs(col) for ids in coder(path).encode_all(run)])
+    return _with(df, text, out, "array<int>", lambda col: [np.array(ids, np.int32) for run in runs(col) for ids in coder(path).encode_all(run)])
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "text", path: str | None = None) -> DataFrame:
@@ -277,7 +275,7 @@ def round_trip(df: DataFrame, path: str | None = None) -> DataFrame:
 
     def work(batches):
         c = coder(path)
-        for b in batches:
+        for b in pieces(batches, "text"):
             n, ids_sha, text_sha = [], [], []
             for run in runs(b["text"].to_pylist()):
                 for w in c.split_all(run):

@@ -205,7 +205,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, automaton
 
         def find(batches, index=index):
             known = pickle.loads(index.value)
-            for b in batches:
+            for b in tc.pieces(batches, "text", 8 << 20):
                 n, spans, names = [], b[called[1]].to_pylist(), b[called[2]].to_pylist()
                 for r, (size, hit, got) in enumerate(_find(known, b["text"])):
                     n.append(size)
@@ -231,7 +231,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, most_cove
     fields = fields_of(docs.schema.fields)
 
     def cut(batches):
-        for b in batches:
+        for b in tc.pieces(batches, "text"):
             texts = b["text"].to_pylist()
             for r, spans in enumerate(b[spans_].to_pylist()):
                 if spans:

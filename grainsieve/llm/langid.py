@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 from .bpe import runs
-from .textcore import fields_of, map_batches, quoted
+from .textcore import fields_of, held, map_batches, pieces, quoted
 
-WORDS_KEPT = 600_000
+WORDS_KEPT = 300_000
 CHUNK = 64
 _WORD = re.compile(r"[^\W\d_]{1,40}")  # of a script without spaces, a whole clause is one run: its pieces are the words
 
@@ -281,7 +281,7 @@ def identify(docs: DataFrame, model: Model | None, spans: bool = False, called:
     def label(batches):
         m = shared.value
         labeller = _labeller(m) if m else None
-        for b in batches:
+        for b in pieces(batches, "text"):
             pred, score, runs_ = [], [], []
             for run in runs(b["text"].to_pylist()):
                 for p, _ in labeller.texts(run) if m else ((np.zeros((0, 0)), []) for _ in run):
@@ -306,15 +306,8 @@ def identify(docs: DataFrame, model: Model | None, spans: bool = False, called:
     return map_batches(docs.select(*map(quoted, names)), label, fields)
 
 
-_made: dict[int, Labeller] = {}
-
-
 def _labeller(model: Model) -> Labeller:
-    key = crc32(model.weights.tobytes())
-    if key not in _made:
-        _made.clear()
-        _made[key] = Labeller(model)
-    return _made[key]
+    return held(("labeller", crc32(model.weights.tobytes())), lambda: Labeller(model))
 
 
 def held_out(doc_id):

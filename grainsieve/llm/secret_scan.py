@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 from .langid import forward_backward
-from .textcore import fields_of, map_batches, quoted
+from .textcore import fields_of, map_batches, pieces, quoted
 
 # Fixed patterns.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
@@ -362,7 +362,7 @@ def scan(docs: DataFrame, model: Field | None) -> DataFrame:
 
     def work(batches):
         m = shared.value
-        for b in batches:
+        for b in pieces(batches, "text"):
             found = [[{"kind": KINDS[k], "start": s, "stop": e} for s, k, e in find(t, m)] if t else [] for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(found, _SPANS)], [*names, "secrets"])
 
@@ -392,7 +392,7 @@ def mask(docs: DataFrame, model: Field | None, by: str = "<SECRET>") -> DataFram
 
     def work(batches):
         m = shared.value
-        for b in batches:
+        for b in pieces(batches, "text"):
             texts = [masked(t, find(t, m), by) if t else t for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field("text").type) if c == "text" else b[c] for c in names], names)
 

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE = 1 << 20
 
@@ -74,6 +75,27 @@ def slices(offsets: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+def pieces(batches, column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that a column's texts or lists have about `most` bytes or members in each; a longer row is a piece of its own."""
+    for b in batches:
+        c = b[column]
+        size = pc.list_value_length(c) if pa.types.is_list(c.type) else pc.binary_length(c)
+        off = np.concatenate(([0], np.cumsum(size.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))))
+        for i, j in slices(off, most):
+            yield b.slice(i, j - i)
+
+
+_held: list = [None, None]
+
+
+def held(key, make):
+    """What a Python worker keeps from task to task: the last key's object only. Workers serve one operator after another, and what the others kept would stay."""
+    if _held[0] != key:
+        _held[:] = [None, None]
+        _held[:] = [key, make()]
+    return _held[1]
+
+
 def words(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs of word bytes, never over the end of a row, and the n+1 offsets into them."""
     n = len(buf)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
+from .textcore import pieces
 
 _WORD = re.compile(r"[^\W\d_]+")
 WORDS_KEPT = 600_000
@@ -161,7 +162,7 @@ def severity(docs: DataFrame, model: Severity | None) -> DataFrame:
     def grade(batches):
         m = shared.value
         none = m.above(set()) if m else np.zeros(GRADES)
-        for b in batches:
+        for b in pieces(batches, "text"):
             out = [[], [], [], []]
             for t in b["text"].to_pylist():
                 had, words = m.found(t) if t and m else (set(), set())
