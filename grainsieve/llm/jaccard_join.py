@@ -4,14 +4,15 @@ A document's set is its distinct word shingles. In a band of set sizes, the shin
 hash, and each shingle flips one of 64 bits of its block: a block's parity bits are a small sketch, and a shingle in
 which two sets differ changes one block. A linked pair differs in at most D shingles, so of m blocks at least m - D are
 alike (pigeonhole). If each set puts its m blocks into one order that all sets share, and a pair has m - D blocks in
-common, then the pair also has one in common among the first D + 1 of each. These are the join keys. The order puts
+common, then the pair also has T in common among the first D + T of each. These are the join keys. The order puts
 blocks of many bits first: blocks without a bit or with one, which unlike sets have in common too, come last and are
 mostly left out. A set is keyed in its own band of sizes and, as the smaller one, in the next.
 
-Sets that meet in a key are candidates. They are compared by larger sketches, whose Hamming distance is a lower bound
-of the sets' difference, and what these let through is verified on the sets themselves. Equal sets are merged before
-anything is paired. Links are only looked for between sets that other links do not already join, so a group of n near
-copies costs about n verifications, while no two sets that are linked can end in different components.
+Where few sets share a key, they are taken as pairs, and pairs that meet less than T times go: most sets that meet by
+chance meet once. Where many do, they are a group, whose sets are compared by larger sketches, whose Hamming distance
+is a lower bound of the sets' difference. What is left of both is verified on the sets themselves. Equal sets are
+merged before anything is paired. Links are only looked for between sets that other links do not already join, so a
+group of n near copies costs about n verifications, while no two sets that are linked can end in different components.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ WORD[[32, 9, 10, 11, 12, 13]] = False
 TILE = 1000  # sets that are compared with one another at once
 PAIRS = 4  # pairs that a tile gives out for two components in the first round; later rounds allow more, until none is left out
 DEAL = 12 << 20  # bytes of keys in one deal
+SMALL = 16  # sets that share a key and are taken as pairs; more are a group
+MATCHES, FROM = 4, 32  # T of bands from that size on; below, it is 1
 HOT = 32  # sets of one batch that share a key: they go as a list of their own, and only their first meets other batches
 LIST = 4096  # ids in one row of a group
 FAN = 64  # sets that are first compared with the same one of their group
@@ -65,13 +68,17 @@ class Bands:
         most = self.differs(2 * (self.low[band + 1] - 1))
         return most + most // 4 + 8
 
+    def matches(self, band: int) -> int:
+        """T: in how many keys of a band two linked sets meet at least."""
+        return MATCHES if self.low[band] >= FROM else 1
+
     def of(self, n: int) -> Iterator[tuple[int, int]]:
         """The bands in which a set of n shingles is keyed, and its number of keys there; none where only equal sets can link."""
         b = self.band(n)
         for band in (b, b + 1):
             largest = min(self.low[band + 1] - 1, floor(n / self.t))
             if largest >= self.low[band] and (d := self.differs(n + largest)):
-                yield band, d + 1
+                yield band, d + self.matches(band)
 
 
 @cache
@@ -104,7 +111,7 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
 
 
 def signatures(s: np.ndarray, bs: Bands) -> np.ndarray:
-    """The join keys of a set of shingle hashes."""
+    """The join keys of a set of shingle hashes. The second lowest bit is set in bands where one match makes a candidate, the lowest is free."""
     out = [np.zeros(0, _U)]
     for band, wanted in bs.of(len(s)):
         m = bs.blocks(band)
@@ -116,7 +123,7 @@ def signatures(s: np.ndarray, bs: Bands) -> np.ndarray:
         if len(held) < wanted:  # blocks without a shingle count as well
             bare = np.setdiff1d(np.arange(m, dtype=_U), held)
             held, parity = np.concatenate((held, bare)), np.concatenate((parity, np.zeros(len(bare), _U)))
-        key = tc.pair(held + _U(band << 40), parity)
+        key = (tc.pair(held + _U(band << 40), parity) & ~_U(3)) | _U(2 * (bs.matches(band) == 1))
         if len(key) > wanted:
             key = key[np.lexsort((key, -np.bitwise_count(parity).astype(np.int8)))[:wanted]]
         out.append(key)
@@ -155,19 +162,6 @@ def _fold(x: np.ndarray, size: int) -> np.ndarray:
     return x
 
 
-def _groups(sig: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Ids that share a signature, in order, for each signature of two or more."""
-    order = np.lexsort((ids, sig))
-    sig, ids = sig[order], ids[order]
-    keep = np.ones(len(sig), bool)
-    keep[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])
-    sig, ids = sig[keep], ids[keep]
-    cut = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
-    size = np.diff(np.append(cut, len(sig)))
-    for c, n in zip(cut[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-        yield int(sig[c]), ids[c : c + n]
-
-
 def _pairs(tile: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of one tile (rows are sorted by it), of different sides if any row has one; about PAIRS_AT_ONCE at a time."""
     cut = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1], [True])))
@@ -282,7 +276,10 @@ def _components(doc: DataFrame, words: int, num: int, den: int, parts: int, scra
     n_keys = (sets.agg(F.sum("size")).first()[0] or 0) * 3 * (den - num) // (den + num)
     deals = int(max(parts, n_keys * 12 // DEAL + 1))
     keyed = sets.select("id", "text").mapInArrow(_keys(words, num, den, deals), "deal long, lists boolean, sig binary, ids binary")
-    groups = scratch.write(keyed.groupBy("deal").applyInArrow(_meet, "g long, ids binary"), "groups")
+    met = scratch.write(keyed.groupBy("deal").applyInArrow(_meet(deals), "g long, ids binary, share long, pairs binary, n binary"), "met")
+    groups = met.where("ids is not null").select("g", "ids")
+    counted = met.where("pairs is not null").select("share", "pairs", "n").groupBy("share").applyInArrow(_counted, "a long, b long, n long")
+    pairs = scratch.write(counted, "pairs")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Of candidate pairs (a, b) of ids: whether the sets are linked, and their keys."""
@@ -301,14 +298,26 @@ def _components(doc: DataFrame, words: int, num: int, den: int, parts: int, scra
         return scratch.write(out.select("id", "component", F.col("id.key").alias("key")), f"components{k}")
 
     # First each set with the one set that it shares most keys with, of those before it in a tree of its groups: no set is asked for by more than FAN others of a group.
-    stars = groups.mapInArrow(_stars, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1")
+    stars = groups.mapInArrow(_stars, "a long, b long, n long").union(pairs).groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1")
     tried = verified(stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")), "tried0")
     comp = grown(None, tried, 0)
 
-    # Then pairs across components in groups whose sets are still in several, in tiles of bounded size. While components
+    # Then the pairs across components.
+    def apart(found: DataFrame) -> DataFrame:
+        node = sets.select("id", "key", "size", "sketch").join(comp.select("key", F.col("component.key").alias("c")), "key", "left").withColumn("c", F.coalesce("c", "key"))
+        of = lambda x: node.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("c", "size", "sketch")))
+        both = found.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(of("a"), "a").join(of("b"), "b").where("ca <> cb")
+        return both.select("a", "b", "sizea", "sizeb", "sketcha", "sketchb").mapInArrow(_let_through(num, den), "a long, b long")
+
+    more = verified(apart(pairs.select("a", "b")).distinct(), "more")
+    tried = tried.union(more)
+    comp = grown(comp, more, 1)
+    scratch.drop("components0", "pairs")
+
+    # And pairs across components in groups whose sets are still in several, in tiles of bounded size. While components
     # join, a few pairs are enough for two of them; groups of which pairs were left out come up again, with more pairs allowed.
     members = groups.mapInArrow(_members, "g long, id long")
-    most, k, left = PAIRS, 1, None
+    most, k, left = PAIRS, 2, None
     while True:
         node = sets.select("id", "key").join(comp.select("key", F.col("component.key").alias("c")), "key", "left").select("id", F.coalesce("c", "key").alias("c"))
         labelled = (members if left is None else members.join(left, "g", "left_semi")).join(node, "id")
@@ -359,9 +368,9 @@ def _keys(words: int, num: int, den: int, deals: int):
                 for x in range(0, n, LIST):
                     rows.append((int(own[at + x] % deals), True, g.tobytes(), own[at + x : at + min(n, x + LIST)].tobytes()))
             kept = np.ones(len(sig), bool)
-            hot = np.repeat(many >= HOT, many)
-            kept[hot] = False
+            kept[np.repeat(many >= HOT, many)] = False
             kept[first] = True
+            short[first[many >= HOT]] |= np.uint32(1)  # the first of a list of its own
             deal, short, own = deal[kept].astype(np.int64), short[kept], own[kept]
             order = np.argsort(deal, kind="stable")
             held, first = np.unique(deal[order], return_index=True)
@@ -372,27 +381,87 @@ def _keys(words: int, num: int, den: int, deals: int):
     return work
 
 
-def _meet(t: pa.Table) -> pa.Table:
-    """Of a deal: the ids that share a key, in lists; lists of one group have its number g in common."""
-    g, ids = [], []
-    flat, sig, own = t["lists"].to_pylist(), t["sig"].to_pylist(), t["ids"].to_pylist()
-    for many, s, x in zip(flat, sig, own, strict=True):
-        if many:
-            g.append(int.from_bytes(s, "little", signed=True))
-            ids.append(x)
-    deal = np.full(1, t["deal"][0].as_py(), _U)
-    short = np.frombuffer(b"".join(s for many, s in zip(flat, sig, strict=True) if not many), np.uint32)
-    same: dict[bytes, int] = {}
-    for s, x in _groups(short, np.frombuffer(b"".join(x for many, x in zip(flat, own, strict=True) if not many), np.int64)):
-        name = tc.pair(deal, np.array([s], _U))
-        for a in range(0, len(x), LIST):
-            blob = x[a : a + LIST].tobytes()
-            if len(x) <= HOT and blob in same:  # blocks that the same few sets share say the same
-                continue
-            same[blob] = 0
-            g.append(int(name.view(np.int64)[0]))
-            ids.append(blob)
-    return pa.table({"g": pa.array(g, pa.int64()), "ids": pa.array(ids, pa.binary())})
+def _meet(deals: int):
+    """Of a deal: ids that share a key, as pairs dealt out anew if they are few, and else as lists; lists of one group have its number g in common."""
+
+    def work(t: pa.Table) -> pa.Table:
+        flat, sig, own = t["lists"].to_pylist(), t["sig"].to_pylist(), t["ids"].to_pylist()
+        g = [int.from_bytes(s, "little", signed=True) for many, s in zip(flat, sig, strict=True) if many]
+        ids = [x for many, x in zip(flat, own, strict=True) if many]
+        short = np.frombuffer(b"".join(s for many, s in zip(flat, sig, strict=True) if not many), np.uint32)
+        own = np.frombuffer(b"".join(x for many, x in zip(flat, own, strict=True) if not many), np.int64)
+        order = np.lexsort((own, short & ~np.uint32(1)))
+        short, own = short[order], own[order]
+        led, key = short & np.uint32(1), short & ~np.uint32(1)
+        keep = np.ones(len(key), bool)
+        keep[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
+        led, key, own = led[keep], key[keep], own[keep]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(key)))
+        leads = np.maximum.reduceat(led, first) > 0 if len(key) else np.zeros(0, bool)
+        several = (size > 1) & ((size > SMALL) | leads)
+        deal = np.full(1, t["deal"][0].as_py(), _U)
+        for at, n in zip(first[several].tolist(), size[several].tolist(), strict=True):
+            name = int(tc.pair(deal, key[at : at + 1].astype(_U)).view(np.int64)[0])
+            for x in range(at, at + n, LIST):
+                g.append(name)
+                ids.append(own[x : min(at + n, x + LIST)].tobytes())
+        a, b, once = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        for n in range(2, SMALL + 1):
+            some = first[(size == n) & ~leads]
+            for x in range(n - 1):
+                for y in range(x + 1, n):
+                    a.append(own[some + x])
+                    b.append(own[some + y])
+                    once.append((key[some] & np.uint32(2)) > 0)
+        a, b, once = map(np.concatenate, (a, b, once))
+        order = np.lexsort((b, a))
+        a, b, weight = a[order], b[order], np.where(once[order], MATCHES, 1)
+        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
+        a, b, n = a[first], b[first], np.minimum(np.add.reduceat(weight, first), 255).astype(np.uint8) if len(first) else np.zeros(0, np.uint8)
+        share = tc.mix(a.view(_U)) % _U(deals)
+        order = np.argsort(share, kind="stable")
+        held, first = np.unique(share[order], return_index=True)
+        cut = np.append(first, len(order)).tolist()
+        pieces = [order[x:y] for x, y in zip(cut, cut[1:], strict=False)]
+        no, more = [None] * len(pieces), [None] * len(g)
+        return pa.table({
+            "g": pa.array(g + no, pa.int64()), "ids": pa.array(ids + no, pa.binary()), "share": pa.array(more + held.astype(np.int64).tolist(), pa.int64()),
+            "pairs": pa.array(more + [np.stack((a[p], b[p])).tobytes() for p in pieces], pa.binary()), "n": pa.array(more + [n[p].tobytes() for p in pieces], pa.binary()),
+        })
+
+    return work
+
+
+def _counted(t: pa.Table) -> pa.Table:
+    """Pairs that meet in keys enough: MATCHES times, or once in a band where that is enough, as such a match counts as so many."""
+    blobs = [np.frombuffer(x, np.int64).reshape(2, -1) for x in t["pairs"].to_pylist()]
+    a, b = (np.concatenate([x[k] for x in blobs]) for k in (0, 1))
+    n = np.frombuffer(b"".join(t["n"].to_pylist()), np.uint8).astype(np.int64)
+    order = np.lexsort((b, a))
+    a, b, n = a[order], b[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    n = np.add.reduceat(n, first)
+    enough = n >= MATCHES
+    return pa.table({"a": a[first][enough], "b": b[first][enough], "n": n[enough]})
+
+
+def _let_through(num: int, den: int):
+    """Pairs that neither sizes nor sketches rule out."""
+
+    def work(batches):
+        for b in batches:
+            x, y = b["sizea"].to_numpy(zero_copy_only=False), b["sizeb"].to_numpy(zero_copy_only=False)
+            ok = den * np.minimum(x, y) >= num * np.maximum(x, y)
+            limit = (x + y) * (den - num) // (den + num)
+            for k, (p, q) in enumerate(zip(b["sketcha"].to_pylist(), b["sketchb"].to_pylist(), strict=True)):
+                if ok[k]:
+                    p, q = np.frombuffer(p, _U)[None], np.frombuffer(q, _U)[None]
+                    size = min(p.shape[1], q.shape[1])
+                    ok[k] = np.bitwise_count(_fold(p, size) ^ _fold(q, size)).sum(dtype=np.int64) <= limit[k]
+            yield pa.RecordBatch.from_arrays([b["a"].filter(pa.array(ok)), b["b"].filter(pa.array(ok))], ["a", "b"])
+
+    return work
 
 
 def _stars(batches):
