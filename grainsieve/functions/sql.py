@@ -143,17 +143,10 @@ def column(x: Column) -> SparkColumn:
     return made.alias(x.name) if x.name else made
 
 
-def _staged(df: DataFrame, columns: list[Column]) -> tuple[DataFrame, list[SparkColumn]]:
-    """df and columns such that the optimizer keeps them a step of their own: what a step works out would else be put into each of its uses, over and over."""
-    return df.withColumn("_step", _F.rand(0)), [column(Column(f"CASE WHEN _step >= 0 THEN {c.text} END", c.name)) for c in columns]
-
-
 def with_columns(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    df, made = _staged(df, [v.alias(k) for k, v in columns.items()])
-    return df.withColumns(dict(zip(columns, made, strict=True))).drop("_step")
+    """df with columns, in a projection of their own: Spark keeps it apart from later ones that use a costly column more than once."""
+    return df.withColumns({k: column(v.alias(k)) for k, v in columns.items()})
 
 
 def select(df: DataFrame, *columns: Column | str) -> DataFrame:
-    df, made = _staged(df, [c for c in columns if not isinstance(c, str)])
-    made = iter(made)
-    return df.select(*(c if isinstance(c, str) else next(made) for c in columns))
+    return df.select(*(c if isinstance(c, str) else column(c) for c in columns))

@@ -102,3 +102,18 @@ def field_diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     both = before.alias("b").join(after.alias("a"), key)
     changed = F.array_compact(F.array(*(F.when(~F.col(f"b.{c}").eqNullSafe(F.col(f"a.{c}")), F.lit(c)) for c in fields)))
     return both.select(key, changed.alias("changed"))
+
+
+def nutrition_value(rows, nutrient: str, aliases: dict[str, str]):
+    """The first row of a nutrient's name, or else of the first alias that stands for it; null if there is none. For rows that this package did not parse: its own parser puts standard names."""
+    named = lambda name: F.get(F.filter(rows, lambda r: r["name"] == name), F.lit(0))
+    return F.coalesce(*(named(n) for n in [nutrient, *(a for a, s in aliases.items() if s == nutrient)]))
+
+
+def document_counts(dims: dict[str, DataFrame]) -> DataFrame:
+    """One row: how many clauses, additives, aliases, standards and allergen aliases a knowledge base has."""
+    out = None
+    for name in ("clause", "additive", "alias", "standard", "allergen_alias"):
+        n = dims[name].agg(F.count("*").alias(f"n_{name}"))
+        out = n if out is None else out.crossJoin(n)  # one row each
+    return out

@@ -5,10 +5,16 @@ The plan is within a row, so a stream runs the very functions of the batch.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.lookups import batch_summary
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators.lookups import HISTORY, batch_summary
 from ..plans.verify import SOURCE, verify
 from ..sources.kb import KnowledgeBase
 
@@ -33,3 +39,53 @@ def summaries(reports: DataFrame, out: str, checkpoint: str):
         batch_summary(batch.withColumn("ok", F.lit(True))).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return reports.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ring(rows: DataFrame, key: str, at: str, tie: str, most: int = HISTORY) -> DataFrame:
+    """(key, place, at, tie) after each micro-batch: the newest `most` rows of every key that the batch touched, newest first.
+
+    The state of a key is these rows and no more, so it stays bounded however long the stream runs.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    state = f"`{at}` array<{kinds[at]}>, `{tie}` array<{kinds[tie]}>"
+
+    def newer(group: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        seen = list(zip(*kept.get, strict=True)) if kept.exists else []
+        for frame in frames:
+            seen = sorted({*seen, *zip(frame[at].tolist(), frame[tie].tolist(), strict=True)}, reverse=True)[:most]
+        kept.update(([x for x, _ in seen], [y for _, y in seen]))
+        yield pd.DataFrame({key: [group[0]] * len(seen), "place": range(1, len(seen) + 1), at: [x for x, _ in seen], tie: [y for _, y in seen]})
+
+    out = f"`{key}` {kinds[key]}, place int, `{at}` {kinds[at]}, `{tie}` {kinds[tie]}"
+    return rows.select(key, at, tie).groupBy(key).applyInPandasWithState(newer, out, state, "update", GroupStateTimeout.NoTimeout)
+
+
+class Progress(StreamingQueryListener):
+    """Tells a callback (event, query name, rows of the micro-batch) of a session's streams; what the callback raises is ignored, so it cannot stop a stream."""
+
+    def __init__(self, tell: Callable[[str, str | None, int], None]):
+        self.tell = tell
+
+    def _say(self, event: str, name: str | None, rows: int = 0) -> None:
+        try:
+            self.tell(event, name, rows)
+        except Exception:  # noqa: BLE001
+            pass
+
+    def onQueryStarted(self, event):  # noqa: N802
+        self._say("started", event.name)
+
+    def onQueryProgress(self, event):  # noqa: N802
+        self._say("progress", event.progress.name, event.progress.numInputRows)
+
+    def onQueryIdle(self, event):  # noqa: N802
+        self._say("idle", None)
+
+    def onQueryTerminated(self, event):  # noqa: N802
+        self._say("ended" if event.exception is None else "failed", None)
+
+
+def stop(query: StreamingQuery, wait: float = 60.0) -> bool:
+    """Stop a stream and wait for its end; whether it has ended. What it has committed stays, and it can start again from its checkpoint."""
+    query.stop()
+    return bool(query.awaitTermination(wait))
