@@ -311,8 +311,12 @@ def _components(doc: DataFrame, words: int, num: int, den: int, parts: int, scra
 
     more = verified(apart(pairs.select("a", "b")).distinct(), "more")
     tried = tried.union(more)
-    comp = grown(comp, more, 1)
-    scratch.drop("components0", "pairs")
+    if more.where("ok").head(1):
+        comp = grown(comp, more, 1)
+        scratch.drop("components0")
+    else:
+        scratch.paths["components1"] = scratch.paths.pop("components0")
+    scratch.drop("pairs")
 
     # And pairs across components in groups whose sets are still in several, in tiles of bounded size. While components
     # join, a few pairs are enough for two of them; groups of which pairs were left out come up again, with more pairs allowed.

@@ -274,7 +274,8 @@ def repeated_spans(docs: DataFrame, length: int = 100, keep: bool = False, hot_f
     blocks = int(size // BLOCK + 1)
     deals = int(max(parts, size // (32 << 20) + 1))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    text = text.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(blocks)).cast("long"))
+    # By text as well, so that neither rows of null doc_id nor many texts of one doc_id are a block of their own.
+    text = text.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(blocks)).cast("long"))
 
     def anchors(batches):
         for b in batches:

@@ -32,6 +32,7 @@ def features(word: str) -> list[str]:
 class Severity:
     weights: dict[str, float]
     thresholds: list[float]
+    cut: float  # the score w.x from which a text is toxic
     memory: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def found(self, text: str) -> tuple[set[str], set[str]]:
@@ -48,10 +49,16 @@ class Severity:
                 words.add(w)
         return had, words
 
+    def score(self, had: set[str]) -> float:
+        return sum(self.weights[f] for f in sorted(had))
+
     def above(self, had: set[str]) -> np.ndarray:
         """P(severity > k) for each threshold k."""
-        x = sum(self.weights[f] for f in sorted(had))
-        return 1 / (1 + np.exp(-(x - np.array(self.thresholds))))
+        return 1 / (1 + np.exp(-(self.score(had) - np.array(self.thresholds))))
+
+    def grade(self, had: set[str]) -> int:
+        """The expected severity rounded; 1 at least for a toxic text, and 0 for others."""
+        return max(1, int(self.above(had).sum() + 0.5)) if self.score(had) >= self.cut else 0
 
 
 def _apart(texts: list[list[str]]) -> list[int]:
@@ -85,12 +92,48 @@ def _vocabulary(sets: list[set[str]], toxic: np.ndarray, least: float) -> list[s
     return sorted(out)
 
 
+def _endings(words: list[str]) -> set[str]:
+    return {w[-4:] for w in words}
+
+
+def grades(lists: list[list[str]], toxic: np.ndarray) -> np.ndarray:
+    """Severity grades from labels that only say toxic or not: 0 for clean texts, 1 to 3 for toxic ones.
+
+    A toxic text's grade is the third that it falls into by how much its words' endings speak for toxicity in all,
+    judged by a naive Bayes model of the endings in the other half of the texts. So the grades come from features that
+    the regression does not use, and no text has a say in its own.
+    """
+    score, half = np.zeros(len(lists)), np.arange(len(lists)) % 2
+    found = [_endings(ws) for ws in lists]
+    for fold in (0, 1):
+        count: dict[str, list[int]] = {}
+        for k in np.flatnonzero(half != fold).tolist():
+            for e in found[k]:
+                count.setdefault(e, [0, 0])[int(toxic[k])] += 1
+        n1 = max(int(toxic[half != fold].sum()), 1)
+        n0 = max(int((~toxic[half != fold]).sum()), 1)
+        odds = {e: float(np.log((c1 + 1) / (n1 + 2) * (n0 + 2) / (c0 + 1))) for e, (c0, c1) in count.items() if c0 + c1 > 1}
+        for k in np.flatnonzero(half == fold).tolist():
+            score[k] = sum(x for e in found[k] if (x := odds.get(e, 0.0)) > 1)
+    cuts = np.quantile(score[toxic], [1 / 3, 2 / 3])
+    return np.where(toxic, 1 + (score > cuts[0]) + (score > cuts[1]), 0)
+
+
+def cut_of(scores: np.ndarray, toxic: np.ndarray, cost: float = 5.0) -> float:
+    """The score from which texts count as toxic: above 0, and such that the share of toxic texts found, less `cost` times that of clean ones, is largest."""
+    levels = np.unique(scores[scores > 0])
+    if not len(levels):
+        return float("inf")
+    gain = [(scores[toxic] >= c).mean() - cost * (scores[~toxic] >= c).mean() for c in levels]
+    best = int(np.argmax(gain))
+    return float(levels[best] + (levels[best - 1] if best else 0.0)) / 2
+
+
 def fit(rows: list[tuple[str, int]], least: float = 30.0, rounds: int = 400, rate: float = 0.3, decay: float = 2e-4) -> Severity | None:
     """From (text, toxic 0/1) rows; None if they are not of both kinds.
 
-    Labels say toxic or not; grades are made from them: 0 for clean texts, and for toxic ones 1 to 3 by thirds of how
-    many distinct words features they have of the vocabulary that sets toxic texts apart. Of near copies one counts. Thresholds stay in order because each
-    is the one before plus a positive step.
+    Labels say toxic or not; grades() makes grades of them. Of near copies one counts. Thresholds stay in order because
+    each is the one before plus a positive step.
     """
     toxic = np.array([int(t) for _, t in rows], bool)
     if not len(rows) or toxic.all() or not toxic.any():
@@ -104,9 +147,7 @@ def fit(rows: list[tuple[str, int]], least: float = 30.0, rounds: int = 400, rat
     for r, s in enumerate(sets):
         for f in {f for w in s for f in features(w)} & number.keys():
             x[r, number[f]] = 1
-    have = x.sum(axis=1)
-    cuts = np.quantile(have[toxic], [1 / 3, 2 / 3])
-    grade = np.where(toxic, 1 + (have > cuts[0]) + (have > cuts[1]), 0)
+    grade = grades([lists[k] for k in apart], toxic)
     w, first, steps = np.zeros(len(vocabulary)), 0.0, np.zeros(GRADES - 1)
     balance = np.where(toxic, 0.5 / toxic.mean(), 0.5 / (~toxic).mean())[:, None] / len(sets)
     memory = [np.full(len(vocabulary), 1e-8), 1e-8, np.full(GRADES - 1, 1e-8)]
@@ -130,11 +171,11 @@ def fit(rows: list[tuple[str, int]], least: float = 30.0, rounds: int = 400, rat
         first += rate * gb.sum() / np.sqrt(memory[1])
         steps = np.clip(steps + rate * gsteps / np.sqrt(memory[2]), -5, 5)
     b = first + np.concatenate(([0.0], np.cumsum(np.exp(steps))))
-    return Severity(dict(zip(vocabulary, w.tolist(), strict=True)), b.tolist())
+    return Severity(dict(zip(vocabulary, w.tolist(), strict=True)), b.tolist(), cut_of(x @ w, toxic))
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> list[tuple[str, int]]:
-    """About per_class labelled texts of each class at most, by a hash of doc_id: a documented bound on what is learned from."""
+def sample_rows(docs: DataFrame, labels: DataFrame, per_class: int = 4000, longest: int = 50_000) -> list[tuple[str, int]]:
+    """About per_class labelled texts of each class at most, by a hash of doc_id, and of a text its first `longest` characters: documented bounds on what is learned from."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic").distinct()
     n = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     share = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
@@ -145,14 +186,14 @@ def sample_rows(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> li
     if not some:
         return []
     wanted = docs.sparkSession.createDataFrame(some, "doc_id long, toxic int")
-    rows = docs.where(F.length("text") <= 50_000).join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "toxic")  # wanted is bounded by per_class
+    rows = docs.where("text is not null").join(F.broadcast(wanted), "doc_id").select("doc_id", F.substring("text", 1, longest).alias("text"), "toxic")  # wanted is bounded by per_class
     return [(r[1], r[2]) for r in sorted(rows.collect())]
 
 
 def severity(docs: DataFrame, model: Severity | None) -> DataFrame:
-    """(doc_id, text) -> doc_id, severity (0 to 3, the most likely), expected_severity, toxic, and toxic_words found.
+    """(doc_id, text) -> doc_id, severity (0 to 3), expected_severity, toxic, and toxic_words found.
 
-    toxic is P(severity > 0) >= 0.5. Null and empty texts have no words; without a model all is 0. Whole texts are
+    severity is the expected one rounded, from 1 on for toxic texts and 0 for others; texts without a toxic word are not toxic. Null and empty texts have no words; without a model all is 0. Whole texts are
     read. Other columns are dropped; rows may repeat; an empty table gives an empty one.
     """
     spark = docs.sparkSession
@@ -167,8 +208,8 @@ def severity(docs: DataFrame, model: Severity | None) -> DataFrame:
             for t in b["text"].to_pylist():
                 had, words = m.found(t) if t and m else (set(), set())
                 p = m.above(had) if had else none
-                each = -np.diff(np.concatenate(([1.0], p, [0.0])))
-                for o, v in zip(out, (int(each.argmax()), float(p.sum()), bool(p[0] >= 0.5), sorted(words)), strict=True):
+                grade_ = m.grade(had) if had else 0
+                for o, v in zip(out, (grade_, float(p.sum()), grade_ > 0, sorted(words)), strict=True):
                     o.append(v)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(out[0], pa.int32()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.list_(pa.string()))], ["doc_id", "severity", "expected_severity", "toxic", "toxic_words"])
 

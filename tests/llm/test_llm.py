@@ -392,6 +392,21 @@ def test_toxicity(spark, empty):
     assert not any(r.toxic for r in toxicity.severity(table, None).collect())
 
 
+def test_severity_of_unseen_texts():
+    """On texts that were not learned from, the severity follows the grades that a model of other features gives them, and clean texts stay at 0."""
+    rng = random.Random(10)
+    bad = ["".join(rng.choice("bcdfg") for _ in range(4)) + e for e in ("zzurk", "vvost") for _ in range(8)]
+    rows = [(words(rng, 40) + " " + " ".join(rng.choice(bad) for _ in range(rng.choice([1, 1, 4, 12]))), 1) for _ in range(240)] + [(words(rng, 40), 0) for _ in range(600)]
+    model = toxicity.fit(rows[::2])
+    above = [model.above(model.found(t)[0]) for t, _ in rows[1::2]]
+    expected = [float(p.sum()) for p in above]
+    toxic = np.array([y == 1 for _, y in rows[1::2]])
+    found = np.array([model.grade(model.found(t)[0]) > 0 for t, _ in rows[1::2]])
+    assert found[toxic].mean() > 0.9 and found[~toxic].mean() < 0.01
+    many = [len(set(t.split()) & set(bad)) for t, _ in rows[1::2]]
+    assert np.corrcoef(np.array(expected)[toxic], np.array(many)[toxic])[0, 1] > 0.8
+
+
 def brute_repeats(rows, length):
     seen, out = set(), {}
     for i, t in sorted(rows):
