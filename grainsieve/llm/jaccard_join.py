@@ -343,8 +343,9 @@ def _components(doc: DataFrame, words: int, num: int, den: int, parts: int, scra
         if not left.head(1):
             break
         most, k = most * 16, k + 1
-    scratch.paths["component"] = scratch.paths.pop(f"components{k}")
-    of_set = comp.select("key", F.col("component.d").alias("d"))
+    # Sets without a link to another one are components of their own; their documents, if several, are one component as well.
+    linked = comp.select("key", F.col("component.d").alias("c"))
+    of_set = scratch.write(owner.join(linked, "key", "left").select("key", F.coalesce("c", "node.d").alias("d")), "component")
     found = each.join(of_set, "key", "left")
     return found.select("doc_id", "n_shingles", F.when(F.col("d") < (1 << 63) - 1, F.col("d")).otherwise(F.col("doc_id")).alias("component_id"))
 

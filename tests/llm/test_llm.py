@@ -136,6 +136,14 @@ def test_jaccard_links_through_rows_of_null_doc_id(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 7), (7, 7), (9, 7)]
 
 
+def test_jaccard_equal_sets_without_other_links(spark):
+    rng = random.Random(8)
+    a, b = words(rng, 40), words(rng, 40)
+    rows = [(9, a), (4, a.upper()), (7, a + " "), (5, b), (None, b), (6, words(rng, 30)), (8, "x y"), (2, "X  Y")]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, (90, 100)).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 5), (2, 2), (4, 4), (5, 5), (6, 6), (7, 4), (8, 2), (9, 4)]
+
+
 def test_jaccard_empty(empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
