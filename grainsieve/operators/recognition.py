@@ -98,14 +98,23 @@ def reading_order(boxes: Column) -> Column:
     return F.aggregate(ordered, F.slice(boxes, 1, 0), placed)
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Half goes up, on the binary product."""
+    return F.floor(value * float(10**digits) + 0.5) / float(10**digits)
+
+
 def kept_lines(lines: DataFrame, key: str, least: float = DROP_SCORE) -> DataFrame:
-    """(key, place, text, confidence) -> one row for each key: full_text and mean confidence of the lines kept, how many there were, and problem with the best line where none is left."""
+    """(key, place, text, confidence) -> one row for each key: full_text and mean confidence of the lines kept, how many there were, and problem with the best line where none is left.
+
+    The mean adds up in the order of places, then of texts and confidences, so it is the same however the rows are dealt out.
+    """
     good = (F.col("text") != "") & (F.col("confidence") >= least)
     out = lines.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.when(good, F.struct("place", "text")))).alias("kept"), F.avg(F.when(good, F.col("confidence"))).alias("mean"), F.count("*").alias("n_lines"),
+        F.array_sort(F.collect_list(F.when(good, F.struct("place", "text", "confidence")))).alias("kept"), F.count("*").alias("n_lines"),
         F.max_by("text", F.struct("confidence", -F.col("place"))).alias("best"),
     )
-    return out.select(key, "n_lines", F.size("kept").alias("n_kept"), F.array_join(F.transform("kept", lambda x: x["text"]), "\n").alias("full_text"), F.round("mean", 4).alias("confidence"), F.when(F.size("kept") == 0, F.concat(F.lit("no line is clear enough; the best one: "), "best")).alias("problem"))
+    total = F.aggregate("kept", F.lit(0.0), lambda a, x: a + x["confidence"])
+    return out.select(key, "n_lines", F.size("kept").alias("n_kept"), F.array_join(F.transform("kept", lambda x: x["text"]), "\n").alias("full_text"), F.when(F.size("kept") > 0, rounded(total / F.size("kept"), 4)).alias("confidence"), F.when(F.size("kept") == 0, F.concat(F.lit("no line is clear enough; the best one: "), "best")).alias("problem"))
 
 
 def softmax(row: Column) -> Column:

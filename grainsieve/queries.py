@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import scalars as S
 from .functions import sql as E
 from .operators import allergens, layout, lookups, normalize, parse
+from .plans import rows as R
 from .plans.verify import parsed, verified, verify
 from .runtime import ship, table
 from .sources.kb import dimensions, knowledge_base
@@ -154,12 +155,12 @@ def live(df: DataFrame) -> DataFrame:
 @query(LABELS.rstrip().rstrip(",") + " SELECT label_id, pos::INT AS pos, raw, level::INT AS level FROM ing")
 def parse_ingredients_leveled(spark, sf_dir):
     parts = E.with_columns(labels(spark, sf_dir), {"parts": parse.split_ingredients(E.col("ingredients_text"))})
-    return parts.select("label_id", F.posexplode("parts").alias("pos", "p")).select("label_id", "pos", "p.raw", "p.level")
+    return R.exploded(parts, "parts", "label_id", called="p", place="pos").select("label_id", "pos", "p.raw", "p.level")
 
 
 @query(LABELS.rstrip().rstrip(",") + " SELECT label_id, pos::INT AS pos, raw, standard, is_additive, func AS function, confidence::DOUBLE AS confidence, len(groups)::INT AS n_groups FROM ing")
 def normalize_ingredients(spark, sf_dir):
-    p = parsed(labels(spark, sf_dir)).select("label_id", F.explode("ingredients").alias("i"))
+    p = R.exploded(parsed(labels(spark, sf_dir)), "ingredients", "label_id", called="i")
     return p.select("label_id", F.col("i.position").alias("pos"), "i.raw", "i.standard", "i.is_additive", "i.function", "i.confidence", F.size("i.groups").alias("n_groups"))
 
 
@@ -220,7 +221,7 @@ def claim_match_longest(spark, sf_dir):
     words = F.array(*(F.lit(w) for w, _ in _W))
     k = F.col("p_partkey")
     texts = table(spark, sf_dir, "part").select(k.alias("id"), F.concat(F.lit("超"), F.get(words, (k % len(_W)).cast("int")), F.lit(" "), F.get(words, (k * 7 % len(_W)).cast("int")), F.lit("!")).alias("text"))
-    return E.with_columns(texts, {"m": parse.claim_matches(E.col("text"), KB)}).select("id", "text", F.explode("m").alias("m")).select("id", "text", "m.raw", "m.pattern_id", "m.start")
+    return E.with_columns(texts, {"m": parse.claim_matches(E.col("text"), KB)}).transform(lambda df: R.exploded(df, "m", "id", "text")).select("id", "text", "x.raw", "x.pattern_id", "x.start")
 
 
 # ---- conditions and verdicts
@@ -228,8 +229,7 @@ def claim_match_longest(spark, sf_dir):
 
 @query(LABELS + _FOUND + " SELECT status.label_id, pattern_id, ord::INT AS ord, type, status FROM status JOIN conf USING (label_id) WHERE confidence >= 0.6")
 def constraint_status(spark, sf_dir):
-    v = live(reports(spark, sf_dir)).select("label_id", F.explode("claim_verdicts").alias("v"))
-    return v.select("label_id", "v.pattern_id", F.posexplode("v.hits").alias("ord", "h")).select("label_id", "pattern_id", "ord", F.col("h.constraint_type").alias("type"), "h.status")
+    return R.hit_rows(reports(spark, sf_dir)).select("label_id", "pattern_id", "ord", F.col("constraint_type").alias("type"), "status")
 
 
 def _constraint(kind: str):
@@ -246,14 +246,13 @@ for _kind in ("nutrition_max", "nutrition_min", "ingredient_absent", "ingredient
 
 @query(LABELS + _FOUND + _VERDICT.rstrip().rstrip(",") + " SELECT * FROM verdict")
 def verdict_lattice(spark, sf_dir):
-    v = live(reports(spark, sf_dir)).select("label_id", F.explode("claim_verdicts").alias("v"))
     claim = F.get(F.array(*map(F.lit, CLAIMS)), (F.substring("label_id", 2, 20).cast("long") % len(CLAIMS)).cast("int"))
-    return v.select("label_id", claim.alias("claim"), "v.pattern_id", "v.label")
+    return R.verdict_rows(reports(spark, sf_dir)).select("label_id", claim.alias("claim"), "pattern_id", "label")
 
 
 @query(LABELS + _FOUND + _VERDICT.rstrip().rstrip(",") + " SELECT * FROM baseline")
 def baseline_verdict(spark, sf_dir):
-    return live(reports(spark, sf_dir)).select("label_id", F.explode("baseline_verdicts").alias("v")).select("label_id", "v.label")
+    return R.baseline_rows(reports(spark, sf_dir)).select("label_id", "label")
 
 
 @query(LABELS + _FOUND + _VERDICT.rstrip().rstrip(",") + " SELECT v.label_id, (v.label = '不一致')::INT AS inconsistent, (b.label = '不一致')::INT AS by_baseline, (v.label = '不一致')::INT - (b.label = '不一致')::INT AS extra FROM verdict v JOIN baseline b USING (label_id)")
@@ -271,7 +270,7 @@ def risk_weighted(spark, sf_dir):
 
 @query(LABELS + _RISK + " SELECT f.label_id, f.nutrient, floor(v * 1000 + 0.5) / 1000 AS value, ['低','中','高'][lv + 1] AS level, floor(weight::DOUBLE / sum(weight::DOUBLE) OVER (PARTITION BY f.label_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * 1000 + 0.5) / 1000 AS contribution FROM fac f JOIN conf USING (label_id) WHERE confidence >= 0.6")
 def risk_factors(spark, sf_dir):
-    return live(reports(spark, sf_dir)).select("label_id", F.explode("risk.factors").alias("f")).select("label_id", "f.nutrient", "f.value", "f.level", "f.contribution")
+    return R.factor_rows(reports(spark, sf_dir)).select("label_id", "nutrient", "value", "level", "contribution")
 
 
 _POP_RULES = [(p, k, r["type"], r.get("groups") or [], r.get("functions"), r.get("nutrient"), r.get("value"), {"低": 0, "中": 1, "高": 2}[r["level"]]) for p, c in KB.populations.items() for k, r in enumerate(c["rules"])]
@@ -288,7 +287,7 @@ top AS (SELECT f.label_id, c.population, max(CASE f.lv WHEN 2 THEN 1.0 WHEN 1 TH
 one AS (SELECT s.label_id, p.population, s.level AS base, CASE WHEN t > s.score THEN t::DOUBLE ELSE s.score END AS score, t, coalesce(f.lv, 0) AS rl FROM scored s CROSS JOIN pops p LEFT JOIN top USING (label_id, population) LEFT JOIN fired f USING (label_id, population))
 SELECT label_id, population, CASE WHEN base = '未知' THEN CASE WHEN rl > 0 THEN ['低','中','高'][rl + 1] ELSE '未知' END ELSE ['低','中','高'][greatest(rl, CASE WHEN t IS NULL THEN CASE base WHEN '高' THEN 2 WHEN '中' THEN 1 ELSE 0 END ELSE CASE WHEN score >= 0.75 THEN 2 WHEN score >= 0.45 THEN 1 ELSE 0 END END) + 1] END AS level, score FROM one""")
 def population_final(spark, sf_dir):
-    return live(reports(spark, sf_dir)).select("label_id", F.explode("population_results").alias("p")).select("label_id", "p.population", "p.level", "p.score")
+    return R.population_rows(reports(spark, sf_dir)).select("label_id", "population", "level", "score")
 
 
 @query(LABELS.rstrip().rstrip(",") + " SELECT label_id, conf_ocr, conf_struct, conf_normalize, confidence FROM conf")
@@ -317,21 +316,22 @@ best AS (SELECT *, row_number() OVER (PARTITION BY label_id, code, ingredient OR
 @query(_ALLERGEN + " SELECT label_id, code, ingredient, alias, level, '可能含有' AS certainty FROM best WHERE r = 1")
 def allergen_detect(spark, sf_dir):
     a = parsed(labels(spark, sf_dir))
-    a = E.with_columns(a, {"alerts": allergens.detect(E.col("ingredients"), KB)}).select("label_id", F.explode("alerts").alias("a"))
-    return a.select("label_id", "a.code", F.explode("a.matched").alias("m"), "a.certainty").select("label_id", "code", "m.ingredient", "m.alias", "m.level", "certainty")
+    a = E.with_columns(a, {"alerts": allergens.detect(E.col("ingredients"), KB)})
+    a = R.exploded(a, "alerts", "label_id", called="a").select("label_id", "a.code", "a.matched", "a.certainty")
+    return R.exploded(a, "matched", "label_id", "code", "certainty", called="m").select("label_id", "code", "m.ingredient", "m.alias", "m.level", "certainty")
 
 
 @query(_ALLERGEN + " SELECT label_id, code, count(*) AS n_ingredients FROM best WHERE r = 1 AND code IN ('MILK', 'EGG', 'PEANUT') GROUP BY ALL")
 def allergen_profile_filter(spark, sf_dir):
     a = parsed(labels(spark, sf_dir))
     a = E.with_columns(a, {"alerts": allergens.for_profile(allergens.detect(E.col("ingredients"), KB), E.expr("array('milk', ' Egg ', 'PEANUT')"))})
-    return a.select("label_id", F.explode("alerts").alias("a")).select("label_id", "a.code", F.size("a.matched").cast("long").alias("n_ingredients"))
+    return R.exploded(a, "alerts", "label_id", called="a").select("label_id", "a.code", F.size("a.matched").cast("long").alias("n_ingredients"))
 
 
 @query(LABELS.rstrip().rstrip(",") + " SELECT label_id, w.word, arg_min(raw, pos) AS ingredient FROM ing JOIN (SELECT unnest(['糖', '油', '花生']) AS word) w ON contains(raw, w.word) GROUP BY ALL")
 def avoid_words(spark, sf_dir):
     a = E.with_columns(parsed(labels(spark, sf_dir)), {"m": allergens.avoid_matches(E.col("ingredients"), E.expr("array('糖', '油', '花生')"))})
-    return a.select("label_id", F.explode("m").alias("m")).select("label_id", "m.word", "m.ingredient")
+    return R.exploded(a, "m", "label_id").select("label_id", "x.word", "x.ingredient")
 
 
 # ---- summaries and searches
@@ -441,7 +441,7 @@ def _images(spark, sf_dir) -> DataFrame:
 
 @query(f"""SELECT p_partkey::VARCHAR AS image_id, r.i::INT AS line, r.text, floor(0.85 * 10000 + 0.5) / 10000 AS confidence FROM part, {values([(i, ' '.join(t)) for i, t in enumerate(_ROWS)], 'i, text')} r""")
 def layout_lines(spark, sf_dir):
-    x = E.with_columns(_images(spark, sf_dir), {"l": layout.lines(E.col("boxes"))}).select("image_id", F.posexplode("l").alias("line", "l"))
+    x = E.with_columns(_images(spark, sf_dir), {"l": layout.lines(E.col("boxes"))}).transform(lambda df: R.exploded(df, "l", "image_id", called="l", place="line"))
     return x.select("image_id", "line", "l.text", (F.floor(F.col("l.confidence") * 10000 + 0.5) / 10000).alias("confidence"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import sql as E
 from .operators import history, lookups, parse, recognition
+from .plans import rows as R
 from .queries import _FOUND, _VERDICT, KB, LABELS, q, query, reports, values
 from .runtime import table
 from .sources import categories
@@ -41,12 +42,12 @@ _TEXTS = {  # a whole table's text, and its rows as they are read
 @query(f"SELECT p_partkey AS id, x.pos::INT AS pos, x.name, x.value::DOUBLE AS value, x.unit, x.basis FROM {_of_pick([(i, p, *r) for i, rows in enumerate(_TEXTS.values()) for p, r in enumerate(rows)], 'ord, pos, name, value, unit, basis', len(_TEXTS))}")
 def nutrition_whole_text(spark, sf_dir):
     rows = E.with_columns(_parts(spark, sf_dir, _pick(list(_TEXTS)).alias("t")), {"r": parse.nutrition_text(E.col("t"), KB)})
-    return rows.select("id", F.posexplode("r").alias("pos", "r")).select("id", "pos", "r.name", "r.value", "r.unit", "r.basis")
+    return R.exploded(rows, "r", "id", called="r", place="pos").select("id", "pos", "r.name", "r.value", "r.unit", "r.basis")
 
 
 @query(LABELS + _FOUND + _VERDICT.rstrip().rstrip(",") + " SELECT v.label_id, 0 AS place, v.claim, v.label, b.label AS baseline FROM verdict v JOIN baseline b USING (label_id)")
 def verdicts_side_by_side(spark, sf_dir):
-    both = reports(spark, sf_dir).where("not rejected").select("label_id", F.explode(history.side_by_side(F.col("claim_verdicts"), F.col("baseline_verdicts"))).alias("v"))
+    both = R.exploded(reports(spark, sf_dir), history.side_by_side(F.col("claim_verdicts"), F.col("baseline_verdicts")), "label_id", called="v")
     return both.select("label_id", "v.place", "v.claim", "v.label", "v.baseline")
 
 
@@ -106,11 +107,11 @@ def boxes_in_reading_order(spark, sf_dir):
 
 @query("""WITH l AS (SELECT l_orderkey AS id, l_linenumber AS place, CASE WHEN l_quantity < 5 THEN '' ELSE l_returnflag || l_linenumber END AS text, (l_linenumber * 37 + l_orderkey * 11) % 100 / 100.0::DOUBLE AS confidence FROM lineitem)
 SELECT id, count(*) AS n_lines, count(*) FILTER (text <> '' AND confidence >= 0.5)::INT AS n_kept, coalesce(string_agg(text, chr(10) ORDER BY place, text) FILTER (text <> '' AND confidence >= 0.5), '') AS full_text,
- floor(avg(confidence) FILTER (text <> '' AND confidence >= 0.5) * 1e4 + 0.5 + 1e-7) / 1e4 AS confidence, count(*) FILTER (text <> '' AND confidence >= 0.5) = 0 AS failed FROM l GROUP BY id""")
+ floor(list_reduce(list(confidence ORDER BY place, text) FILTER (text <> '' AND confidence >= 0.5), lambda a, b: a + b) / count(*) FILTER (text <> '' AND confidence >= 0.5) * 1e4 + 0.5) / 1e4 AS confidence, count(*) FILTER (text <> '' AND confidence >= 0.5) = 0 AS failed FROM l GROUP BY id""")
 def recognised_lines_kept(spark, sf_dir):
     n = F.col("l_linenumber")
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), n.alias("place"), F.when(F.col("l_quantity") < 5, "").otherwise(F.concat("l_returnflag", n.cast("string"))).alias("text"), ((n * 37 + F.col("l_orderkey") * 11) % 100 / F.lit(100.0)).alias("confidence"))
-    return recognition.kept_lines(lines, "id").select("id", "n_lines", "n_kept", "full_text", (F.floor(F.col("confidence") * 1e4 + 0.5 + 1e-7) / 1e4).alias("confidence"), F.col("problem").isNotNull().alias("failed"))
+    return recognition.kept_lines(lines, "id").select("id", "n_lines", "n_kept", "full_text", "confidence", F.col("problem").isNotNull().alias("failed"))
 
 
 _CHARS = ["", "甲", "乙", "丙", " "]
@@ -118,7 +119,7 @@ _CHARS = ["", "甲", "乙", "丙", " "]
 
 @query(f"""WITH s AS (SELECT p_partkey AS id, t, [0, 1, 2, 3, 4, 5][((p_partkey // (t + 1) + t * p_partkey) % 5 + 1)::INT] AS k, (p_partkey * (t + 3) % 40 + 60) / 100.0::DOUBLE AS p FROM part, range(7) r(t)),
 d AS (SELECT *, lag(k, 1, -1) OVER (PARTITION BY id ORDER BY t) AS before FROM s)
-SELECT id, coalesce(string_agg({q(_CHARS)}[k + 1], '' ORDER BY t) FILTER (k <> 0 AND k <> before), '') AS text, floor(coalesce(avg(p) FILTER (k <> 0 AND k <> before), 0.0) * 1e4 + 0.5 + 1e-7) / 1e4 AS confidence FROM d GROUP BY id""")
+SELECT id, coalesce(string_agg({q(_CHARS)}[k + 1], '' ORDER BY t) FILTER (k <> 0 AND k <> before), '') AS text, floor(coalesce(list_reduce(list(p ORDER BY t) FILTER (k <> 0 AND k <> before), lambda a, b: a + b) / count(*) FILTER (k <> 0 AND k <> before), 0.0) * 1e4 + 0.5) / 1e4 AS confidence FROM d GROUP BY id""")
 def ctc_decode(spark, sf_dir):
     def step(t: int):
         k = ((F.floor(_k() / (t + 1)) + t * _k()) % 5).cast("int")
@@ -126,7 +127,7 @@ def ctc_decode(spark, sf_dir):
         return F.array(*(F.when(k == c, p).otherwise(F.lit(0.01 * c)) for c in range(len(_CHARS))))
 
     rows = _parts(spark, sf_dir, recognition.ctc_text(F.array(*(step(t) for t in range(7))), F.array(*map(F.lit, _CHARS))).alias("r"))
-    return rows.select("id", "r.text", (F.floor(F.col("r.confidence") * 1e4 + 0.5 + 1e-7) / 1e4).alias("confidence"))
+    return rows.select("id", "r.text", recognition.rounded(F.col("r.confidence"), 4).alias("confidence"))
 
 
 @query("""WITH i AS (SELECT p_partkey AS id, (p_partkey * 37 % 4000 + 1)::DOUBLE AS w, (p_partkey * 101 % 3000 + 1)::DOUBLE AS h FROM part), r AS (SELECT *, CASE WHEN least(w, h) < 736 THEN 736.0::DOUBLE / least(w, h) ELSE 1.0::DOUBLE END AS ratio FROM i),
@@ -162,7 +163,7 @@ _DOCUMENTS = [
 @query(f"SELECT p_partkey AS id, x.pos::INT AS pos, x.code, x.name, x.clause FROM {_of_pick([(i, p, *r) for i, (_, rows) in enumerate(_DOCUMENTS) for p, r in enumerate(rows)], 'ord, pos, code, name, clause', len(_DOCUMENTS))}")
 def allergen_category_sources(spark, sf_dir):
     rows = categories.with_categories(_parts(spark, sf_dir, _pick([d for d, _ in _DOCUMENTS]).alias("t")), "t")
-    return rows.select("id", F.posexplode("categories").alias("pos", "c")).select("id", "pos", "c.code", "c.name", "c.clause")
+    return R.exploded(rows, "categories", "id", called="c", place="pos").select("id", "pos", "c.code", "c.name", "c.clause")
 
 
 _ALIAS = {"糖类": "糖", "糖份": "糖", "钠盐": "钠"}
