@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import plain
 from .functions import scalars as S
 from .functions import sql as E
 from .operators import allergens, layout, lookups, normalize, parse
@@ -18,10 +19,11 @@ from .sources.labels import BASES, CLAIMS, VOCAB, synthetic
 
 KB = knowledge_base()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str | Callable[[], str]] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | Callable[[], str] | None = None):
+    """Registers a query and its SQL, which may be made only when it is asked for."""
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
@@ -51,32 +53,8 @@ def values(rows: list[tuple], names: str) -> str:
     return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(q, r)) + ")" for r in rows) + f") t({names}))"
 
 
-def plain_normalize(term: str) -> dict:
-    """A term's entry, worked out in plain Python for the oracle's dimension rows."""
-    exact = normalize.exact_entries(KB)
-    if term in exact:
-        return exact[term] | {"raw": term}
-    for t in (term, _stripped(term)):
-        best = max((w for w in KB.vocabulary if len(w) > 1 and w in t), key=len, default=None)
-        if best:
-            if len(best) <= 2 and len(term) - len(best) >= normalize.LONGEST_GAP:
-                break
-            c = min(0.98, 0.75 + 0.2 * len(best) / len(term))
-            return normalize.entry(KB, term, KB.aliases.get(best, best), int(c * 1e4 + 0.5) / 1e4) | {"raw": term}
-    m = normalize.fuzzy_match(term, KB.vocabulary)
-    if m:
-        return normalize.entry(KB, term, KB.aliases.get(m[0], m[0]), int(m[1] * 1e4 + 0.5) / 1e4, m[0]) | {"raw": term}
-    return {"raw": term, "standard": None, "groups": [], "is_additive": False, "function": None, "confidence": 0.0}
-
-
-def _stripped(term: str) -> str:
-    for p in normalize.NOISE:
-        term = term.removeprefix(p)
-    return term
-
-
 PARTS = {"风味发酵乳（水、脱脂乳粉、白砂糖）": [("风味发酵乳", 0), ("水", 1), ("脱脂乳粉", 1), ("白砂糖", 1)]}
-_ING = [(v, j, raw, level, *(plain_normalize(raw)[k] for k in ("standard", "groups", "is_additive", "function", "confidence"))) for v in VOCAB for j, (raw, level) in enumerate(PARTS.get(v, [(v, 0)]))]
+_ING = [(v, j, raw, level, *(plain.normalize(raw)[k] for k in ("standard", "groups", "is_additive", "function", "confidence"))) for v in VOCAB for j, (raw, level) in enumerate(PARTS.get(v, [(v, 0)]))]
 _PATTERN = {w: p for w, p in KB.match_words}
 
 
@@ -167,7 +145,7 @@ def normalize_ingredients(spark, sf_dir):
 _TERMS = [f + v for f in ("", "优质", "食品添加剂", "特浓") for v in ("白糖", "浓缩柠檬汁", "山梨酸钾", "复配增稠剂", "着色剂", "干酪", "发酵副干酪乳杆菌饮", "某物")]
 
 
-@query(f"SELECT p_partkey AS id, x.* FROM part JOIN {values([(i, t, *(plain_normalize(t)[k] for k in ('standard', 'confidence', 'is_additive'))) for i, t in enumerate(_TERMS)], 'ord, term, standard, confidence, is_additive')} x ON p_partkey % {len(_TERMS)} = x.ord".replace("x.*", "x.term, x.standard, x.confidence::DOUBLE AS confidence, x.is_additive"))
+@query(f"SELECT p_partkey AS id, x.* FROM part JOIN {values([(i, t, *(plain.normalize(t)[k] for k in ('standard', 'confidence', 'is_additive'))) for i, t in enumerate(_TERMS)], 'ord, term, standard, confidence, is_additive')} x ON p_partkey % {len(_TERMS)} = x.ord".replace("x.*", "x.term, x.standard, x.confidence::DOUBLE AS confidence, x.is_additive"))
 def normalize_terms(spark, sf_dir):
     ship(spark)
     terms = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.get(F.array(*map(F.lit, _TERMS)), (F.col("p_partkey") % len(_TERMS)).cast("int")).alias("term"))
