@@ -34,23 +34,27 @@ def _rect(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return _let(F.struct(x0.alias("a"), y0.alias("b"), x1.alias("c"), y1.alias("d")), made)
 
 
-def rect_of(box: Column) -> Column:
-    """struct(x_min, y_min, x_max, y_max) of a JSON text, or null.
+def _of(v: Column, path: str) -> Column:
+    """What a variant holds at a path, as text; null for JSON's null."""
+    return F.try_variant_get(v, path, "string")
 
-    A box is told by corner points ([x, y] pairs or {x, y} objects), by named corners (topLeft with bottomRight,
-    bottomLeft or topRight), by its edges, or by an edge and a size; what is asked for first counts first.
-    """
-    at = lambda *paths: first_number(*(F.get_json_object(box, f"$.{p}") for p in paths))
-    points = F.coalesce(*(F.get_json_object(box, f"$.{p}") for p in ("box", "points", "boxes", "bbox")))
-    pairs = F.coalesce(F.from_json(points, "array<array<string>>"), F.array())
-    objects = F.coalesce(F.from_json(points, "array<struct<x:string,y:string>>"), F.array())
-    real = lambda xs: F.filter(xs, lambda x: x.isNotNull())
-    xs = real(F.concat(F.transform(pairs, lambda p: first_number(F.get(p, F.lit(0)))), F.transform(objects, lambda p: first_number(p["x"]))))
-    ys = real(F.concat(F.transform(pairs, lambda p: first_number(F.get(p, F.lit(1)))), F.transform(objects, lambda p: first_number(p["y"]))))
+
+def _points(v: Column) -> Column:
+    """A box's points: the first of its fields of that meaning that is there and not null, as a variant."""
+    held = [F.try_variant_get(v, f"$.{p}", "variant") for p in ("box", "points", "boxes", "bbox")]
+    return F.coalesce(*(F.when(~F.is_variant_null(x), x) for x in held))
+
+
+def _rect_of(v: Column, points: Column) -> Column:
+    at = lambda *paths: first_number(*(_of(v, f"$.{p}") for p in paths))
+    each = F.coalesce(F.try_variant_get(points, "$", "array<variant>"), F.array())
+    real = lambda k, name: F.filter(F.transform(each, lambda p: first_number(_of(p, f"$[{k}]"), _of(p, f"$.{name}"))), lambda x: x.isNotNull())
+    xs, ys = real(0, "x"), real(1, "y")
     of_points = _rect(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
-    corner = lambda name, axis: first_number(F.get_json_object(points, f"$.{name}.{axis}"))
-    low = F.when(F.get_json_object(points, "$.bottomRight").isNotNull(), F.struct(corner("bottomRight", "x").alias("x"), corner("bottomRight", "y").alias("y"))).otherwise(F.struct(corner("bottomLeft", "x").alias("x"), corner("bottomLeft", "y").alias("y")))
-    high = F.when(F.get_json_object(points, "$.topRight").isNotNull(), F.struct(corner("topRight", "x").alias("x"), corner("topRight", "y").alias("y"))).otherwise(F.struct(corner("topLeft", "x").alias("x"), corner("topLeft", "y").alias("y")))
+    corner = lambda name, axis: first_number(_of(points, f"$.{name}.{axis}"))
+    pair = lambda name: F.struct(corner(name, "x").alias("x"), corner(name, "y").alias("y"))
+    low = F.when(_of(points, "$.bottomRight").isNotNull(), pair("bottomRight")).otherwise(pair("bottomLeft"))
+    high = F.when(_of(points, "$.topRight").isNotNull(), pair("topRight")).otherwise(pair("topLeft"))
     of_corners = _rect(corner("topLeft", "x"), corner("topLeft", "y"), F.coalesce(low["x"], high["x"]), F.coalesce(low["y"], high["y"]))
     left, top = at("x_min", "xMin", "left"), at("y_min", "yMin", "top")
     right = F.coalesce(at("x_max", "xMax", "right"), F.coalesce(left, F.lit(0.0)) + at("width", "w"), left, F.lit(0.0))
@@ -59,19 +63,37 @@ def rect_of(box: Column) -> Column:
     return F.coalesce(of_points, of_corners, of_edges)
 
 
+def _parsed(box: Column, f) -> Column:
+    """f of a JSON text's variant and its points; the text is parsed once."""
+    whole = _let(F.try_parse_json(box), lambda v: _let(F.struct(v.alias("v"), _points(v).alias("points")), lambda x: f(x["v"], x["points"])))
+    return whole
+
+
+def rect_of(box: Column) -> Column:
+    """struct(x_min, y_min, x_max, y_max) of a JSON text, or null.
+
+    A box is told by corner points ([x, y] pairs or {x, y} objects), by named corners (topLeft with bottomRight,
+    bottomLeft or topRight), by its edges, or by an edge and a size; what is asked for first counts first.
+    """
+    return _parsed(box, _rect_of)
+
+
 def box_of_json(box: Column) -> Column:
-    """A box as layout.lines() takes it, from JSON text of any of rect_of()'s shapes; one without a place is at 0."""
-    at = lambda *paths: first_number(*(F.get_json_object(box, f"$.{p}") for p in paths))
-    text = F.coalesce(F.get_json_object(box, "$.text"), F.get_json_object(box, "$.txt"), F.lit(""))
-
-    def made(r: Column) -> Column:
-        x0, y0, x1, y1 = (F.coalesce(r[c], F.lit(0.0)) for c in ("x_min", "y_min", "x_max", "y_max"))
-        return F.struct(
-            text.alias("text"), F.coalesce(at("confidence", "score"), F.lit(0.0)).alias("confidence"), x0.alias("x_min"), x1.alias("x_max"), y0.alias("y_min"), y1.alias("y_max"),
-            F.coalesce(at("y_center", "yCenter"), (y0 + y1) / 2).alias("y_center"), F.coalesce(at("height", "h"), F.abs(y1 - y0)).alias("height"),
-        )
-
-    return _let(rect_of(box), made)
+    """A box as layout.lines() takes it, from JSON text of any of rect_of()'s shapes; one without a place, and text that is no JSON, is at 0."""
+    def made(v: Column, points: Column) -> Column:
+        at = lambda *paths: first_number(*(_of(v, f"$.{p}") for p in paths))
+        text = F.coalesce(_of(v, "$.text"), _of(v, "$.txt"), F.lit(""))
+
+        def placed(r: Column) -> Column:
+            x0, y0, x1, y1 = (F.coalesce(r[c], F.lit(0.0)) for c in ("x_min", "y_min", "x_max", "y_max"))
+            return F.struct(
+                text.alias("text"), F.coalesce(at("confidence", "score"), F.lit(0.0)).alias("confidence"), x0.alias("x_min"), x1.alias("x_max"), y0.alias("y_min"), y1.alias("y_max"),
+                F.coalesce(at("y_center", "yCenter"), (y0 + y1) / 2).alias("y_center"), F.coalesce(at("height", "h"), F.abs(y1 - y0)).alias("height"),
+            )
+
+        return _let(_rect_of(v, points), placed)
+
+    return _parsed(box, made)
 
 
 def ingredient_of(value: Column) -> Column:

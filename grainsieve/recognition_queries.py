@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from importlib.resources import files
 
 from pyspark.sql import functions as F
@@ -78,21 +79,34 @@ def history_sources(spark, sf_dir):
     return _parts(spark, sf_dir, history.source_of(_pick(["/a/manual.html", "/batch.html?x=1", "/barcode", "/", ""])).alias("source"))
 
 
-_BOXES = [  # JSON of a box, and its edges x_min, y_min, x_max, y_max, its text and confidence
-    ('{"box": [[1, 2], [9, 2], [9, "7.5"], [1, 7]], "text": "a", "score": 0.5}', 1.0, 2.0, 9.0, 7.5, "a", 0.5),
-    ('{"points": [{"x": 4, "y": 3}, {"x": 2, "y": 8}], "txt": "b"}', 2.0, 3.0, 4.0, 8.0, "b", 0.0),
-    ('{"bbox": {"topLeft": {"x": 5, "y": 6}, "bottomRight": {"x": 1, "y": 9}}, "text": "c", "confidence": "0.25"}', 1.0, 6.0, 5.0, 9.0, "c", 0.25),
-    ('{"left": 3, "top": 4, "width": 10, "h": 2, "text": "d"}', 3.0, 4.0, 13.0, 6.0, "d", 0.0),
-    ('{"x_min": 3, "xMax": 7, "y_min": "", "yMin": 1, "text": null, "txt": "e"}', 3.0, 1.0, 7.0, 1.0, "e", 0.0),
-    ('{"text": "f"}', 0.0, 0.0, 0.0, 0.0, "f", 0.0),
-    ("broken", 0.0, 0.0, 0.0, 0.0, "", 0.0),
-]
+_X = "SELECT p_partkey AS id, p_name AS t, (p_partkey + p_size) % 9 AS s, (p_size % 40)::DOUBLE AS a, (p_partkey % 31)::DOUBLE AS b, (p_partkey % 101)::DOUBLE / 4 AS c, (p_size + p_partkey % 7)::DOUBLE AS d FROM part"
 
 
-@query(f"SELECT p_partkey AS id, x.text, x.confidence::DOUBLE AS confidence, x.x0::DOUBLE AS x_min, x.y0::DOUBLE AS y_min, x.x1::DOUBLE AS x_max, x.y1::DOUBLE AS y_max, (x.y0 + x.y1)::DOUBLE / 2 AS y_center FROM {_of_pick([(i, *b[1:]) for i, b in enumerate(_BOXES)], 'ord, x0, y0, x1, y1, text, confidence', len(_BOXES))}")
+@query(f"""WITH x AS ({_X}), r AS (SELECT *, CASE s WHEN 0 THEN [least(a, c, 9), least(b, d), greatest(a, c, 9), greatest(b, d)] WHEN 1 THEN [least(a, c), least(b, d), greatest(a, c), greatest(b, d)] WHEN 2 THEN [least(a, c), least(b, d), greatest(a, c), greatest(b, d)]
+  WHEN 3 THEN [least(a, c), least(b, d), greatest(a, c), greatest(b, d)] WHEN 4 THEN [a, b, a + c, b + d] WHEN 5 THEN [a, b, c, b] WHEN 6 THEN [0, b, 0, d] WHEN 7 THEN [a, b, a, b + d] ELSE [0, 0, 0, 0] END AS e FROM x)
+SELECT id, CASE WHEN s = 8 THEN '' ELSE t END AS text, CASE WHEN s IN (0, 2, 7) THEN c / 100 ELSE 0.0 END::DOUBLE AS confidence, e[1]::DOUBLE AS x_min, e[2]::DOUBLE AS y_min, e[3]::DOUBLE AS x_max, e[4]::DOUBLE AS y_max,
+ CASE WHEN s = 3 THEN d ELSE (e[2] + e[4]) / 2 END::DOUBLE AS y_center, CASE WHEN s IN (4, 7) THEN d ELSE abs(e[4] - e[2]) END::DOUBLE AS height FROM r""")
 def box_shapes(spark, sf_dir):
-    rows = _parts(spark, sf_dir, _pick([b[0] for b in _BOXES]).alias("j")).select("id", recognition.box_of_json(F.col("j")).alias("b"))
-    return rows.select("id", "b.text", "b.confidence", "b.x_min", "b.y_min", "b.x_max", "b.y_max", "b.y_center")
+    """Boxes of nine shapes, their numbers as numbers and as texts, made from the table's columns; the last is no JSON."""
+    size = F.col("p_size")
+    a, b, c, d = (size % 40).cast("double"), (_k() % 31).cast("double"), (_k() % 101).cast("double") / 4, (size + _k() % 7).cast("double")
+    t = F.to_json(F.struct(F.col("p_name").alias("text")))
+    inner = F.substring(t, F.lit(2), F.length(t) - 2)  # "text":"..."
+    said = F.concat(F.lit('"confidence":"'), (c / 100).cast("string"), F.lit('"'))
+    shapes = [
+        '{"box":[[@a,@b],["@c",@b],[@c,"@d"],[9,null],"odd"],@t,"score":@k}', '{"points":[{"x":@a,"y":"@b"},{"x":@c,"y":@d}],@t}', '{"box":null,"bbox":{"topLeft":{"x":@a,"y":@b},"bottomRight":{"x":@c,"y":@d}},@t,@s}',
+        '{"points":{"topLeft":{"x":@a,"y":@b},"bottomLeft":{"x":"@c","y":@d}},@t,"yCenter":@d}', '{"left":@a,"top":@b,"width":@c,"h":@d,@t}', '{"x_min":"x","xMin":@a,"xMax":"@c","y_min":@b,@t}',
+        '{"yMin":@b,"bottom":@d,"text":null,"txt":@v}', '{"box":[],"left":"@a","y_min":"","top":@b,"height":@d,@t,"score":null,"confidence":@k}', '{"text":@v',
+    ]
+    parts = {"a": a.cast("string"), "b": b.cast("string"), "c": c.cast("string"), "d": d.cast("string"), "k": (c / 100).cast("string"), "t": inner, "s": said, "v": F.substring(inner, F.lit(8), F.length(inner))}
+
+    def filled(shape: str):
+        return F.concat(*(parts[x] if n % 2 else F.lit(x) for n, x in enumerate(re.split("@([abcdktsv])", shape))))
+
+    n = (_k() + size) % len(shapes)
+    j = F.coalesce(*(F.when(n == i, filled(x)) for i, x in enumerate(shapes)))
+    rows = table(spark, sf_dir, "part").select(_k().alias("id"), recognition.box_of_json(j).alias("b"))
+    return rows.select("id", "b.text", "b.confidence", "b.x_min", "b.y_min", "b.x_max", "b.y_max", "b.y_center", "b.height")
 
 
 @query("""SELECT id, string_agg(line || ':' || x, ' ' ORDER BY line, x) AS boxes FROM (SELECT p_partkey AS id, unnest([{'line': 0, 'x': p_partkey % 50}, {'line': 0, 'x': 60 + p_partkey % 7}, {'line': 0, 'x': 90}, {'line': 1, 'x': 5}, {'line': 1, 'x': 10 + p_partkey % 80}]) AS b FROM part), LATERAL (SELECT b.line AS line, b.x AS x) GROUP BY id""")
