@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,33 +14,51 @@ RECORD_KEYS = {  # fixed values: keys of a product record, their names and units
 }
 
 
-def clause_search(clauses: DataFrame, keyword: str) -> DataFrame:
-    """Clauses that hold a keyword in any field."""
-    return clauses.where(F.concat_ws("", "id", "standard", "section", "summary", "usage").contains(keyword))
+def clause_search(keywords: DataFrame, clauses: DataFrame) -> DataFrame:
+    """(keyword, id, standard) of the clauses that hold each distinct keyword in any field. The clauses are a document's few rows, which every keyword is tried against."""
+    held = F.concat_ws("", "id", "standard", "section", "summary", "usage")
+    return keywords.select("keyword").distinct().join(F.broadcast(clauses.withColumn("_held", held)), F.expr("contains(_held, keyword)")).select("keyword", "id", "standard")
+
+
+def clauses_by_standard(cited: DataFrame, clauses: DataFrame) -> DataFrame:
+    """cited (id, key) -> (place, standard, n_clauses, n_keys, ids): the clauses cited by their standards, which come in order."""
+    both = cited.join(F.broadcast(clauses.select("id", "standard")), "id")
+    out = both.groupBy("standard").agg(F.count_distinct("id").alias("n_clauses"), F.count_distinct("key").alias("n_keys"), F.sort_array(F.collect_set("id")).alias("ids"))
+    return out.select(F.row_number().over(Window.orderBy("standard")).alias("place"), "standard", "n_clauses", "n_keys", "ids")  # as few rows as there are standards
 
 
-def clauses_by_standard(clauses: DataFrame) -> DataFrame:
-    return clauses.groupBy("standard").agg(F.count("*").alias("n_clauses"), F.sort_array(F.collect_list("id")).alias("ids")).orderBy("standard")
+def clause_summaries(cited: DataFrame, clauses: DataFrame) -> DataFrame:
+    """cited (id, ...) with summary: `standard section　summary` of the clause, or the id where no clause has it."""
+    told = clauses.select("id", F.concat(F.btrim(F.concat_ws(" ", "standard", "section")), F.lit("　"), "summary").alias("summary"))
+    return cited.join(F.broadcast(told), "id", "left").withColumn("summary", F.coalesce("summary", "id"))
 
 
-def additive_search(additives: DataFrame, aliases: DataFrame, keyword: str, function: str | None = None) -> DataFrame:
-    """Additives of a function whose name or an alias holds a keyword."""
-    named = aliases.where(F.col("alias").contains(keyword)).select("name").distinct()
-    found = additives.join(named, "name", "left_semi")
-    return found.where(F.col("function") == function) if function else found
+def additive_search(asked: DataFrame, additives: DataFrame, aliases: DataFrame) -> DataFrame:
+    """asked (keyword, function) -> (keyword, function, name): additives whose name or an alias holds the keyword, of the function if one is given."""
+    own = asked.select("keyword", "function").distinct()
+    named = own.join(F.broadcast(aliases), F.expr("contains(alias, keyword)")).select("keyword", "function", "name").distinct()
+    return named.join(F.broadcast(additives.select("name", F.col("function").alias("of"))), "name").where("function IS NULL OR function = of").select("keyword", "function", "name", "of")
 
 
-def additives_by_function(additives: DataFrame, functions: DataFrame) -> DataFrame:
-    """Functions in their order with how many additives each has; empty ones are left out."""
-    counts = additives.groupBy("function").agg(F.count("*").alias("n_additives"))
-    return counts.join(functions, "function").select("ord", "function", "n_additives").orderBy("ord")
+def additives_by_function(found: DataFrame, functions: DataFrame) -> DataFrame:
+    """found (name, function) -> (ord, function, n_additives): how many different additives of each function there are, in the functions' order; functions without one are left out."""
+    counts = found.groupBy("function").agg(F.count_distinct("name").alias("n_additives"))
+    return counts.join(F.broadcast(functions), "function").select("ord", "function", "n_additives")
 
 
-def alias_lookup(aliases: DataFrame, standards: DataFrame, groups: DataFrame, keyword: str, most: int = 60) -> DataFrame:
-    """Aliases whose text or standard name holds a keyword, with the names of the standard's groups; a listing of `most` at most."""
-    hit = aliases.where(F.col("alias").contains(keyword) | F.col("standard").contains(keyword)).orderBy("ord").limit(most)
+def alias_lookup(keywords: DataFrame, aliases: DataFrame, standards: DataFrame, groups: DataFrame, most: int = 60) -> DataFrame:
+    """(keyword, place, alias, standard, group_names): for each distinct keyword the aliases whose text or standard name holds it, the first `most` as a listing shows them, with the names of the standard's groups."""
+    met = keywords.select("keyword").distinct().join(F.broadcast(aliases), F.expr("contains(alias, keyword) OR contains(standard, keyword)"))
+    hit = met.withColumn("place", F.row_number().over(Window.partitionBy("keyword").orderBy("ord"))).where(F.col("place") <= most)
     of = standards.select("standard", F.explode("groups").alias("code")).join(groups, "code", "left").groupBy("standard").agg(F.array_join(F.sort_array(F.collect_list(F.coalesce("name", "code"))), "、").alias("group_names"))
-    return hit.join(of, "standard", "left").select("alias", "standard", F.coalesce("group_names", F.lit("")).alias("group_names"))
+    return hit.join(F.broadcast(of), "standard", "left").select("keyword", "place", "alias", "standard", F.coalesce("group_names", F.lit("")).alias("group_names"))
+
+
+def inconsistencies(aliases: DataFrame, standards: DataFrame, allergen_aliases: DataFrame) -> DataFrame:
+    """(problem, what): aliases (alias, standard) whose standard name is unknown, and allergen aliases (code, alias) of more than one category."""
+    dangling = aliases.join(standards.select("standard").distinct(), "standard", "left_anti").select(F.lit("dangling_alias").alias("problem"), F.col("standard").alias("what")).distinct()
+    shared = allergen_aliases.groupBy("alias").agg(F.count_distinct("code").alias("n")).where("n > 1").select(F.lit("alias_of_two_allergens").alias("problem"), F.col("alias").alias("what"))
+    return dangling.unionByName(shared)
 
 
 def batch_summary(results: DataFrame) -> DataFrame:
@@ -110,10 +130,9 @@ def nutrition_value(rows, nutrient: str, aliases: dict[str, str]):
     return F.coalesce(*(named(n) for n in [nutrient, *(a for a, s in aliases.items() if s == nutrient)]))
 
 
-def document_counts(dims: dict[str, DataFrame]) -> DataFrame:
-    """One row: how many clauses, additives, aliases, standards and allergen aliases a knowledge base has."""
-    out = None
-    for name in ("clause", "additive", "alias", "standard", "allergen_alias"):
-        n = dims[name].agg(F.count("*").alias(f"n_{name}"))
-        out = n if out is None else out.crossJoin(n)  # one row each
-    return out
+def document_counts(dims: dict[str, DataFrame], used: DataFrame) -> DataFrame:
+    """(kind, n, n_used): how many additives, aliases, standard names and allergen aliases a knowledge base has, and how many of them are among the distinct names of used (name)."""
+    columns = {"additive": "name", "alias": "alias", "standard": "standard", "allergen_alias": "alias"}
+    every = reduce(DataFrame.unionByName, (dims[k].select(F.lit(k).alias("kind"), F.col(c).alias("name")) for k, c in columns.items()))
+    seen = used.select("name").distinct().withColumn("seen", F.lit(1))
+    return F.broadcast(every).join(seen, "name", "left").groupBy("kind").agg(F.count("*").alias("n"), F.count("seen").alias("n_used"))

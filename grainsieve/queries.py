@@ -337,46 +337,6 @@ def latest_request(spark, sf_dir):
     return lookups.latest_requests(events, "user_id", "event_id").select("user_id", "event_type", "value")
 
 
-_CLAUSES = [(i, c["standard"], c["title"], c["section"], c["summary"], c["usage"]) for i, c in KB.clauses.items()]
-
-
-@query(f"SELECT id, standard FROM {values(_CLAUSES, 'id, standard, title, section, summary, usage')} WHERE contains(id || standard || section || summary || usage, '声称')")
-def kb_clause_search(spark, sf_dir):
-    return lookups.clause_search(dimensions(spark, KB)["clause"], "声称").select("id", "standard")
-
-
-@query(f"SELECT standard, count(*) AS n_clauses FROM {values(_CLAUSES, 'id, standard, title, section, summary, usage')} GROUP BY standard")
-def kb_clauses_by_standard(spark, sf_dir):
-    return lookups.clauses_by_standard(dimensions(spark, KB)["clause"]).select("standard", "n_clauses")
-
-
-_ADDITIVES = [(n, f, KB.functions.index(f)) for n, f in KB.additive_function.items()]
-
-
-@query(f"SELECT ord::INT AS ord, function, count(*) AS n_additives FROM {values(_ADDITIVES, 'name, function, ord')} GROUP BY ALL")
-def kb_additive_by_function(spark, sf_dir):
-    d = dimensions(spark, KB)
-    return lookups.additives_by_function(d["additive"], d["function"])
-
-
-@query(f"SELECT DISTINCT a.name, a.function FROM {values(_ADDITIVES, 'name, function, ord')} a JOIN {values(list(KB.additive_index.items()), 'alias, name')} b USING (name) WHERE contains(b.alias, '钠') AND a.function = '增味剂'")
-def kb_additive_search(spark, sf_dir):
-    d = dimensions(spark, KB)
-    return lookups.additive_search(d["additive"], d["additive_alias"], "钠", "增味剂").select("name", "function")
-
-
-@query(f"""WITH a AS {values([(a, s, i) for i, (a, s) in enumerate(KB.aliases.items())], 'alias, standard, ord')}, s AS {values([(s, g) for s, g in KB.standards.items()], 'standard, groups')}, g AS {values(list(KB.ingredients['groups'].items()), 'code, name')}
-SELECT a.alias, a.standard, coalesce(string_agg(g.name, '、' ORDER BY encode(g.name)), '') AS group_names FROM (SELECT * FROM a WHERE contains(alias, '糖') OR contains(standard, '糖') ORDER BY ord LIMIT 60) a LEFT JOIN (SELECT standard, unnest(groups) AS code FROM s) u USING (standard) LEFT JOIN g USING (code) GROUP BY a.alias, a.standard""")
-def kb_alias_lookup(spark, sf_dir):
-    d = dimensions(spark, KB)
-    return lookups.alias_lookup(d["alias"], d["standard"], d["group"], "糖")
-
-
-@query("SELECT 0::BIGINT AS n_issues")
-def kb_issues(spark, sf_dir):
-    return dimensions(spark, KB)["issue"].agg(F.count("*").alias("n_issues"))
-
-
 @query("""WITH c AS (SELECT p_partkey AS id, (690 + p_partkey % 20)::VARCHAR || lpad(p_partkey::VARCHAR, 9, '0') AS body, p_partkey % 10 AS last FROM part), s AS (SELECT *, list_sum(list_transform(range(1, 13), lambda i: substr(body, i, 1)::INT * CASE i % 2 WHEN 0 THEN 3 ELSE 1 END)) AS t FROM c)
 SELECT id, body || last AS code, ((10 - t % 10) % 10 = last) AS valid, ((10 - t % 10) % 10)::INT AS expected, CASE WHEN substr(body, 1, 3) BETWEEN '690' AND '699' THEN '中国大陆（690~699）' ELSE '其他/未指定' END AS region FROM s""")
 def ean13_check(spark, sf_dir):

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
 import re
-from importlib.resources import files
 
 from pyspark.sql import functions as F
 
@@ -14,7 +12,6 @@ from .plans import rows as R
 from .queries import _FOUND, _VERDICT, KB, LABELS, q, query, reports, values
 from .runtime import table
 from .sources import categories
-from .sources.kb import DOCUMENTS, dimensions
 
 def _k():
     return F.col("p_partkey")
@@ -52,19 +49,6 @@ def verdicts_side_by_side(spark, sf_dir):
     return both.select("label_id", "v.place", "v.claim", "v.label", "v.baseline")
 
 
-def _counted() -> dict[str, int]:
-    """The documents' counts, straight from their text."""
-    docs = {n: json.loads((files("grainsieve") / "kb" / f"{n}.json").read_text("utf-8")) for n in DOCUMENTS}
-    named = {a for n, x in docs["additives"]["additives"].items() for a in (n, *x["aliases"])}
-    return {"n_clause": len(docs["clauses"]["clauses"]), "n_additive": len(docs["additives"]["additives"]), "n_alias": len(docs["ingredients"]["aliases"]), "n_standard": len(docs["ingredients"]["standards"]),
-            "n_allergen_alias": sum(len(c["aliases"]) for c in docs["allergens"]["categories"].values()), "n_named": len(named)}
-
-
-@query("SELECT " + ", ".join(f"{n}::BIGINT AS {k}" for k, n in _counted().items() if k != "n_named"))
-def kb_counts(spark, sf_dir):
-    return lookups.document_counts(dimensions(spark, KB))
-
-
 _CODES = [("GLUTEN", "含麸质的谷物", "麸质"), ("FISH", "鱼类及其制品", "鱼类"), ("NEW", None, "NEW"), ("MILK", "乳及其制品", "乳制品"), ("EGG", "及其制品蛋", "及其制品蛋")]
 
 
