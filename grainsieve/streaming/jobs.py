@@ -7,12 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.lookups import HISTORY, batch_summary
 from ..plans.verify import SOURCE, verify
@@ -41,23 +40,127 @@ def summaries(reports: DataFrame, out: str, checkpoint: str):
     return reports.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ring(rows: DataFrame, key: str, at: str, tie: str, most: int = HISTORY) -> DataFrame:
+def _place(x) -> tuple:
+    """Where a value stands in Spark's order: null, numbers and texts, not a number."""
+    return (0,) if x is None else (2,) if x != x else (1, x)
+
+
+class Ring(StatefulProcessor):
+    """A key's newest rows as a list state: `most` of (at, tie), the rows of a batch merged into them. Rows that repeat count each, null times are oldest."""
+
+    def __init__(self, key: str, at: str, tie: str, kinds: dict[str, str], most: int, ttl_ms: int | None):
+        self.key, self.at, self.tie, self.kinds, self.most, self.ttl_ms = key, at, tie, kinds, most, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rows = handle.getListState("rows", f"`{self.at}` {self.kinds[self.at]}, `{self.tie}` {self.kinds[self.tie]}", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        held = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
+        for r in rows:
+            held.append((r[self.at], r[self.tie]))
+            if len(held) > 50 * self.most:
+                held = self._newest(held)
+        held = self._newest(held)
+        self.rows.put(held)
+        for place, (at, tie) in enumerate(held, 1):
+            yield Row(**{self.key: key[0], "place": place, self.at: at, self.tie: tie})
+
+    def _newest(self, held: list[tuple]) -> list[tuple]:
+        return sorted(held, key=lambda x: (_place(x[0]), _place(x[1])), reverse=True)[: self.most]
+
+    def close(self) -> None:
+        pass
+
+
+class Latest(StatefulProcessor):
+    """A key's last request as a value state: of a batch the newest row comes out, if no newer one has been seen; the others are stale."""
+
+    def __init__(self, key: str, request: str, columns: list[str]):
+        self.key, self.request, self.columns = key, request, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "request long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        best = None
+        for r in rows:
+            if r[self.request] is not None and (best is None or r[self.request] > best[self.request]):
+                best = r
+        if best is not None and (not self.last.exists() or best[self.request] > self.last.get()[0]):
+            self.last.update((best[self.request],))
+            yield Row(**{c: best[c] for c in self.columns})
+
+    def close(self) -> None:
+        pass
+
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _stateful(rows: DataFrame) -> None:
+    """List and value states need the RocksDB store; a session that has chosen none gets it."""
+    conf = rows.sparkSession.conf
+    if "RocksDB" not in conf.get(_STORE, ""):
+        conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _kinds(rows: DataFrame) -> dict[str, str]:
+    return {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+
+def ring(rows: DataFrame, key: str, at: str, tie: str, most: int = HISTORY, ttl_ms: int | None = None) -> DataFrame:
     """(key, place, at, tie) after each micro-batch: the newest `most` rows of every key that the batch touched, newest first.
 
-    The state of a key is these rows and no more, so it stays bounded however long the stream runs.
+    The state of a key is these rows and no more, so it stays bounded however long the stream runs; with ttl_ms a key's rows
+    go so long after they came. It equals operators.lookups.newest over all rows so far.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    state = f"`{at}` array<{kinds[at]}>, `{tie}` array<{kinds[tie]}>"
+    _stateful(rows)
+    kinds = _kinds(rows)
+    out = f"`{key}` {kinds[key]}, place int, `{at}` {kinds[at]}, `{tie}` {kinds[tie]}"
+    return rows.select(key, at, tie).groupBy(key).transformWithState(Ring(key, at, tie, kinds, most, ttl_ms), out, "Update", "None" if ttl_ms is None else "ProcessingTime")
 
-    def newer(group: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        seen = list(zip(*kept.get, strict=True)) if kept.exists else []
-        for frame in frames:
-            seen = sorted({*seen, *zip(frame[at].tolist(), frame[tie].tolist(), strict=True)}, reverse=True)[:most]
-        kept.update(([x for x, _ in seen], [y for _, y in seen]))
-        yield pd.DataFrame({key: [group[0]] * len(seen), "place": range(1, len(seen) + 1), at: [x for x, _ in seen], tie: [y for _, y in seen]})
 
-    out = f"`{key}` {kinds[key]}, place int, `{at}` {kinds[at]}, `{tie}` {kinds[tie]}"
-    return rows.select(key, at, tie).groupBy(key).applyInPandasWithState(newer, out, state, "update", GroupStateTimeout.NoTimeout)
+def latest(rows: DataFrame, key: str, request: str) -> DataFrame:
+    """The rows of a stream that are not stale when their micro-batch comes: of each key the one of the greatest request id, if that is greater than all before.
+
+    Rows of null request id are stale; of equal ones the first that is met comes out.
+    """
+    _stateful(rows)
+    kinds = _kinds(rows)
+    own = rows.withColumn(request, F.col(request).cast("long"))
+    out = ", ".join(f"`{c}` {'bigint' if c == request else kinds[c]}" for c in rows.columns)
+    return own.groupBy(key).transformWithState(Latest(key, request, rows.columns), out, "Update", "None")
+
+
+def keep(rows: DataFrame, out: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
+    """Every micro-batch's rows in a folder of its own, batch=N; one that runs again is written again. It takes what is there and ends."""
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return rows.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+_COUNTS = ("total", "ok", "failed", "inconsistent", "high_risk", "low_confidence")
+
+
+def running_summary(results: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """A queue of (ok, error, report columns): a summary of everything so far after each micro-batch, and what failed apart.
+
+    `out`/total/batch=N holds the totals up to batch N: those of the batch before with the batch's own added, so a batch that
+    runs again after a failure changes nothing. `out`/failed/batch=N holds the failed rows' label_id and error; a row that
+    fails does not stop the others.
+    """
+    spark = results.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        own = batch_summary(batch).select(*_COUNTS)
+        if number:
+            own = own.unionByName(spark.read.parquet(f"{out}/total/batch={number - 1}").select(*_COUNTS)).agg(*(F.sum(c).alias(c) for c in _COUNTS))
+        share = F.when(F.col("ok") > 0, F.floor(F.col("inconsistent") * 100 / F.col("ok") + 0.5)).otherwise(F.lit(0)).cast("long")
+        own.withColumn("inconsistent_pct", share).write.mode("overwrite").parquet(f"{out}/total/batch={number}")
+        batch.where("NOT ok").select("label_id", "error").write.mode("overwrite").parquet(f"{out}/failed/batch={number}")
+
+    return results.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class Progress(StreamingQueryListener):
