@@ -207,3 +207,58 @@ def in_polygon(x: Column, y: Column, points: Column) -> Column:
     """Whether a point is inside: a ray to its right crosses an odd number of edges."""
     crosses = F.filter(F.transform(points, _around(points)), lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["a"]["x"] - e["b"]["x"]) * (y - e["b"]["y"]) / (e["a"]["y"] - e["b"]["y"]) + e["b"]["x"]))
     return F.size(crosses) % 2 == 1
+
+
+def _turn(o: Column, a: Column, b: Column) -> Column:
+    """Over 0 for a left turn at a on the way from o to b."""
+    return (a["x"] - o["x"]) * (b["y"] - o["y"]) - (a["y"] - o["y"]) * (b["x"] - o["x"])
+
+
+def _chain(points: Column) -> Column:
+    """Half of a hull as a fold over points in order: before a point is added, those go from the end that are no left turn on the way to it."""
+    def added(done: Column, p: Column) -> Column:
+        bends = lambda x, i: F.when((i > 0) & (_turn(F.get(done, i - 1), x, p) > 0), i + 1)
+        kept = F.coalesce(F.array_max(F.transform(done, bends)), F.least(F.size(done), F.lit(1)))
+        return F.concat(F.slice(done, F.lit(1), kept), F.array(p))
+
+    return F.aggregate(points, F.slice(points, 1, 0), added)
+
+
+def convex_hull(points: Column) -> Column:
+    """The corners of the hull of array<struct<x:double,y:double>>, from the leftmost lowest one, counter-clockwise; null for fewer than three points that are not on one line.
+
+    Nulls and repeated points do not count.
+    """
+    own = _let(F.array_distinct(F.filter(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull())), lambda s: F.array_sort(s))
+    both = _let(own, lambda s: F.struct(_chain(s).alias("low"), _chain(F.reverse(s)).alias("high")))
+    hull = _let(both, lambda b: F.concat(F.slice(b["low"], F.lit(1), F.greatest(F.size(b["low"]) - 1, F.lit(0))), F.slice(b["high"], F.lit(1), F.greatest(F.size(b["high"]) - 1, F.lit(0)))))
+    return _let(hull, lambda h: F.when(F.size(h) >= 3, h))
+
+
+def smallest_rectangle(hull: Column) -> Column:
+    """struct(area, width, height, points) of the rectangle of least area around a hull: one of its sides lies on one of the hull's; the first of equals. Null for null."""
+    def on(e: Column, i: Column) -> Column:
+        a, n = e["a"], F.hypot(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"])
+        return _let(F.struct(a.alias("a"), ((e["b"]["x"] - a["x"]) / n).alias("ux"), ((e["b"]["y"] - a["y"]) / n).alias("uy")), lambda s: measured(s, i))
+
+    def measured(s: Column, i: Column) -> Column:
+        a, ux, uy = s["a"], s["ux"], s["uy"]
+        along = F.transform(hull, lambda p: (p["x"] - a["x"]) * ux + (p["y"] - a["y"]) * uy)
+        across = F.transform(hull, lambda p: (p["y"] - a["y"]) * ux - (p["x"] - a["x"]) * uy)
+        edges = F.struct(F.array_min(along).alias("l"), F.array_max(along).alias("r"), F.array_min(across).alias("b"), F.array_max(across).alias("t"))
+        at = lambda u, v: F.struct((a["x"] + u * ux - v * uy).alias("x"), (a["y"] + u * uy + v * ux).alias("y"))
+        return _let(edges, lambda g: F.struct(
+            ((g["r"] - g["l"]) * (g["t"] - g["b"])).alias("area"), i.alias("ord"), (g["r"] - g["l"]).alias("width"), (g["t"] - g["b"]).alias("height"),
+            F.array(at(g["l"], g["b"]), at(g["r"], g["b"]), at(g["r"], g["t"]), at(g["l"], g["t"])).alias("points"),
+        ))
+
+    every = F.transform(F.transform(hull, _around(hull)), on)
+    return _let(F.array_min(every), lambda b: F.when(b.isNotNull(), F.struct(b["area"].alias("area"), b["width"].alias("width"), b["height"].alias("height"), b["points"].alias("points"))))
+
+
+def corners_in_order(points: Column) -> Column:
+    """Four corners from the upper left clockwise, y downwards: of the two left ones the upper is first and the lower last, of the two right ones likewise the second and third."""
+    s = lambda p: F.array_sort(p, lambda a, b: F.signum(a["x"] - b["x"]).cast("int"))
+    upper = lambda a, b: F.when(b["y"] > a["y"], a).otherwise(b)
+    lower = lambda a, b: F.when(b["y"] > a["y"], b).otherwise(a)
+    return _let(s(points), lambda p: F.array(upper(p[0], p[1]), upper(p[2], p[3]), lower(p[2], p[3]), lower(p[0], p[1])))

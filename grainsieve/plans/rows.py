@@ -18,6 +18,11 @@ def exploded(df: DataFrame, what: str | Column, *keep: str | Column, called: str
     return rows if place else rows.drop("_place")
 
 
+def settled(df: DataFrame, *columns: str | Column) -> DataFrame:
+    """A projection that later ones are not merged with: lambdas that use a column of it several times have it worked out once a row."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def verdict_rows(reports: DataFrame) -> DataFrame:
     """(label_id, place, claim, pattern_id, label, note, source, clauses, hits) of each claim; rejected labels have none."""
     return exploded(reports, "claim_verdicts", "label_id", place="place").select("label_id", "place", *(f"x.{c}" for c in ("claim", "pattern_id", "label", "note", "source", "clauses", "hits")))

@@ -138,15 +138,33 @@ def model_input_sizes(spark, sf_dir):
     return rows.select("id", F.col("d.width").alias("det_width"), F.col("d.height").alias("det_height"), F.col("l.width").alias("rec_width"), F.col("l.padded").alias("rec_padded"))
 
 
-@query("""WITH s AS (SELECT p_partkey AS id, (p_partkey % 17 + 1)::DOUBLE AS w, (p_partkey % 23 + 2)::DOUBLE AS h FROM part)
-SELECT id, w * h AS area, 2 * (w + h) AS perimeter, (w > 4 AND h > 6) AS inside FROM s""")
+_CORNERS = 7
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS id, i, ((p_partkey * (i * 7 + 3) + p_size * i) % 29)::DOUBLE AS x, CASE WHEN p_partkey % 10 = 0 THEN 2 * ((p_partkey * (i * 7 + 3) + p_size * i) % 29) WHEN p_partkey % 7 = 0 AND i > 2 THEN 4 ELSE (p_partkey * (i * 11 + 5) + p_size * (i + 1)) % 23 END::DOUBLE AS y FROM part, range({_CORNERS}) r(i)),
+d AS (SELECT DISTINCT id, x, y FROM p), e AS (SELECT a.id, a.x AS px, a.y AS py, b.x AS qx, b.y AS qy, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS n FROM d a JOIN d b ON a.id = b.id AND (a.x, a.y) <> (b.x, b.y)),
+m AS (SELECT e.id, px, py, qx, qy, min((qx - px) * (y - py) - (qy - py) * (x - px)) AS left_of, max((qx - px) * (y - py) - (qy - py) * (x - px)) AS right_of, min((x - px) * (qx - px) + (y - py) * (qy - py)) AS first, max((x - px) * (qx - px) + (y - py) * (qy - py)) AS last, min((x - px) * (qx - px) + (y - py) * (qy - py)) FILTER ((qx - px) * (y - py) = (qy - py) * (x - px)) AS first_on, max((x - px) * (qx - px) + (y - py) * (qy - py)) FILTER ((qx - px) * (y - py) = (qy - py) * (x - px)) AS last_on, max(n) AS n FROM e JOIN d USING (id) GROUP BY ALL),
+h AS (SELECT * FROM m WHERE left_of >= 0 AND right_of > 0 AND first_on >= 0 AND last_on <= n * n + 1e-9),
+poly AS (SELECT id, sum(px * qy - qx * py) / 2 AS area, string_agg(px::INT || ',' || py::INT, ' ' ORDER BY px, py) AS hull, count(*)::INT AS n_corners, floor(min((last - first) / n * (right_of / n)) * 1000 + 0.5) / 1000 AS rectangle, floor(sum(n) * 1000 + 0.5) / 1000 AS perimeter FROM h GROUP BY id)
+SELECT id, hull, n_corners, floor(area * 1000 + 0.5) / 1000 AS area, perimeter, rectangle, coalesce((SELECT count(*) FROM h WHERE h.id = i.id AND (qx - px) * (9.589 - py) - (qy - py) * (11.317 - px) > 0) = n_corners, false) AS inside FROM (SELECT DISTINCT id FROM d) i LEFT JOIN poly USING (id)""")
 def polygon_measures(spark, sf_dir):
-    w, h = (_k() % 17 + 1).cast("double"), (_k() % 23 + 2).cast("double")
-    at = lambda x, y: F.struct((x + 3.0).alias("x"), (y - 2.0).alias("y"))
-    zero = F.lit(0.0)
-    rows = _parts(spark, sf_dir, F.array(at(zero, zero), at(w, zero), at(w, h), at(zero, h)).alias("p"))
-    p = F.col("p")
-    return rows.select("id", recognition.polygon_area(p).alias("area"), recognition.polygon_perimeter(p).alias("perimeter"), recognition.in_polygon(F.lit(7.0), F.lit(4.0), p).alias("inside"))
+    """Hulls of seven points of each part, some repeated, on a line or inside; their area, way around, smallest rectangle, and whether a point is inside."""
+    size = F.col("p_size")
+
+    def corner(i: int):
+        x = (_k() * (i * 7 + 3) + size * i) % 29
+        y = F.when(_k() % 10 == 0, 2 * x)
+        if i > 2:
+            y = y.when(_k() % 7 == 0, F.lit(4))
+        return F.struct(x.cast("double").alias("x"), y.otherwise((_k() * (i * 11 + 5) + size * (i + 1)) % 23).cast("double").alias("y"))
+
+    rows = _parts(spark, sf_dir, F.array(*map(corner, range(_CORNERS))).alias("p")).transform(lambda d: R.settled(d, "id", recognition.convex_hull(F.col("p")).alias("h")))
+    h = F.col("h")
+    told = F.array_join(F.transform(F.array_sort(h), lambda p: F.concat_ws(",", p["x"].cast("int").cast("string"), p["y"].cast("int").cast("string"))), " ")
+    return rows.select(
+        "id", told.alias("hull"), F.when(h.isNotNull(), F.size(h)).alias("n_corners"), recognition.rounded(recognition.polygon_area(h), 3).alias("area"), recognition.rounded(recognition.polygon_perimeter(h), 3).alias("perimeter"),
+        recognition.rounded(recognition.smallest_rectangle(h)["area"], 3).alias("rectangle"), F.coalesce(recognition.in_polygon(F.lit(11.317), F.lit(9.589), h), F.lit(False)).alias("inside"),
+    )
 
 
 _OWN = [(c, x["name"], KB.allergens["clause_map"].get(x["standard"], x["standard"])) for c, x in KB.allergens["categories"].items()]
