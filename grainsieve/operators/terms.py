@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from ..functions import scalars as S
 from ..functions import sql as E
@@ -75,7 +76,7 @@ def _needed(a: Column, b: Column, least: float) -> Column:
     return F.ceil((a + b) * (least / 2) - 1e-9).cast("int")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
