@@ -335,8 +335,8 @@ def sample_texts(docs: DataFrame, per_kind: int = 800, longest: int = 20_000) ->
     cut = F.lit(False)
     for k, c in n.items():  # the number first: it is cheaper than the patterns
         cut = cut | ((F.col("h") < int(min(1.0, per_kind / c) * (1 << 30))) & (hit == F.lit(k)))
-    at = F.greatest(*(F.regexp_instr("text", F.lit(b)) for b in _BASES))
-    begin = F.when(F.length("text") <= longest, 1).otherwise(F.greatest(F.lit(1), at - longest // 2))
+    at = F.least(*(F.nullif(F.regexp_instr("text", F.lit(b)), F.lit(0)) for b in _BASES))  # of those patterns that match at all
+    begin = F.when(F.length("text") <= longest, 1).otherwise(F.greatest(F.lit(1), F.coalesce(at, F.lit(1)) - longest // 2))
     return [r[1] for r in sorted(rows.where(cut).select("h", F.substring("text", begin, F.lit(longest)).alias("text")).collect())]
 
 

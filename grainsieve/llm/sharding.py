@@ -59,8 +59,8 @@ def numbered(df: DataFrame, by: list[str], chunk, order: list[str], out: str) ->
 def shard_by_size(docs: DataFrame, shards: int = 16) -> DataFrame:
     """(doc_id, text) -> (doc_id, size, text_crc32, group, shard, slot), one row per input row.
 
-    size is the text's UTF-8 bytes plus 1. Equal texts are one group and share a shard; null texts are a group of size
-    1 each and count as empty for the checksum. slot numbers a shard's rows from 0 without gaps. Rows may repeat and
+    size is the text's UTF-8 bytes plus 1. Equal texts are one group and share a shard; null texts are one group, of
+    size 1 each, and count as empty for the checksum. slot numbers a shard's rows from 0 without gaps. Rows may repeat and
     doc_id may be null or repeat. One text's copies cannot be split, so a text with more than a shard's share makes
     its shard the largest. Other columns are dropped. An empty table gives an empty one.
     """

@@ -56,8 +56,9 @@ def collection_bwt(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndarr
         at = end[i] - n - 1
         return np.where(size[i] > n, flat[np.maximum(at, 0)], 0).astype(np.uint16)
 
+    shared = np.uint8 if cap < 256 else np.uint16 if cap < 65536 else np.uint32  # what holds a common prefix
     every = np.arange(m)
-    bwt, lcp = symbol(every, 0), np.zeros(m, np.uint8)
+    bwt, lcp = symbol(every, 0), np.zeros(m, shared)
     open_ = every  # strings with symbols left, in the order of their longest suffix so far
     at = every.copy()  # and where that stands
     n = 0
@@ -71,7 +72,7 @@ def collection_bwt(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndarr
         owner = who[order]
         new = np.flatnonzero(owner >= 0)
         old = owner < 0
-        grown, common = np.empty(m + len(order), kind), np.zeros(m + len(order), np.uint8)
+        grown, common = np.empty(m + len(order), kind), np.zeros(m + len(order), shared)
         grown[:m], common[:m] = bwt[:m], lcp[:m]
         grown[m:][old], common[m:][old] = bwt[m:], lcp[m:]
         grown[m:][new] = symbol(owner[new].astype(np.int64), n)
@@ -80,11 +81,11 @@ def collection_bwt(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndarr
         spot = spot[(spot > 0) & (spot < len(order))]
         low, high = order[spot - 1], order[spot]
         same = bwt[low] == bwt[high]
-        value = np.zeros(len(spot), np.uint8)
+        value = np.zeros(len(spot), shared)
         if same.any():
             bounds = np.empty(2 * int(same.sum()), np.int64)
             bounds[0::2], bounds[1::2] = low[same] + 1, high[same] + 1
-            ahead = np.append(lcp, np.uint8(255))
+            ahead = np.append(lcp, shared(np.iinfo(shared).max))
             value[same] = np.minimum(np.minimum.reduceat(ahead, bounds)[0::2].astype(np.int64) + 1, cap)
         common[m + spot] = value
         if len(order):

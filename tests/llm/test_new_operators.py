@@ -260,3 +260,32 @@ def test_scan_and_mask_of_odd_rows(spark, network):
     assert not any("jo@ex.org" in (r.text or "") for r in pii.mask(docs, network).collect())
     assert pii.scan(docs.where("doc_id > 99"), network).count() == 0
     assert pii.sample_texts(docs.where("doc_id > 99")) == []
+
+
+# ---- repeated passages longer than a byte counts
+
+
+def test_repeated_strings_of_three_hundred_bytes(spark):
+    from grainsieve.llm import suffix_dedup
+
+    rng = random.Random(18)
+    shared = [prose(rng, 120), prose(rng, 70)]
+    rows = [(1, prose(rng, 30) + shared[0]), (2, shared[0] + prose(rng, 30) + shared[1]), (3, shared[1] + " x " + shared[0][:299]), (4, shared[0][:300])]
+    got = {r.doc_id: r for r in suffix_dedup.report(suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), length=300)).collect()}
+    seen: set[bytes] = set()
+    for doc, text in rows:
+        b, gone = text.encode(), set()
+        for k in range(len(b) - 299):
+            if b[k : k + 300] in seen:
+                gone.update(range(k, k + 300))
+            seen.add(b[k : k + 300])
+        assert got[doc].n_removed == len(gone), doc
+    assert got[2].n_removed > 300 and got[4].n_removed == 300
+
+
+def test_the_sample_of_a_long_text_is_around_its_first_match(spark):
+    from grainsieve.llm import secret_scan
+
+    long_ = "a " * 30_000 + "f" * 30 + " b" * 30_000 + " password=abcdef99 " + "c " * 10_000
+    sample = secret_scan.sample_texts(spark.createDataFrame([(1, long_), (2, "d " * 40_000)], "doc_id long, text string"), longest=2000)
+    assert sorted(("f" * 30 in t, "password" in t, len(t)) for t in sample) == [(False, False, 2000), (True, False, 2000)]
