@@ -390,6 +390,7 @@ def _meet(deals: int):
     """Of a deal: ids that share a key, as pairs dealt out anew if they are few, and else as lists; lists of one group have its number g in common."""
 
     def work(t: pa.Table) -> pa.Table:
+        tc.release()  # what the deal before has needed
         flat, sig, own = t["lists"].to_pylist(), t["sig"].to_pylist(), t["ids"].to_pylist()
         g = [int.from_bytes(s, "little", signed=True) for many, s in zip(flat, sig, strict=True) if many]
         ids = [x for many, x in zip(flat, own, strict=True) if many]

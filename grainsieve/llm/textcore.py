@@ -6,6 +6,7 @@ longest single text and not by the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,6 +86,15 @@ def pieces(batches, column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
             yield b.slice(i, j - i)
 
 
+def release() -> None:
+    """Give what has been freed back to the machine: Python workers live on, and what one operator's largest task has needed would stay under the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 _held: list = [None, None]
 
 
@@ -133,8 +143,11 @@ def map_batches(df, work, fields: list[tuple[str, str]]):
     names, made = df.columns, [n for n, _ in fields]
 
     def renamed(batches):
-        for b in work(pa.RecordBatch.from_arrays(b.columns, names) for b in batches):
-            yield pa.RecordBatch.from_arrays(b.columns, [f"c{k}" for k in range(len(made))])
+        try:
+            for b in work(pa.RecordBatch.from_arrays(b.columns, names) for b in batches):
+                yield pa.RecordBatch.from_arrays(b.columns, [f"c{k}" for k in range(len(made))])
+        finally:
+            release()
 
     plain = df.toDF(*(f"c{k}" for k in range(len(names))))
     return plain.mapInArrow(renamed, ", ".join(f"c{k} {kind}" for k, (_, kind) in enumerate(fields))).toDF(*made)
