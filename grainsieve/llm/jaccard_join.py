@@ -246,6 +246,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, in
 
 def _components(doc: DataFrame, words: int, num: int, den: int, parts: int, scratch: Scratch) -> DataFrame:
     def names(batches):
+        tc.forget()
         for b in batches:
             n, keys = [], []
             for s in shingle_sets(b["text"], words):
@@ -256,6 +257,7 @@ def _components(doc: DataFrame, words: int, num: int, den: int, parts: int, scra
     each = scratch.write(doc.mapInArrow(names, "doc_id long, n_shingles long, key binary"), "each")
 
     def distinct(batches):
+        tc.forget()
         seen: set[bytes] = set()  # 16 bytes for each text of a partition
         for b in batches:
             rows = {c: [] for c in ("id", "key", "size", "sketch", "row")}
@@ -390,7 +392,7 @@ def _meet(deals: int):
     """Of a deal: ids that share a key, as pairs dealt out anew if they are few, and else as lists; lists of one group have its number g in common."""
 
     def work(t: pa.Table) -> pa.Table:
-        tc.release()  # what the deal before has needed
+        tc.forget()  # also what the deal before has needed
         flat, sig, own = t["lists"].to_pylist(), t["sig"].to_pylist(), t["ids"].to_pylist()
         g = [int.from_bytes(s, "little", signed=True) for many, s in zip(flat, sig, strict=True) if many]
         ids = [x for many, x in zip(flat, own, strict=True) if many]

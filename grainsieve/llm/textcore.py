@@ -106,6 +106,12 @@ def held(key, make):
     return _held[1]
 
 
+def forget() -> None:
+    """Let go of what the worker keeps for another operator, for tasks that need the room."""
+    _held[:] = [None, None]
+    release()
+
+
 def words(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs of word bytes, never over the end of a row, and the n+1 offsets into them."""
     n = len(buf)
