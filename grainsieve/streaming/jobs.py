@@ -5,11 +5,12 @@ The plan is within a row, so a stream runs the very functions of the batch.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -98,7 +99,12 @@ _STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def _stateful(rows: DataFrame) -> None:
-    """List and value states need the RocksDB store; a session that has chosen none gets it."""
+    """List and value states need the RocksDB store; a session that has chosen none gets it.
+
+    The processors travel whole, not by their module's name: the worker that reads their state's schema on the driver does
+    not see shipped files, only its working folder and PYTHONPATH.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     conf = rows.sparkSession.conf
     if "RocksDB" not in conf.get(_STORE, ""):
         conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
