@@ -84,7 +84,7 @@ _TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRST
 
 _SHINGLED = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 
-#: The other operators are tested against brute force, the public library or held-out rows: SQL cannot express them.
+#: The other operators are tested against brute force, the public library or held-out rows: SQL has neither their models nor their hashes.
 ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard_join": f"""WITH RECURSIVE d AS (SELECT doc_id, {_SHINGLED} AS w FROM documents),
 s AS (SELECT doc_id, unnest(CASE WHEN len(w) > 2 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k : k + 2], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END) AS g FROM d),
@@ -101,6 +101,14 @@ h AS (SELECT doc_id, k, own.n, item_id FROM own JOIN win ON win.n = own.n AND wi
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM h) GROUP BY doc_id),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op9_suffix_array_dedup": """WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+chunk AS (SELECT r, c, substr(x, 512 * c + 1, 710) AS x FROM (SELECT r, x, unnest(range((len(x) // 2 + 255) // 256)) AS c FROM d)),
+win AS (SELECT r, 256 * c + k AS p, substr(x, 2 * k + 1, 200) AS w FROM (SELECT *, unnest(range(least(256, len(x) // 2 - 99))) AS k FROM chunk)),
+dup AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM (SELECT r, p, row_number() OVER (PARTITION BY w ORDER BY r, p) AS nth FROM win) WHERE nth > 1),
+run AS (SELECT r, min(p) AS a, max(p) + 100 AS z FROM (SELECT *, sum(CASE WHEN before + 100 >= p THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY p) AS g FROM dup) GROUP BY r, g),
+cut AS (SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS z FROM run UNION ALL SELECT d.r, coalesce(max(z), 0), len(any_value(x)) // 2 FROM d LEFT JOIN run USING (r) GROUP BY d.r),
+kept AS (SELECT r, string_agg(substr(x, 2 * a + 1, 2 * (z - a)), '' ORDER BY a) AS k FROM cut JOIN d USING (r) GROUP BY r), n AS (SELECT r, sum(z - a) AS removed, count(*) AS spans FROM run GROUP BY r)
+SELECT doc_id, len(x)::BIGINT // 2 AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256 FROM d JOIN kept USING (r) LEFT JOIN n USING (r)""",
     "op11_hard_negatives": """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),

@@ -1,7 +1,7 @@
 """Secret scans by a linear-chain conditional random field over tokens, beside exact patterns.
 
-Tokens are runs of anything but white space, tagged begin, inside or outside of a secret from their shape, the kinds
-of the neighbouring tokens and features of the file, and decoded by Viterbi. The patterns' spans are always kept; the
+Tokens are runs of anything but white space, tagged begin, inside or outside of a secret from their shape, the words
+and kinds of the neighbouring tokens and features of the file, and decoded by Viterbi. The patterns' spans are always kept; the
 field adds spans of its own.
 
 Most tokens are plain words: nothing in their shape is odd (_ODD), they hold no keyword and are not among the AFTER
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 from hashlib import blake2b
 
@@ -70,6 +71,14 @@ def kind_of(token: str) -> str:
     return "number" if not any(c.isalpha() for c in token) else "odd"
 
 
+def word_of(token: str | None) -> str:
+    """What a neighbour says: its letters in lower case, if they are words and no code."""
+    if token is None:
+        return "-"
+    kind = kind_of(token)
+    return "".join(filter(str.isalpha, token.lower()))[:20] if kind in ("word", "keyword", "opens") else f"<{kind}>"
+
+
 def shape(token: str) -> list[str]:
     """Features of a token's own form."""
     core = token.strip("\"'.,;:!?()[]{}<>")
@@ -158,7 +167,8 @@ def chain_features(text: str, stretch: list[tuple[int, int]], file: list[str]) -
     tokens = [text[s:e] for s, e in stretch]
     left, right = before(text, stretch[0][0]), after(text, stretch[-1][1])
     kinds = [kind_of(left) if left else "none", *map(kind_of, tokens), kind_of(right) if right else "none"]
-    return [["bias", *shape(t), f"after_{kinds[k]}", f"before_{kinds[k + 2]}", *file] for k, t in enumerate(tokens)]
+    words = [word_of(left), *map(word_of, tokens), word_of(right)]
+    return [["bias", *shape(t), f"after_{kinds[k]}", f"before_{kinds[k + 2]}", f"left={words[k]}", f"right={words[k + 2]}", *file] for k, t in enumerate(tokens)]
 
 
 @dataclass
@@ -208,6 +218,8 @@ _ALPHABETS = ("0123456789ABCDEF", _LETTERS, _LETTERS + "-_", _LETTERS + "+/", "0
 _LENGTHS = (20, 32, 16, 40, 12, 24, 10)
 _AROUND = (("", ""), ("Bearer ", ""), ('"', '"'), ("pwd = ", ""), ("login with ", ""), ("pass: ", ""), ("(", ")"), ("key => ", ""), ("'", "',"), ("id: ", ""), ("pat_", ""))
 DISGUISES = 12  # of each match
+RARE = 5  # neighbours' words seen less often in learning have no weight
+WORDS = 0.3  # the pace at which those words learn, of the other features' pace: shapes hold where no word is known
 
 
 def _disguised(text: str, span: tuple[int, int, int], nth: int) -> tuple[str, int, int] | None:
@@ -292,11 +304,9 @@ def fit(texts: list[str], rounds: int = 80, rate: float = 0.5, decay: float = 1e
                     new = _chains(part, [(x, y) for x, _, y in base_spans(part)], more)
                     chains += new
                     more -= sum(n for *_, n in new)
-    index: dict[str, int] = {}
-    for chain, *_ in chains:
-        for fs in chain:
-            for f in fs:
-                index.setdefault(f, len(index))
+    times = Counter(f for chain, *_ in chains for fs in chain for f in fs)
+    index = {f: k for k, f in enumerate(f for f, n in times.items() if n >= RARE or "=" not in f[:6])}
+    chains = [([[f for f in fs if f in index] for fs in chain], ys, n) for chain, ys, n in chains]
     w, moves = np.zeros((len(index), 3)), np.zeros((3, 3))
     if not chains:
         return Field({"bias": (1.0, 0.0, 0.0)}, moves)
@@ -307,6 +317,7 @@ def fit(texts: list[str], rounds: int = 80, rate: float = 0.5, decay: float = 1e
     gold = np.array([y for _, ys, _ in chains for y in ys])
     outside = np.array([fs == ["plain"] for chain, *_ in chains for fs in chain])
     gw, gm = np.full_like(w, 1e-8), np.full_like(moves, 1e-8)
+    pace = np.array([rate * (WORDS if f.startswith(("left=", "right=")) else 1.0) for f in index])[:, None]
     for _ in range(rounds):
         e = np.stack([np.bincount(owner, w[flat, y], len(size)) for y in range(3)], 1)
         e[outside] = (0.0, -60.0, -60.0)  # the constraint
@@ -316,7 +327,7 @@ def fit(texts: list[str], rounds: int = 80, rate: float = 0.5, decay: float = 1e
         dm = dm / len(chains) - decay * moves
         gw += dw * dw
         gm += dm * dm
-        w += rate * dw / np.sqrt(gw)
+        w += pace * dw / np.sqrt(gw)
         moves += rate * dm / np.sqrt(gm)
     return Field({f: tuple(w[i].tolist()) for f, i in index.items()}, moves)
 

@@ -165,3 +165,29 @@ def test_secrets_beyond_the_patterns():
     for k in range(300):
         wrong += bool(model.tag(f"{prose(rng, 15)} {ordinary[k % len(ordinary)]} {prose(rng, 15)}"))
     assert right / asked > 0.9 and right / (right + wrong) > 0.9, (right, asked, wrong)
+
+
+def test_secrets_of_forms_never_learned():
+    """Alphabets, prefixes, lengths, surroundings and ordinary tokens that learning never makes; README states the figures."""
+    rng = random.Random(11)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    any_ = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    texts = [prose(rng, 20) + f' token = "{any_(40, "0123456789abcdef")}" ' + prose(rng, 20) for _ in range(60)] + [prose(rng, 30) + f" {rng.randint(1, 31)}.12.2024 a{k}@mail.org " + prose(rng, 10) for k in range(60)]
+    model = secret_scan.fit(texts)
+    kinds = {
+        "base32": lambda: f"seed {any_(26, low + '234567')}", "dashed": lambda: f"licence {'-'.join(any_(5, up + digits) for _ in range(5))}", "dotted": lambda: f"jwt {any_(18, low + up + digits)}.{any_(45, low + up + digits)}.{any_(28, low + up + digits)}",
+        "forge": lambda: f"forge ghp_{any_(36, low + up + digits)}", "live": lambda: f"charge sk-live-{any_(28, low + digits)}", "signs": lambda: f"login {any_(5, low)}#{any_(4, up)}!{any_(5, digits + low)}", "angled": lambda: f"set <{any_(18, low + up + digits)}>", "padded": lambda: f"salt {any_(42, low + up + digits)}==",
+    }
+    found, added = dict.fromkeys(kinds, 0), 0
+    for k in range(400):
+        name = list(kinds)[k % len(kinds)]
+        lead, made = kinds[name]().split(" ")
+        text = f"{prose(rng, 15)} {lead} {made} {prose(rng, 15)}"
+        assert not secret_scan.base_spans(text)
+        at = text.index(made)
+        found[name] += any(a < at + len(made) and at < z for a, z in model.tag(text))
+    ordinary = ["SKU-48213-B", "1,234.56", "2001:db8:85a3::8a2e", "Q3/2021", "user_name42", "mailto:anna@mail.org", "#1f77b4", "3.14159265", "km/h", "12:30-14:45", "A4/B5", "x86_64", "foo(bar=1)", "IBM-360/91", "h2o+co2", "12.5%"]
+    for k in range(400):
+        added += bool(model.tag(f"{prose(rng, 15)} {ordinary[k % len(ordinary)]} {prose(rng, 15)}"))
+    right = sum(found.values())
+    assert right / 400 > 0.6 and right / (right + added) > 0.8, (found, added)
