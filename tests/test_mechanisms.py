@@ -29,6 +29,26 @@ def test_plans_stay_small(spark, name):
     assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 210_000
 
 
+@pytest.mark.parametrize("name", ["ctc_decode", "layout_regions", "layout_to_report", "boxes_in_reading_order", "parse_ingredients_leveled"])
+def test_rows_are_dealt_out_before_the_work(spark, name):
+    """A part file is one task's scan, however many rows it has: no fold over arrays runs in that task."""
+    plan = __spark_entry__.queries()[name](spark, SMALL)._jdf.queryExecution()
+    assert plan.toRdd().getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert "lambda" not in plan.executedPlan().toString().split("Exchange")[-1]
+
+
+def test_ctc_scores_are_worked_out_once(spark):
+    scores = F.array(*(F.array(F.lit(0.1), F.col("id") / F.lit(7919.0)) for _ in range(3)))
+    df = spark.range(3).select(recognition.ctc_text(scores, F.array(F.lit(""), F.lit("a"))).alias("r"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("7919.0") == 3
+
+
+def test_parts_are_split_once(spark):
+    for name in ("ingredients_by_terms", "allergens_by_terms"):
+        plan = __spark_entry__.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert "part.parquet" not in plan and "regexp_extract_all" not in plan
+
+
 # ---- terms
 
 
