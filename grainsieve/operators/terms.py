@@ -133,7 +133,7 @@ def resolved(terms: DataFrame, kb: KnowledgeBase) -> DataFrame:
 
 def ingredient_rows(parts: DataFrame, kb: KnowledgeBase) -> DataFrame:
     """parts (raw and any other columns) with term's entry beside it: standard, groups, is_additive, function, confidence, and raw as a report shows it."""
-    own = E.with_columns(parts, {"term": S.clean_term(E.col("raw"))})
+    own = Scratch(parts.sparkSession).write(E.with_columns(parts, {"term": S.clean_term(E.col("raw"))}), "parts")  # read for its distinct terms and for their entries; split but once
     both = own.join(resolved(own, kb), "term", "left")
     shown = F.when(F.col("standard").isNull(), F.btrim("raw", F.lit(S.SPACES))).otherwise(F.col("term"))
     return both.select(*(c for c in parts.columns if c != "raw"), shown.alias("raw"), "standard", F.coalesce("groups", F.array().cast("array<string>")).alias("groups"), F.coalesce("is_additive", F.lit(False)).alias("is_additive"), "function", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
