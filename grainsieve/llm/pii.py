@@ -4,10 +4,9 @@ The network is trained in numpy from labelled spans: the patterns' own in a boun
 these texts in forms that no pattern finds (fields apart, other separators, words for signs), beside dates, versions,
 prices and the like, which are no personal data.
 
-Characters far from any digit, at sign or word that stands for one are outside by a constraint. The stretches between are
-cut into overlapping windows; each is decoded to the probabilities of its tags by forward-backward, those of a character
-are averaged over its windows, weighted by how far from a window's border it is, and one Viterbi pass over the whole
-stretch settles the spans.
+Whole texts are cut into overlapping windows, whatever stands in them; each is decoded to the probabilities of its tags
+by forward-backward, those of a character are averaged over its windows, weighted by how far from a window's border it
+is, and a Viterbi pass over what may be inside settles the spans.
 """
 
 from __future__ import annotations
@@ -83,8 +82,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # ---- the network
 
-WINDOW, STEP = 64, 32
-AROUND = 28  # characters on both sides of a digit or sign that may belong to it
+WINDOW = 64  # characters of one that is learned from
+BLOCK = 32
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
 _SIGNS = "".join(map(chr, range(33, 127)))
 _CODES = {c: k for k, c in enumerate(dict.fromkeys("\0 \n" + re.sub("[A-Z1-9]", "", _SIGNS) + "é"))}  # padding, blank, other space, signs, letters, digits as 0; the last: other letters
@@ -146,6 +145,35 @@ def _run(x: np.ndarray, wh: np.ndarray, keep: bool):
     return out, kept
 
 
+def _states(cols: np.ndarray, wx: np.ndarray, wh: np.ndarray) -> np.ndarray:
+    """Hidden states (time, units, rows) of an LSTM over characters (time, rows): what _run gives, with gates as whole blocks and one exponential for all of them."""
+    n = len(wh)
+    scale = np.full(4 * n, -1, wh.dtype)
+    scale[3 * n :] = -2  # tanh(x) is 2 * sigmoid(2 * x) - 1
+    wx, wh = wx * scale, np.ascontiguousarray((wh * scale).T)
+    out, c = np.empty((len(cols), n, cols.shape[1]), wh.dtype), np.zeros((n, cols.shape[1]), wh.dtype)
+    with np.errstate(over="ignore"):
+        for t, ids in enumerate(cols):
+            z = np.ascontiguousarray(wx[ids].T)
+            if t:
+                z += wh @ out[t - 1]
+            np.exp(z, out=z)
+            z += 1
+            np.reciprocal(z, out=z)
+            g = z[3 * n :]
+            g *= 2
+            g -= 1
+            g *= z[:n]
+            c *= z[n : 2 * n]
+            c += g
+            top = np.exp(c * -2)
+            top += 1
+            np.divide(2, top, out=top)
+            top -= 1
+            np.multiply(z[2 * n : 3 * n], top, out=out[t])
+    return out
+
+
 def _back(dout: np.ndarray, wh: np.ndarray, kept: list) -> tuple[np.ndarray, np.ndarray]:
     """The slopes by x and by wh."""
     steps, rows, n = dout.shape
@@ -231,8 +259,28 @@ class Network:
         return float((total.sum() - score) / rows), out
 
     def tags(self, ids: np.ndarray) -> np.ndarray:
-        """(rows, time, tags): the probabilities of windows' tags."""
-        return marginals(self.emissions(ids)[0], self.weights["moves"])[0].transpose(1, 0, 2)
+        """(rows, time, tags): the probabilities of windows' tags, as marginals() of emissions() has them, without what learning needs."""
+        w, cols = self.weights, np.ascontiguousarray(ids.T)
+        h = [_states(cols[:: step], w[f"x{d}"], w[f"h{d}"]) for d, step in (("f", 1), ("b", -1))]
+        n, (steps, rows) = len(w["hf"]), cols.shape
+        e = np.empty((steps, TAGS, rows), w["out"].dtype)
+        for t in range(steps):
+            np.matmul(w["out"][:n].T, h[0][t], out=e[t])
+            e[t] += w["out"][n:].T @ h[1][steps - 1 - t]
+        e += w["bias"][:, None]
+        e -= e.max(1, keepdims=True)
+        p = np.exp(e, out=e)
+        m = np.where(ALLOWED, np.exp(w["moves"]), 0).astype(p.dtype)
+        a, back = np.empty_like(p), np.ones_like(p[0])
+        for t in range(steps):
+            np.multiply(p[t], m.T @ a[t - 1] if t else 1, out=a[t])
+            a[t] /= a[t].sum(0)
+        for t in range(steps - 2, -1, -1):
+            back = m @ (p[t + 1] * back)
+            back /= back.sum(0)
+            a[t] *= back
+            a[t] /= a[t].sum(0)
+        return np.ascontiguousarray(a.transpose(2, 0, 1))
 
 
 # ---- learning
@@ -348,44 +396,50 @@ def sample_texts(docs: DataFrame, most: int = 4000, longest: int = 1000) -> list
 
 # ---- decoding
 
-_SEED = re.compile(r"[0-9@]+")
-_WORDED = re.compile(r"[\[({]\s?(?:at|dot)\s?[\])}]|\sat\s\S{1,60}\sdot\s", re.IGNORECASE)
-
-
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of a text near a digit, an at sign or words that stand for signs."""
-    seeds = [m.span() for m in _SEED.finditer(text)]
-    if any(x in text for x in (" dot ", " DOT ", " Dot ", "(at", "[at", "{at", "( at", "[ at", "(AT", "[AT")):
-        seeds = sorted(seeds + [m.span() for m in _WORDED.finditer(text)])
-    out: list[tuple[int, int]] = []
-    for a, z in seeds:
-        a, z = max(0, a - AROUND), min(len(text), z + AROUND)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(z, out[-1][1]))
-        else:
-            out.append((a, z))
-    return out
-
+SPAN = 8  # blocks of a window that is decoded; the last is the next window's first
+_RISE = (np.arange(BLOCK, dtype=np.float32)[:, None] + 1.0) / (BLOCK + 1)
+
+
+def reconciled(parts: list[np.ndarray], net: Network, at_once: int = 512) -> list[np.ndarray]:
+    """The tags' probabilities of whole texts of codes, from windows that overlap by a block; no position is left out. In an overlap the further one is from a window's border, the more it counts."""
+    step = SPAN - 1
+    n_windows = [max(-(-(len(p) - BLOCK) // (step * BLOCK)), 1) for p in parts]
+    first = np.concatenate(([0], np.cumsum([n * step + 1 for n in n_windows]))).astype(np.int64)
+    flat = np.zeros((int(first[-1]), BLOCK), np.uint8)
+    line = flat.reshape(-1)
+    for p, at in zip(parts, first.tolist(), strict=False):
+        line[at * BLOCK : at * BLOCK + len(p)] = p
+    where = np.concatenate([np.zeros(0, np.int64), *(at + np.arange(n) * step for at, n in zip(first.tolist(), n_windows, strict=False))])
+    total = np.zeros((len(flat), BLOCK, TAGS), np.float32)
+    begins, ends = np.isin(where, first), np.isin(where + SPAN, first)  # a text's first and last window count whole at its borders
+    for b in range(0, len(where), at_once):
+        some = where[b : b + at_once]
+        p = net.tags(flat[some[:, None] + np.arange(SPAN)].reshape(len(some), -1)).reshape(len(some), SPAN, BLOCK, TAGS)
+        p[:, 0] *= np.where(begins[b : b + at_once, None, None], np.float32(1), _RISE)
+        p[:, -1] *= np.where(ends[b : b + at_once, None, None], np.float32(1), _RISE[::-1])
+        total[some[:, None] + np.arange(1, SPAN - 1)] = p[:, 1:-1]
+        total[some] += p[:, 0]
+        total[some + step] += p[:, -1]
+    whole = total.reshape(-1, TAGS)
+    return [whole[at * BLOCK : at * BLOCK + len(p)] for p, at in zip(parts, first.tolist(), strict=False)]
 
-_WEIGHT = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]).astype(np.float32) + 1.0
 
+def stretches(p: np.ndarray) -> list[tuple[int, int]]:
+    """Where spans of the best path may lie, by the tags' probabilities of a whole text: exact, no span lies elsewhere.
 
-def reconciled(parts: list[np.ndarray], net: Network, at_once: int = 1024) -> list[np.ndarray]:
-    """The tags' probabilities of whole stretches of codes, from their overlapping windows."""
-    where = [(k, at) for k, p in enumerate(parts) for at in range(0, max(len(p) - WINDOW + STEP, 1), STEP)]
-    total = [np.zeros((len(p), TAGS), np.float32) for p in parts]
-    weight = [np.zeros((len(p), 1), np.float32) for p in parts]
-    for b in range(0, len(where), at_once):
-        some = where[b : b + at_once]
-        ids = np.zeros((len(some), WINDOW), np.uint8)
-        for row, (k, at) in enumerate(some):
-            p = parts[k][at : at + WINDOW]
-            ids[row, : len(p)] = p
-        for (k, at), p in zip(some, net.tags(ids), strict=True):
-            n = min(WINDOW, len(parts[k]) - at)
-            total[k][at : at + n] += p[:n] * _WEIGHT[:n, None]
-            weight[k][at : at + n] += _WEIGHT[:n, None]
-    return [t / w for t, w in zip(total, weight, strict=True)]
+    A span's last characters could be outside instead, so from each of its places on to its end the best tags must gain
+    over outside. The greatest such gain from a place on bounds what any span can gain.
+    """
+    if not len(p):
+        return []
+    gain = np.log(p[:, 1:].max(1).astype(np.float64) + 1e-12) - np.log(p[:, 0].astype(np.float64) + 1e-12)
+    if gain.max() < 0:
+        return []
+    sums = np.cumsum(gain[::-1])
+    least = np.minimum.accumulate(np.concatenate(([0.0], sums[:-1])))
+    may = ((sums - least) >= -1e-6)[::-1]
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], may.astype(np.int8), [0]))))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
 def paths(probabilities: list[np.ndarray]) -> list[np.ndarray]:
@@ -446,8 +500,9 @@ def found(texts: list[str], net: Network | None) -> list[list[tuple[int, int, in
     out = [base_spans(t) for t in texts]
     if net is None:
         return out
-    where = [(k, a, z) for k, t in enumerate(texts) for a, z in stretches(t)]
-    probabilities = reconciled([codes(texts[k][a:z]) for k, a, z in where], net)
+    whole = reconciled([codes(t) for t in texts], net)
+    where = [(k, a, z) for k, p in enumerate(whole) for a, z in stretches(p)]
+    probabilities = [whole[k][a:z] for k, a, z in where]
     more: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for (k, a, _), tags, p in zip(where, paths(probabilities), probabilities, strict=True):
         begins = np.flatnonzero(tags % 2 == 1)

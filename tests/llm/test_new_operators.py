@@ -289,3 +289,63 @@ def test_the_sample_of_a_long_text_is_around_its_first_match(spark):
     long_ = "a " * 30_000 + "f" * 30 + " b" * 30_000 + " password=abcdef99 " + "c " * 10_000
     sample = secret_scan.sample_texts(spark.createDataFrame([(1, long_), (2, "d " * 40_000)], "doc_id long, text string"), longest=2000)
     assert sorted(("f" * 30 in t, "password" in t, len(t)) for t in sample) == [(False, False, 2000), (True, False, 2000)]
+
+
+def test_network_reads_every_position():
+    """Texts without a digit or sign too: each place of each text is decoded, in one window or two."""
+    class Everywhere:
+        def __init__(self):
+            self.seen = np.zeros(len(pii._CODES) + 1, np.int64)
+
+        def tags(self, ids):
+            np.add.at(self.seen, ids.ravel(), 1)
+            p = np.full((*ids.shape, pii.TAGS), 1e-6, np.float32)
+            letter = pii.code("q")
+            p[:, :, 0] = ids != letter
+            p[:, 1:, 2] = (ids[:, 1:] == letter) & (ids[:, :-1] == letter)
+            p[:, :, 1] = (ids == letter) & (p[:, :, 2] < 0.5)
+            return p / p.sum(2, keepdims=True)
+
+    net = Everywhere()
+    for n in (1, 31, 32, 33, 255, 256, 257, 1000):
+        parts = [np.full(n, pii.code("a"), np.uint8), np.full(n // 2 + 1, pii.code("b"), np.uint8)]
+        net.seen[:] = 0
+        got = pii.reconciled(parts, net)
+        assert [len(p) for p in got] == [n, n // 2 + 1] and all(np.allclose(p.sum(1), 1, atol=1e-5) for p in got)
+        assert net.seen[pii.code("a")] >= n and net.seen[pii.code("b")] >= n // 2 + 1
+
+
+def test_address_far_from_digits_is_looked_at(monkeypatch):
+    monkeypatch.setattr(pii, "plausible", lambda kind, s: True)
+
+    class Letters:
+        def tags(self, ids):
+            p = np.full((*ids.shape, pii.TAGS), 1e-6, np.float32)
+            hit = ids == pii.code("q")
+            before = np.concatenate((np.zeros((len(ids), 1), bool), hit[:, :-1]), 1)
+            p[:, :, 0], p[:, :, 1], p[:, :, 2] = ~hit, hit & ~before, hit & before
+            return (p + 1e-6) / (p + 1e-6).sum(2, keepdims=True)
+
+    for lead in (0, 40, 700):
+        text = "word " * lead + "qqqq" + " word" * lead
+        assert pii.found([text], Letters())[0] == [(5 * lead, 4, 5 * lead + 4)]
+
+
+def test_stretches_lose_no_span():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 5, 40, 300):
+        for sharp in (0.05, 0.3, 1.0):
+            p = rng.dirichlet(np.ones(pii.TAGS) * sharp + np.eye(pii.TAGS)[0] * 3 * sharp, n).astype(np.float32)
+            want, got = pii.paths([p])[0], np.zeros(n, np.int64)
+            cut = pii.stretches(p)
+            for (a, z), tags in zip(cut, pii.paths([p[a:z] for a, z in cut]), strict=True):
+                got[a:z] = tags
+            assert got.tolist() == want.tolist()
+
+
+def test_quick_decoding_equals_the_slow_one():
+    rng = np.random.default_rng(9)
+    net = pii.Network.new(5, rng, np.float64)
+    ids = rng.integers(0, pii.ALPHABET, (7, 50)).astype(np.uint8)
+    want = pii.marginals(net.emissions(ids)[0], net.weights["moves"])[0].transpose(1, 0, 2)
+    assert np.allclose(net.tags(ids), want, atol=1e-9)
