@@ -322,11 +322,11 @@ def _components(doc: DataFrame, words: int, num: int, den: int, parts: int, scra
 
     # And pairs across components in groups whose sets are still in several, in tiles of bounded size. While components
     # join, a few pairs are enough for two of them; groups of which pairs were left out come up again, with more pairs allowed.
-    members = groups.mapInArrow(_members, "g long, id long")
     most, k, left = PAIRS, 2, None
     while True:
         node = sets.select("id", "key").join(comp.select("key", F.col("component.key").alias("c")), "key", "left").select("id", F.coalesce("c", "key").alias("c"))
-        labelled = (members if left is None else members.join(left, "g", "left_semi")).join(node, "id")
+        again = groups if left is None else groups.join(left, "g", "left_semi")  # whole lists: a row for up to LIST members
+        labelled = again.mapInArrow(_members, "g long, id long").join(node, "id")
         labelled = scratch.write(labelled, f"labelled{k}")
         tiled = scratch.write(_tiles(labelled), f"tiled{k}")
         scratch.drop(f"labelled{k}", f"near{k - 1}")

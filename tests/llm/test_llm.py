@@ -527,3 +527,36 @@ def test_pipeline_against_brute_force(spark, tmp_path, rows, library):
     assert all(got[i].ids == library.encode(texts[i], add_special_tokens=False).ids for i in plain)
     assert item not in library.decode(got[500].ids) and "<SECRET> x" in library.decode(got[502].ids)
     assert got[502].n_tokens == len(got[502].ids)
+
+
+def test_groups_come_again_as_lists(spark, monkeypatch):
+    """Of groups with pairs left out, lists are chosen and not each member of each group; links are the same."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    rng, chosen, join = random.Random(5), [], Classic.join
+    monkeypatch.setattr(jaccard_join, "PAIRS", 1)
+    monkeypatch.setattr(Classic, "join", lambda self, other, on=None, how=None: (chosen.append(self.columns) if how == "left_semi" else None, join(self, other, on, how))[1])
+    words = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(160):
+        w = list(words)
+        for at in rng.sample(range(60), 3 if k % 2 else 6):
+            w[at] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    sets = {k: {tuple(t.split()[i : i + 3]) for i in range(58)} for k, t in rows}
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, (6, 10)).collect()}
+    near = {}
+    for k in sets:
+        near[k] = {b for b in sets if b != k and 10 * len(sets[k] & sets[b]) >= 6 * len(sets[k] | sets[b])}
+    want, seen = {}, set()
+    for k in sorted(sets):
+        if k not in seen:
+            todo = [k]
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen.add(x)
+                    want[x] = k
+                    todo += near[x]
+    assert got == want
+    assert chosen and all("ids" in c for c in chosen)
