@@ -39,7 +39,9 @@ def reports_written_and_read(spark, sf_dir):
     path = scratch.path("label_reports")
     r = reports(spark, sf_dir)
     whole = r.select("label_id", "confidence", "rejected", F.to_json(F.struct("risk", "claim_verdicts", "baseline_verdicts", "population_results", "allergen_alerts", "meta", "reject_reason")).alias("report"))
+    whole = scratch.write(whole, "whole")  # verified once, for both jobs
     for part in ("rejected", "NOT rejected"):
         whole.where(part).write.format("label_reports").mode("append").save(path)
+    scratch.drop("whole")
     back = spark.read.format("label_reports").load(path)
     return back.select("label_id", "confidence", "rejected", F.get_json_object("report", "$.risk.level").alias("risk"), F.get_json_object("report", "$.claim_verdicts[0].label").alias("verdict"))
