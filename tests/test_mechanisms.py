@@ -37,6 +37,27 @@ def test_rows_are_dealt_out_before_the_work(spark, name):
     assert "lambda" not in plan.executedPlan().toString().split("Exchange")[-1]
 
 
+def test_portions_arrive_as_files_for_all_cores(spark):
+    """A stream over one file verifies all of its labels in one task."""
+    from grainsieve import queries, stream_queries
+
+    seen = []
+
+    class Ended:
+        def awaitTermination(self):  # noqa: N802
+            pass
+
+    def start(arrived, out, checkpoint):
+        seen.extend(arrived.sparkSession.read.schema(arrived.schema).parquet(folders[-1]).inputFiles())
+        return Ended()
+
+    folders, path = [], stream_queries.Scratch.path
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(stream_queries.Scratch, "path", lambda self, name: (p := path(self, name), folders.append(p) if name == "arriving" else None)[0])
+        stream_queries.arriving(spark, queries.labels(spark, SMALL), 1, F.lit(0), start)
+    assert len(seen) >= spark.sparkContext.defaultParallelism
+
+
 def test_ctc_scores_are_worked_out_once(spark):
     scores = F.array(*(F.array(F.lit(0.1), F.col("id") / F.lit(7919.0)) for _ in range(3)))
     df = spark.range(3).select(recognition.ctc_text(scores, F.array(F.lit(""), F.lit("a"))).alias("r"))
