@@ -8,7 +8,7 @@ an item are passed over first (numpy): all pairs of neighbours in a window are p
 from __future__ import annotations
 
 import pickle
-
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -179,21 +179,26 @@ def _merged(spans: list[dict]) -> list[dict]:
     return out
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10, automaton_words: int = AUTOMATON_WORDS, called: tuple[str, str, str] = ("n_words", "spans", "items")) -> DataFrame:
-    """docs with n_words, spans (hit words first..last, exclusive, and their bytes start..stop) and items found.
+def _marked(batches, index, rest: list[str], called: tuple[str, str, str]):
+    """The batches with what one automaton finds added to n_words, spans and items."""
+    tc.forget()  # texts and hits need the room of what the worker keeps for another operator
+    known = pickle.loads(index.value)
+    for b in tc.pieces(batches, "text"):
+        n, spans, names = [], b[called[1]].to_pylist(), b[called[2]].to_pylist()
+        for r, (size, hit, got) in enumerate(_find(known, b["text"])):
+            n.append(size)
+            spans[r] = _merged([*spans[r], *({"first": f, "last": t, "start": s, "stop": e} for f, t, s, e in hit)])
+            names[r] = sorted({*names[r], *(known.names[i] for i in got)})
+        yield pa.RecordBatch.from_arrays([*(b[c] for c in rest), pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(names, pa.list_(pa.string()))], [*rest, *called])
 
-    A-Z count as a-z; words are runs of ASCII letters and digits and of all other characters beyond ASCII. A window is
-    that many consecutive words of an item, or a whole item that is shorter. A word inside any occurrence of a window
-    is hit. Null and empty texts have no words; items without words, with null ids or null texts match nothing. Items
-    of the same id count as one in `items`, which holds ids as strings, sorted. Columns named as the new ones, for
-    which `called` gives other names, are replaced; all other columns stay, whatever their names, and rows may repeat. Empty tables work on either side. The items of an automaton are bounded
-    by automaton_words; larger benchmarks take one pass over the texts for each part.
-    """
+
+def _looked_up(docs: DataFrame, items: DataFrame, window: int, automaton_words: int, called: tuple[str, str, str], last: Callable | None = None, fields: list[tuple[str, str]] | None = None) -> DataFrame:
+    """docs with n_words, spans and items; or what `last`, with columns of its own, makes of such batches in the tasks of the last pass."""
     spark = docs.sparkSession
     ship(spark)
     own = [f for f in docs.schema.fields if f.name.lower() not in {c.lower() for c in called}]
     rest = [f.name for f in own]
-    fields = [*fields_of(own), *zip(called, ("long", SPANS, "array<string>"), strict=True)]
+    marked = [*fields_of(own), *zip(called, ("long", SPANS, "array<string>"), strict=True)]
     named = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = named.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = size // (2 * automaton_words) + 1  # a word and its separator are two characters at least
@@ -202,48 +207,56 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, automaton
     for k in range(passes):
         part = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
         index = spark.sparkContext.broadcast(pickle.dumps(Index(sorted((r[0], r[1]) for r in part.collect()), window)))
+        ends = last is not None and k + 1 == passes
+
+        def find(batches, index=index, ends=ends):
+            found = _marked(batches, index, rest, called)
+            return last(found) if ends else found
 
-        def find(batches, index=index):
-            known = pickle.loads(index.value)
-            for b in tc.pieces(batches, "text", 8 << 20):
-                n, spans, names = [], b[called[1]].to_pylist(), b[called[2]].to_pylist()
-                for r, (size, hit, got) in enumerate(_find(known, b["text"])):
-                    n.append(size)
-                    spans[r] = _merged([*spans[r], *({"first": f, "last": t, "start": s, "stop": e} for f, t, s, e in hit)])
-                    names[r] = sorted({*names[r], *(known.names[i] for i in got)})
-                yield pa.RecordBatch.from_arrays([*(b[c] for c in rest), pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(names, pa.list_(pa.string()))], [*rest, *called])
-
-        df = map_batches(df, find, fields)
+        df = map_batches(df, find, fields if ends else marked)
         if k + 1 < passes:
             df = materialize(df, "hits")
     return df
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, most_coverage: float = 0.5) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, automaton_words: int = AUTOMATON_WORDS, called: tuple[str, str, str] = ("n_words", "spans", "items")) -> DataFrame:
+    """docs with n_words, spans (hit words first..last, exclusive, and their bytes start..stop) and items found.
+
+    A-Z count as a-z; words are runs of ASCII letters and digits and of all other characters beyond ASCII. A window is
+    that many consecutive words of an item, or a whole item that is shorter. A word inside any occurrence of a window
+    is hit. Null and empty texts have no words; items without words, with null ids or null texts match nothing. Items
+    of the same id count as one in `items`, which holds ids as strings, sorted. Columns named as the new ones, for
+    which `called` gives other names, are replaced; all other columns stay, whatever their names, and rows may repeat. Empty tables work on either side. The items of an automaton are bounded
+    by automaton_words; larger benchmarks take one pass over the texts for each part.
+    """
+    return _looked_up(docs, items, window, automaton_words, called)
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, most_coverage: float = 0.5, automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
     """docs without the words of test items: hit spans are cut out; a text of which more than most_coverage is hit goes.
 
     The columns are those of docs, whatever their names, n_chars brought up to date if there is one. Texts without a
-    hit stay as they are, null and empty ones too.
+    hit stay as they are, null and empty ones too. Texts are cut in the Python task that has found their hits, so no second worker holds them.
     """
     own = docs.columns
     n_words, spans_, _ = called = tuple(unused(x, own) for x in ("n_words", "spans", "items"))
-    found = contamination(docs, items, window, called=called)
-    fields = fields_of(docs.schema.fields)
-
-    def cut(batches):
-        for b in tc.pieces(batches, "text"):
-            texts = b["text"].to_pylist()
-            for r, spans in enumerate(b[spans_].to_pylist()):
-                if spans:
-                    raw, at, kept = texts[r].encode(), 0, []
-                    for s in spans:
-                        kept.append(raw[at : s["start"]])
-                        at = s["stop"]
-                    texts[r] = b"".join([*kept, raw[at:]]).decode()
-            yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field("text").type) if c == "text" else b[c] for c in own], own)
-
-    n_hit = F.aggregate(spans_, F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"])
-    out = map_batches(found.where((F.col(n_words) == 0) | (n_hit <= most_coverage * F.col(n_words))), cut, fields)
+
+    def cut(found):
+        for b in found:
+            spans = b[spans_].to_pylist()
+            kept = [n == 0 or sum(s["last"] - s["first"] for s in x) <= most_coverage * n for n, x in zip(b[n_words].to_pylist(), spans, strict=True)]
+            texts, at = b["text"].filter(pa.array(kept, pa.bool_())), [x for x, k in zip(spans, kept, strict=True) if k]
+            if any(at):
+                whole = texts.to_pylist()
+                for r, x in enumerate(at):
+                    if x:
+                        raw, edges = whole[r].encode(), [0, *(e for s in x for e in (s["start"], s["stop"])), None]
+                        whole[r] = b"".join(raw[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)).decode()
+                texts = pa.array(whole, texts.type)
+            b = b.filter(pa.array(kept, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([texts if c == "text" else b[c] for c in own], own)
+
+    out = _looked_up(docs, items, window, automaton_words, called, cut, fields_of(docs.schema.fields))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in own else out
 
 

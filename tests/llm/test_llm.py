@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -254,6 +254,22 @@ def test_contamination_against_brute_force(spark, docs, rows, empty, most):
     assert decontaminate.decontaminate(docs, table.limit(0), 10).count() == docs.count()
 
 
+@pytest.mark.parametrize("most", [200_000, 20])
+def test_texts_are_cut_where_their_hits_are_found(spark, docs, rows, most):
+    base = rows[5][1]
+    items = spark.createDataFrame([(1, " ".join(base.split()[20:45])), (2, "one two"), (10, " ".join(base.split()[30:41]))], "item_id long, text string")
+    clean = decontaminate.decontaminate(docs, items, 10, 0.3, most)
+    assert clean._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # a second worker would hold the texts again
+    want = []
+    for r in decontaminate.contamination(docs, items, 10, most).collect():
+        if sum(s["last"] - s["first"] for s in r.spans) <= 0.3 * r.n_words:
+            text = r.text
+            for s in reversed(r.spans):
+                text = (text.encode()[: s["start"]] + text.encode()[s["stop"] :]).decode()
+            want.append((r.doc_id, text))
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter(want) and 0 < sum(t not in {x[1] for x in rows} for _, t in want)
+
+
 def test_suffix_automaton():
     rng = random.Random(5)
     for _ in range(30):
