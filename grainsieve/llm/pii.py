@@ -99,15 +99,20 @@ def code(c: str) -> int:
 
 
 _ASCII = np.array([code(chr(k)) if k else len(_CODES) for k in range(128)], np.uint8)
-_known: dict[str, int] = {}
+_PLANE = np.zeros(0x110000, np.uint8)  # of all code points; 0: not asked for yet
+_PLANE[:128] = _ASCII
 
 
 def codes(text: str) -> np.ndarray:
     if text.isascii():
         return _ASCII[np.frombuffer(text.encode(), np.uint8)]
-    for c in set(text).difference(_known):
-        _known[c] = code(c) if c != "\0" else len(_CODES)
-    return np.fromiter(map(_known.__getitem__, text), np.uint8, len(text))
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = _PLANE[points]
+    if not out.all():
+        new = np.unique(points[out == 0])
+        _PLANE[new] = [code(chr(c)) for c in new.tolist()]
+        out = _PLANE[points]
+    return out
 
 
 def allowed() -> np.ndarray:
@@ -145,33 +150,84 @@ def _run(x: np.ndarray, wh: np.ndarray, keep: bool):
     return out, kept
 
 
-def _states(cols: np.ndarray, wx: np.ndarray, wh: np.ndarray) -> np.ndarray:
-    """Hidden states (time, units, rows) of an LSTM over characters (time, rows): what _run gives, with gates as whole blocks and one exponential for all of them."""
-    n = len(wh)
-    scale = np.full(4 * n, -1, wh.dtype)
-    scale[3 * n :] = -2  # tanh(x) is 2 * sigmoid(2 * x) - 1
-    wx, wh = wx * scale, np.ascontiguousarray((wh * scale).T)
-    out, c = np.empty((len(cols), n, cols.shape[1]), wh.dtype), np.zeros((n, cols.shape[1]), wh.dtype)
+#: In float32 a number's bits, read as an integer, are 2**23 times its binary logarithm and 127, but for a bend between powers of two.
+_BIT, _ONE, _FARTHEST = 1 << 23, 127 << 23, 120
+
+
+def _squash(z: np.ndarray, bits: np.ndarray, other: np.ndarray) -> None:
+    """The sigmoid of x in place of z: of float32, z is 127 - x / (2 ln 2) in units of a bit, else -x.
+
+    With e = exp(-x / 2) it is (1 / e) / (e + 1 / e). In float32 both powers are read off their bits, and as their bends are opposite,
+    it is within 0.0026 of the true value everywhere.
+    """
+    if z.dtype == np.float32:
+        np.copyto(bits, z, casting="unsafe")
+        np.subtract(2 * _ONE, bits, out=other)
+        up, down = bits.view(np.float32), other.view(np.float32)
+        up += down
+        np.divide(down, up, out=z)
+    else:
+        np.exp(z, out=z)
+        z += 1
+        np.reciprocal(z, out=z)
+
+
+def _emitted(cols: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
+    """(time, tags, rows): emissions of characters (time, rows), as emissions() has them, but less those of the first tag, outside.
+
+    Both directions run side by side, gates as whole blocks. Cells and states are held as halves, as tanh(x) is 2 * (sigmoid(2 * x) - 1 / 2), and one product with the last states gives the next gates and the last emissions.
+    """
+    n, kind, (steps, rows), tags = len(w["hf"]), w["out"].dtype, cols.shape, w["out"].shape[1]
+    over = w["out"][:, 1:] - w["out"][:, :1]
+    quick = kind == np.float32
+    unit, zero = (-_BIT / (2 * np.log(2)), _ONE) if quick else (-1.0, 0)
+    scale = np.full(4 * n, unit)
+    scale[3 * n :] *= 2
+    low, high = _ONE - _FARTHEST * _BIT, _ONE + _FARTHEST * _BIT
+    far = deep = False
+    tables, products = [], []
+    for d, out in (("f", over[:n]), ("b", over[n:])):
+        most = np.abs(w[f"x{d}"] * scale).max(0) + np.abs(w[f"h{d}"] * scale).sum(0)
+        far |= quick and bool(most.max() > _FARTHEST * _BIT)
+        tables.append((w[f"x{d}"] * scale + zero).astype(kind))
+        products.append(np.ascontiguousarray(2 * np.concatenate([w[f"h{d}"] * scale, out], 1).T.astype(kind)))
+    e = np.empty((steps, tags, rows), kind)
+    e[:] = (w["bias"] - w["bias"][0])[:, None]
+    h, c, top = (np.zeros((n, 2, rows), kind) for _ in range(3))
+    x, z, made = np.empty((rows, 4 * n), kind), np.empty((4 * n, 2, rows), kind), np.empty((4 * n + tags - 1, 2, rows), kind)
+    bits, other = np.empty(z.shape, np.int32), np.empty(z.shape, np.int32)
+    i, f, o, g = (z[k * n : (k + 1) * n] for k in range(4))
     with np.errstate(over="ignore"):
-        for t, ids in enumerate(cols):
-            z = np.ascontiguousarray(wx[ids].T)
+        for t in range(steps + 1):
+            for d in (0, 1):
+                if t:
+                    np.matmul(products[d], h[:, d], made[:, d])
+                    e[steps - t if d else t - 1, 1:] += made[4 * n :, d]
+                if t < steps:
+                    np.take(tables[d], cols[steps - 1 - t if d else t], 0, x, "clip")
+                    np.copyto(z[:, d], x.T)
+            if t == steps:
+                break
             if t:
-                z += wh @ out[t - 1]
-            np.exp(z, out=z)
-            z += 1
-            np.reciprocal(z, out=z)
-            g = z[3 * n :]
-            g *= 2
-            g -= 1
-            g *= z[:n]
-            c *= z[n : 2 * n]
+                z += made[: 4 * n]
+            if far:
+                np.clip(z, low, high, z)
+            _squash(z, bits, other)
+            g -= 0.5
+            g *= i
+            c *= f
             c += g
-            top = np.exp(c * -2)
-            top += 1
-            np.divide(2, top, out=top)
-            top -= 1
-            np.multiply(z[2 * n : 3 * n], top, out=out[t])
-    return out
+            if quick and t % 32 == 31:  # a cell's half gains half at most in a step
+                deep = bool(np.abs(c).max() > 20)
+            np.multiply(c, 4 * unit, top)
+            if quick:
+                top += zero
+                if deep:
+                    np.clip(top, low, high, top)
+            _squash(top, bits[:n], other[:n])
+            top -= 0.5
+            np.multiply(o, top, h)
+    return e
 
 
 def _back(dout: np.ndarray, wh: np.ndarray, kept: list) -> tuple[np.ndarray, np.ndarray]:
@@ -260,27 +316,24 @@ class Network:
 
     def tags(self, ids: np.ndarray) -> np.ndarray:
         """(rows, time, tags): the probabilities of windows' tags, as marginals() of emissions() has them, without what learning needs."""
-        w, cols = self.weights, np.ascontiguousarray(ids.T)
-        h = [_states(cols[:: step], w[f"x{d}"], w[f"h{d}"]) for d, step in (("f", 1), ("b", -1))]
-        n, (steps, rows) = len(w["hf"]), cols.shape
-        e = np.empty((steps, TAGS, rows), w["out"].dtype)
-        for t in range(steps):
-            np.matmul(w["out"][:n].T, h[0][t], out=e[t])
-            e[t] += w["out"][n:].T @ h[1][steps - 1 - t]
-        e += w["bias"][:, None]
-        e -= e.max(1, keepdims=True)
-        p = np.exp(e, out=e)
-        m = np.where(ALLOWED, np.exp(w["moves"]), 0).astype(p.dtype)
-        a, back = np.empty_like(p), np.ones_like(p[0])
+        w, cols = self.weights, ids.T.astype(np.intp)
+        (steps, rows), kind = cols.shape, w["out"].dtype
+        p = _emitted(cols, w)
+        np.clip(p, -25, 25, p)  # beyond it all is certain, and no path's weight gets too small for a float
+        np.exp(p, p)
+        m = np.where(ALLOWED, np.exp(w["moves"]), 0).astype(kind)
+        moves = np.stack([m.T, m])  # onward and back, both at once
+        both, now = np.ones((steps, 2, TAGS, rows), kind), np.empty((2, TAGS, rows), kind)
         for t in range(steps):
-            np.multiply(p[t], m.T @ a[t - 1] if t else 1, out=a[t])
-            a[t] /= a[t].sum(0)
-        for t in range(steps - 2, -1, -1):
-            back = m @ (p[t + 1] * back)
-            back /= back.sum(0)
-            a[t] *= back
-            a[t] /= a[t].sum(0)
-        return np.ascontiguousarray(a.transpose(2, 0, 1))
+            if t:
+                np.matmul(moves, now, out=both[t])
+            np.multiply(both[t, 0], p[t], out=now[0])
+            np.multiply(both[t, 1], p[steps - 1 - t], out=now[1])
+            now *= np.reciprocal(np.add.reduce(now, 1))[:, None]
+        p *= both[:, 0]
+        p *= both[::-1, 1]
+        p /= np.add.reduce(p, 1)[:, None]
+        return np.ascontiguousarray(p.transpose(2, 0, 1))
 
 
 # ---- learning
@@ -400,7 +453,7 @@ SPAN = 8  # blocks of a window that is decoded; the last is the next window's fi
 _RISE = (np.arange(BLOCK, dtype=np.float32)[:, None] + 1.0) / (BLOCK + 1)
 
 
-def reconciled(parts: list[np.ndarray], net: Network, at_once: int = 512) -> list[np.ndarray]:
+def reconciled(parts: list[np.ndarray], net: Network, at_once: int = 752) -> list[np.ndarray]:
     """The tags' probabilities of whole texts of codes, from windows that overlap by a block; no position is left out. In an overlap the further one is from a window's border, the more it counts."""
     step = SPAN - 1
     n_windows = [max(-(-(len(p) - BLOCK) // (step * BLOCK)), 1) for p in parts]
@@ -432,6 +485,8 @@ def stretches(p: np.ndarray) -> list[tuple[int, int]]:
     """
     if not len(p):
         return []
+    if p[:, 0].min() > 0.51:  # outside is likelier everywhere
+        return []
     gain = np.log(p[:, 1:].max(1).astype(np.float64) + 1e-12) - np.log(p[:, 0].astype(np.float64) + 1e-12)
     if gain.max() < 0:
         return []

@@ -349,3 +349,32 @@ def test_quick_decoding_equals_the_slow_one():
     ids = rng.integers(0, pii.ALPHABET, (7, 50)).astype(np.uint8)
     want = pii.marginals(net.emissions(ids)[0], net.weights["moves"])[0].transpose(1, 0, 2)
     assert np.allclose(net.tags(ids), want, atol=1e-9)
+
+
+def test_sigmoid_is_read_off_bits():
+    x = np.linspace(-160, 160, 400_001)
+    z = (pii._ONE - x * pii._BIT / (2 * np.log(2))).astype(np.float32)
+    pii._squash(z, np.empty(z.shape, np.int32), np.empty(z.shape, np.int32))
+    assert np.abs(z - 1 / (1 + np.exp(-x))).max() < 0.0026
+
+
+@pytest.mark.parametrize("times", [1, 40, 4000])
+def test_quick_decoding_in_single_precision(times):
+    """The quick sigmoid changes probabilities by little, and weights so large that its bits or an exponential would run over still give probabilities."""
+    rng = np.random.default_rng(10)
+    net = pii.Network.new(20, rng)
+    for name, w in net.weights.items():
+        if name != "moves":
+            w *= times
+    ids = rng.integers(0, pii.ALPHABET, (60, 256)).astype(np.uint8)
+    got = net.tags(ids)
+    assert np.isfinite(got).all() and np.allclose(got.sum(2), 1, atol=1e-4)
+    if times == 1:
+        slow = pii.Network({k: w.astype(np.float64) for k, w in net.weights.items()})
+        want = pii.marginals(slow.emissions(ids)[0], slow.weights["moves"])[0].transpose(1, 0, 2)
+        assert np.abs(got - want).max() < 0.01
+
+
+def test_codes_of_all_letters():
+    text = "".join(map(chr, [*range(0, 0xD800, 7), *range(0x10000, 0x110000, 997), 0xE9, 0x660, 0x2003]))
+    assert pii.codes(text).tolist() == [pii.code(c) if c != "\0" else len(pii._CODES) for c in text]
