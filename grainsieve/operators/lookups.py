@@ -61,17 +61,27 @@ def inconsistencies(aliases: DataFrame, standards: DataFrame, allergen_aliases:
     return dangling.unionByName(shared)
 
 
-def batch_summary(results: DataFrame) -> DataFrame:
-    """One row over (ok, report columns): totals, and the share of inconsistent labels among those that worked."""
+def summary_flags(results: DataFrame, *kept: str) -> DataFrame:
+    """(ok, report columns) -> the columns kept, ok, and for each row whether it counts as inconsistent, of high risk, of low confidence."""
     worst = F.exists("claim_verdicts", lambda v: v["label"] == "不一致")
     bad = F.coalesce(F.col("ok") & worst, F.lit(False))
-    out = results.agg(
-        F.count("*").alias("total"), F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"), F.count_if(bad).alias("inconsistent"),
-        F.count_if(F.col("ok") & (F.col("risk.level") == "高")).alias("high_risk"), F.count_if(F.col("ok") & (F.col("confidence") < 0.75)).alias("low_confidence"),
+    return results.select(*kept, "ok", bad.alias("inconsistent"), (F.col("ok") & (F.col("risk.level") == "高")).alias("high_risk"), (F.col("ok") & (F.col("confidence") < 0.75)).alias("low_confidence"))
+
+
+def summary_counts(flags: DataFrame) -> DataFrame:
+    """One row over the flags: totals, and the share of inconsistent labels among those that worked."""
+    out = flags.agg(
+        F.count("*").alias("total"), F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"),
+        *(F.count_if(c).alias(c) for c in ("inconsistent", "high_risk", "low_confidence")),
     )
     return out.withColumn("inconsistent_pct", F.when(F.col("ok") > 0, F.floor(F.col("inconsistent") * 100 / F.col("ok") + 0.5)).otherwise(F.lit(0)).cast("long"))
 
 
+def batch_summary(results: DataFrame) -> DataFrame:
+    """One row over (ok, report columns): totals, and the share of inconsistent labels among those that worked."""
+    return summary_counts(summary_flags(results))
+
+
 def worst_verdict(rejected, verdicts):
     """A report's one-word outcome."""
     has = lambda label: F.exists(verdicts, lambda v: v["label"] == label)

@@ -57,7 +57,7 @@ def running_batch_summary(spark, sf_dir):
         r = jobs.verify_stream(arrived).withColumn("ok", ~bad).withColumn("error", F.when(bad, F.lit("unreadable")))
         return jobs.running_summary(r, out, checkpoint)
 
-    out = arriving(spark, labels(spark, sf_dir), 2, F.col("key") % 2, start)
+    out = arriving(spark, spread(labels(spark, sf_dir), even=True), 2, F.col("key") % 2, start)
     schema = ", ".join(f"{c} long" for c in (*jobs._COUNTS, "inconsistent_pct"))
     totals = spark.read.schema(f"{schema}, batch int").parquet(f"{out}/total")
     failed = spark.read.schema("label_id string, error string, batch int").parquet(f"{out}/failed").agg(F.count("error").alias("n_errors"))

@@ -58,6 +58,29 @@ def test_portions_arrive_as_files_for_all_cores(spark):
     assert len(seen) >= spark.sparkContext.defaultParallelism
 
 
+def test_rows_of_one_row_group_are_dealt_out(spark):
+    """A scan of as many tasks as there are cores has all rows in one of them, where the file is one row group."""
+    from grainsieve import stream_queries
+
+    class Taken(Exception):
+        pass
+
+    def arriving(spark, rows, *rest):
+        raise Taken(rows.groupBy(F.spark_partition_id()).count().collect())
+
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert spark.read.parquet(f"{SMALL}/part.parquet").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        with pytest.MonkeyPatch.context() as m, pytest.raises(Taken) as taken:
+            m.setattr(stream_queries, "arriving", arriving)
+            stream_queries.running_batch_summary(spark, SMALL)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    found = [r["count"] for r in taken.value.args[0]]
+    assert len(found) == spark.sparkContext.defaultParallelism and max(found) - min(found) <= 1
+
+
 def test_ctc_scores_are_worked_out_once(spark):
     scores = F.array(*(F.array(F.lit(0.1), F.col("id") / F.lit(7919.0)) for _ in range(3)))
     df = spark.range(3).select(recognition.ctc_text(scores, F.array(F.lit(""), F.lit("a"))).alias("r"))
@@ -159,6 +182,29 @@ def test_a_batch_that_runs_again_changes_no_summary(spark, tmp_path):
     assert spark.read.parquet(f"{out}/failed").count() == 7
 
 
+def test_a_summary_works_out_each_row_once(spark, tmp_path):
+    """Totals and failed rows come from one pass, and what neither needs of a report is not worked out."""
+    marks = tmp_path / "marks"
+
+    @udf("string")
+    def seen(text, mark):
+        with marks.open("a") as f:
+            f.write(mark)
+        return text
+
+    folder, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "check"))
+    schema = "label_id string, ok boolean, error string, confidence double, level string, claim_verdicts array<struct<label:string>>"
+    spark.createDataFrame([(str(k), k % 4 > 0, None if k % 4 else "broken", 0.5, "高", [("一致",)]) for k in range(20)], schema).write.parquet(folder)
+    stream = spark.readStream.schema(schema).parquet(folder)
+    reports = stream.withColumn("risk", F.struct(seen("level", F.lit("r")).alias("level"))).withColumn("population_results", seen("level", F.lit("p")))
+    jobs.running_summary(reports, out, checkpoint).awaitTermination()
+    total = spark.read.parquet(f"{out}/total").first()
+    assert (total.total, total.ok, total.failed, total.high_risk, total.low_confidence) == (20, 15, 5, 15, 15)
+    assert sorted(int(r.label_id) for r in spark.read.parquet(f"{out}/failed").collect()) == [0, 4, 8, 12, 16]
+    assert marks.read_text() == "r" * 20
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
 # ---- the data source of reports
 
 
