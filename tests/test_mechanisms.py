@@ -87,6 +87,13 @@ def test_ctc_scores_are_worked_out_once(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("7919.0") == 3
 
 
+def test_hits_are_put_together_once_a_claim(spark):
+    """An array of all conditions' hits that stands within a lambda over a claim's hits is made again for each of them."""
+    plan = __spark_entry__.queries()["verdict_lattice"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    hits = "array(CASE WHEN array_contains(_ids#"
+    assert hits in plan and f"lambdafunction({hits}" not in plan
+
+
 def test_parts_are_split_once(spark):
     for name in ("ingredients_by_terms", "allergens_by_terms"):
         plan = __spark_entry__.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
